@@ -24,9 +24,9 @@ def _letters(number: Column, count: int) -> list[Column]:
     ]
 
 
-def encode_id(prefix: str, millis: Column, entropy_hex: Column) -> Column:
+def encode_id(prefix: str, time: Column, entropy_hex: Column) -> Column:
     """``prefix_`` + time letters + entropy letters; entropy is the first 20 hex digits."""
-    letters = _letters(millis.cast("bigint"), _TIME_LETTERS)
+    letters = _letters(time.cast("bigint"), _TIME_LETTERS)
     for start in range(1, 21, _HEX_GROUP):
         group = F.conv(F.substring(entropy_hex, start, _HEX_GROUP), 16, 10).cast("bigint")
         letters += _letters(group, 4)
@@ -44,23 +44,28 @@ def id_millis(ulid: Column | str) -> Column:
     return total
 
 
+def millis(at: Column) -> Column:
+    """Milliseconds since the epoch, rounded to the nearest."""
+    return F.floor((F.unix_micros(at.cast("timestamp")) + 500) / 1000)
+
+
 def random_id(prefix: str) -> Column:
     """A fresh id per row.  Not repeatable: write the rows out before a second use."""
     return encode_id(
         prefix,
-        F.unix_millis(F.current_timestamp()),
+        millis(F.current_timestamp()),
         F.replace(F.uuid(), F.lit("-"), F.lit("")),
     )
 
 
-def derived_id(prefix: str, millis: Column, *key: Column | str, seed: str = "") -> Column:
-    """The same id for the same (seed, key), so that a job can be run again."""
+def derived_id(prefix: str, at: Column, *key: Column | str, seed: str = "") -> Column:
+    """The same id for the same (time, seed, key), so that a job can be run again."""
     text = F.concat_ws("|", F.lit(seed), *key)
-    return encode_id(prefix, millis, F.sha2(text, 256))
+    return encode_id(prefix, millis(at), F.sha2(text, 256))
 
 
 def assign_ids(
-    df: DataFrame, prefix: str, millis: Column, key: list[str], column: str = "id", seed: str = ""
+    df: DataFrame, prefix: str, at: Column, key: list[str], column: str = "id", seed: str = ""
 ) -> DataFrame:
-    """``df`` with a surrogate id derived from its key columns."""
-    return df.withColumn(column, derived_id(prefix, millis, *key, seed=seed))
+    """``df`` with a surrogate id derived from the time ``at`` and the key columns."""
+    return df.withColumn(column, derived_id(prefix, at, *key, seed=seed))

@@ -27,26 +27,24 @@ def first_per_key(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(first)).filter("_rn = 1").drop("_rn")
 
 
-def _any_null(columns: list[str]) -> Column:
-    test = F.lit(False)
-    for c in columns:
-        test = test | F.col(c).isNull()
-    return test
-
-
 def accepted_rows(
-    target: DataFrame, batch: DataFrame, key: list[str], order: list[str]
+    target: DataFrame,
+    batch: DataFrame,
+    key: list[str],
+    order: list[str],
+    optional: str | None = None,
 ) -> DataFrame:
     """Batch rows that an insert-ignore stores: first per key, key not stored yet.
 
-    A key with a NULL part conflicts with nothing, so all such rows are stored.
+    ``optional`` names a key column that may be NULL; such a row conflicts with
+    nothing, so it is grouped by its own order columns.
     """
-    stored = target.select(*key)
-    if all(not f.nullable for f in batch.schema.fields if f.name in key):
-        return first_per_key(batch, key, order).join(stored, key, "left_anti")
-    nulls = _any_null(key)
-    firsts = first_per_key(batch.filter(~nulls), key, order)
-    return firsts.join(stored, key, "left_anti").unionByName(batch.filter(nulls))
+    group = key
+    if optional:
+        batch = batch.withColumn("_alone", F.when(F.col(optional).isNull(), F.struct(*order)))
+        group = [*key, "_alone"]
+    firsts = first_per_key(batch, group, order).drop("_alone")
+    return firsts.join(target.select(*key), key, "left_anti")
 
 
 def insert_ignore(
@@ -55,13 +53,15 @@ def insert_ignore(
     key: list[str],
     order: list[str],
     seq: list[str] | None = None,
+    optional: str | None = None,
 ) -> DataFrame:
     """The batch with ``outcome``: accepted, or already_exists (stored or earlier in the batch).
 
     ``seq`` identifies a batch row (default: the order columns).
     """
     seq = seq or order
-    kept = accepted_rows(target, batch.select(*dict.fromkeys(key + order + seq)), key, order)
+    narrow = batch.select(*dict.fromkeys(key + order + seq))
+    kept = accepted_rows(target, narrow, key, order, optional)
     kept = kept.select(*seq, F.lit(ACCEPTED).alias("outcome"))
     return batch.join(kept, seq, "left").withColumn(
         "outcome", F.coalesce("outcome", F.lit(EXISTS))
@@ -107,7 +107,7 @@ def ingest_positions(
     positions: DataFrame, batch: DataFrame, order: list[str], seq: list[str] | None = None
 ) -> DataFrame:
     """Unique (title, description, company); a NULL company conflicts with nothing."""
-    return insert_ignore(positions, batch, ["title", "description", "company"], order, seq)
+    return insert_ignore(positions, batch, ["title", "description", "company"], order, seq, "company")
 
 
 def ingest_refresh_tokens(sessions: DataFrame, at: str, seed: str = "") -> DataFrame:
@@ -115,9 +115,8 @@ def ingest_refresh_tokens(sessions: DataFrame, at: str, seed: str = "") -> DataF
 
     The id is derived from (seed, seq), so a repeated run gives the same sessions.
     """
-    millis = F.unix_millis(F.col(at).cast("timestamp"))
     return sessions.select(
-        derived_id("rtk", millis, F.col("seq").cast("string"), seed=seed).alias("jti"),
+        derived_id("rtk", F.col(at), F.col("seq").cast("string"), seed=seed).alias("jti"),
         "user_id",
         (F.col(at) + F.expr(f"INTERVAL {REFRESH_SECONDS} SECONDS")).alias("expires_at"),
         F.lit(False).alias("revoked"),

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from matchspark.schemas import SCORE_TYPE
+
 
 
 def derive_matches(
@@ -46,3 +48,21 @@ def derive_matches(
             "left_anti",
         )
     return found
+
+
+def recommend(nearest: DataFrame, recommendations: DataFrame) -> DataFrame:
+    """(candidate_id, position_id, score) from nearest positions (left_id, right_id, score).
+
+    The score is the inner product clipped to [0, 1], with two digits; pairs that
+    are recommended already are left out.
+    """
+    clipped = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score")))
+    # Rounded as a decimal: halves go up whatever the binary value is.
+    score = F.round(clipped.cast("decimal(7,6)"), 2).cast(SCORE_TYPE)
+    rows = nearest.select(
+        F.col("left_id").alias("candidate_id"),
+        F.col("right_id").alias("position_id"),
+        score.alias("score"),
+    )
+    pair = ["position_id", "candidate_id"]
+    return rows.join(recommendations.select(*pair), pair, "left_anti")
