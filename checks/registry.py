@@ -1,6 +1,11 @@
 """All registered queries and their oracle SQL."""
 
-from checks import feed_queries, vector_queries, write_queries  # noqa: F401
+from checks import (  # noqa: F401
+    feed_queries,
+    identity_queries,
+    vector_queries,
+    write_queries,
+)
 from checks.query import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -38,8 +38,8 @@ def part_switched_off(text: Column | str) -> Column:
 
 
 def normalise_provider(text: Column | str) -> Column:
-    """'' -> the default provider, a known provider -> itself, else NULL (an error)."""
-    text = _col(text)
+    """Absent or '' -> the default provider, a known one -> itself, else NULL (an error)."""
+    text = F.coalesce(_col(text), F.lit(""))
     return F.when(text == "", F.lit(DEFAULT_PROVIDER)).when(text.isin(PROVIDERS), text)
 
 

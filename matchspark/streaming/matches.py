@@ -28,30 +28,30 @@ def stream_matches(
         .dropDuplicatesWithinWatermark(REACTION_KEY)
         .filter(F.col("reaction_type") == "positive")
     )
+    owners = positions.select(F.col("id").alias("position_id"), "recruiter_id")
     owned = recommendations.select(
         F.col("id").alias("recommendation_id"), "candidate_id", "position_id"
-    ).join(
-        positions.select(F.col("id").alias("position_id"), "recruiter_id"), "position_id"
-    )
+    ).join(owners, "position_id")
 
-    def side(reactor_type: str, reactor: str, prefix: str) -> DataFrame:
+    def side(reactor_type: str, reactor: str, at: str) -> DataFrame:
         return events.filter(F.col("reactor_type") == reactor_type).select(
-            F.col("recommendation_id").alias(f"{prefix}_rec"),
-            F.col("reactor_id").alias(reactor),
-            F.col("at").alias(f"{prefix}_at"),
+            "recommendation_id", F.col("reactor_id").alias(reactor), F.col("at").alias(at)
         )
 
+    # With the owning recruiter on the candidates' side the join of the two streams
+    # uses the whole reaction key: at most one partner per row.
+    liked = side("candidate", "candidate_id", "c_at").join(
+        owned, ["recommendation_id", "candidate_id"]
+    )
+    answers = side("recruiter", "r_recruiter", "r_at").withColumnRenamed(
+        "recommendation_id", "r_recommendation"
+    )
     bound = F.expr(f"INTERVAL {apart}")
-    both = side("candidate", "c_reactor", "c").join(
-        side("recruiter", "r_reactor", "r"),
-        (F.col("c_rec") == F.col("r_rec"))
+    return liked.join(
+        answers,
+        (F.col("recommendation_id") == F.col("r_recommendation"))
+        & (F.col("recruiter_id") == F.col("r_recruiter"))
         & F.col("r_at").between(F.col("c_at") - bound, F.col("c_at") + bound),
-    )
-    return both.join(
-        owned,
-        (F.col("c_rec") == F.col("recommendation_id"))
-        & (F.col("c_reactor") == F.col("candidate_id"))
-        & (F.col("r_reactor") == F.col("recruiter_id")),
     ).select(
         "candidate_id",
         "position_id",
