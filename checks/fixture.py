@@ -26,6 +26,12 @@ def timestamp_ntz(text: str) -> Column:
     return F.lit(text).cast("timestamp_ntz")
 
 
+def spread(df: DataFrame, by: str) -> DataFrame:
+    """A task per core for an input read in fewer splits than cores; no change at scale."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, by) if df.rdd.getNumPartitions() < cores else df
+
+
 class Fixture:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
@@ -99,7 +105,7 @@ class Fixture:
     @property
     def line_orders(self) -> DataFrame:
         return (
-            self.raw("lineitem")
+            spread(self.raw("lineitem"), "l_orderkey")
             .join(self.raw("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
             .filter(F.col("o_custkey") % 10 != 9)
         )
@@ -145,33 +151,31 @@ class Fixture:
         )
 
     @property
-    def reaction_log(self) -> DataFrame:
-        """Candidate and recruiter rows come out of one pass over the order lines."""
-        flag = F.col("l_returnflag")
-        candidate = F.struct(
-            F.lit("candidate").alias("reactor_type"),
-            ident("can", "o_custkey").alias("reactor_id"),
-            F.when(flag == "A", "positive")
-            .when(flag == "R", "negative")
-            .otherwise("neutral")
-            .alias("reaction_type"),
-        )
-        recruiter = F.struct(
-            F.lit("recruiter").alias("reactor_type"),
-            ident("rec", F.col("l_partkey") % self.suppliers).alias("reactor_id"),
-            F.when(F.col("l_linestatus") == "O", "positive")
-            .otherwise("negative")
-            .alias("reaction_type"),
-        )
+    def reaction_sides(self) -> DataFrame:
+        """Order lines once per side that reacted: 0 the candidate, 1 the recruiter."""
         sides = F.array_compact(
             F.array(
-                F.when(F.col("l_quantity") > 20, candidate),
-                F.when(F.col("l_quantity") <= 35, recruiter),
+                F.when(F.col("l_quantity") > 20, F.lit(0)),
+                F.when(F.col("l_quantity") <= 35, F.lit(1)),
             )
         )
-        return self.line_orders.select(
+        flag = F.col("l_returnflag")
+        candidate = F.when(flag == "A", "positive").when(flag == "R", "negative")
+        recruiter = F.when(F.col("l_linestatus") == "O", "positive").otherwise("negative")
+        return self.line_orders.withColumn("side", F.explode(sides)).withColumn(
+            "reaction_type",
+            F.when(F.col("side") == 0, candidate.otherwise("neutral")).otherwise(recruiter),
+        )
+
+    def as_reactions(self, sides: DataFrame) -> DataFrame:
+        candidate = F.col("side") == 0
+        return sides.select(
             self.pair_id().alias("recommendation_id"),
-            F.inline(sides),
+            F.when(candidate, "candidate").otherwise("recruiter").alias("reactor_type"),
+            F.when(candidate, ident("can", "o_custkey"))
+            .otherwise(ident("rec", F.col("l_partkey") % self.suppliers))
+            .alias("reactor_id"),
+            "reaction_type",
             F.col("l_shipdate").alias("created_at"),
             "l_orderkey",
             "l_linenumber",
@@ -180,15 +184,18 @@ class Fixture:
             self.line_key().alias("seq"),
         )
 
+    @property
+    def reaction_log(self) -> DataFrame:
+        return self.as_reactions(self.reaction_sides)
+
     @property
     def reactions(self) -> DataFrame:
+        """The first of each key, found on the numeric keys before the ids are written out."""
         from matchspark.operators.ingest import first_per_key
 
-        return first_per_key(
-            self.reaction_log,
-            ["recommendation_id", "reactor_type", "reactor_id"],
-            REACTION_ORDER,
-        ).select(
+        order = ["l_shipdate", *REACTION_ORDER[1:]]
+        firsts = first_per_key(self.reaction_sides, ["l_partkey", "o_custkey", "side"], order)
+        return self.as_reactions(firsts).select(
             "recommendation_id", "reactor_type", "reactor_id", "reaction_type", "created_at"
         )
 

@@ -393,18 +393,17 @@ _GONE = {
     _GONE,
 )
 def cascade_delete(fx: Fixture) -> DataFrame:
-    tables = integrity.in_dependency_order(fx.tables())
     gone = fx.users.filter("full_name like '%3'").select("id")
-    parts = []
-    for name, (kept, removed) in integrity.cascade_delete(tables, {"users": gone}).items():
-        sides = kept.select(F.lit(0).alias("gone")).unionAll(removed.select(F.lit(1)))
-        parts.append(
-            sides.agg(
-                F.count_if(F.col("gone") == 0).alias("kept"),
-                F.count_if(F.col("gone") == 1).alias("removed"),
+    flagged = integrity.cascade_delete(fx.tables(), {"users": gone})
+    return integrity.union_all(
+        [
+            df.agg(
+                F.count_if(~F.col("removed")).alias("kept"),
+                F.count_if("removed").alias("removed"),
             ).select(F.lit(name).alias("table_name"), "kept", "removed")
-        )
-    return integrity.union_all(parts)
+            for name, df in flagged.items()
+        ]
+    )
 
 
 def _orphans(child: str, column: str, parent: str, where: str = "true") -> str:

@@ -44,16 +44,23 @@ def id_millis(ulid: Column | str) -> Column:
     return total
 
 
-def millis(at: Column) -> Column:
+def _millis(instant: Column) -> Column:
     """Milliseconds since the epoch, rounded to the nearest."""
-    return F.floor((F.unix_micros(at.cast("timestamp")) + 500) / 1000)
+    return F.floor((F.unix_micros(instant) + 500) / 1000)
+
+
+def _as_utc(wall: Column) -> Column:
+    """A time without zone read as UTC, whatever zone the session has."""
+    return F.from_utc_timestamp(
+        wall.cast("timestamp_ntz").cast("timestamp"), F.current_timezone()
+    )
 
 
 def random_id(prefix: str) -> Column:
     """A fresh id per row.  Not repeatable: write the rows out before a second use."""
     return encode_id(
         prefix,
-        millis(F.current_timestamp()),
+        _millis(F.current_timestamp()),
         F.replace(F.uuid(), F.lit("-"), F.lit("")),
     )
 
@@ -61,7 +68,7 @@ def random_id(prefix: str) -> Column:
 def derived_id(prefix: str, at: Column, *key: Column | str, seed: str = "") -> Column:
     """The same id for the same (time, seed, key), so that a job can be run again."""
     text = F.concat_ws("|", F.lit(seed), *key)
-    return encode_id(prefix, millis(at), F.sha2(text, 256))
+    return encode_id(prefix, _millis(_as_utc(at)), F.sha2(text, 256))
 
 
 def assign_ids(

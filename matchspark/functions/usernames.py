@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,26 +40,25 @@ def assign_user_names(
     large table runs out of them: rows without a name after ``draws`` rounds get
     their last drawn name lengthened by their own key, which is unique.
     """
-    used = taken.select("user_name") if taken is not None else None
+    used = [] if taken is None else [taken.select("user_name").filter("user_name is not null")]
     waiting = df.select(key)
     named: list[DataFrame] = []
     for draw in range(draws):
-        drawn = waiting.withColumn("user_name", draw_user_name(key, seed, draw))
-        first = Window.partitionBy("user_name").orderBy(key)
-        winners = (
-            drawn.withColumn("_rn", F.row_number().over(first)).filter("_rn = 1").drop("_rn")
+        # Drawn names are spread evenly, so a name's rows are few.
+        rank = F.row_number().over(Window.partitionBy("user_name").orderBy(key))
+        state = waiting.withColumn("user_name", draw_user_name(key, seed, draw)).withColumn(
+            "_won", rank == 1
         )
-        if used is not None:
-            winners = winners.join(used.filter("user_name is not null"), "user_name", "left_anti")
-        winners = materialize(winners.select(key, "user_name"), "names")
-        named.append(winners)
-        names = winners.select("user_name")
-        used = names if used is None else used.unionByName(names)
-        waiting = waiting.join(winners, key, "left_anti")
+        if used:
+            gone = reduce(DataFrame.unionAll, used).withColumn("_used", F.lit(True))
+            state = state.join(gone, "user_name", "left").withColumn(
+                "_won", F.col("_won") & F.col("_used").isNull()
+            )
+        state = materialize(state.select(key, "user_name", "_won"), "names")
+        named.append(state.filter("_won").drop("_won"))
+        used.append(named[-1].select("user_name"))
+        waiting = state.filter("not _won").select(key)
     rest = waiting.withColumn(
         "user_name", F.concat(draw_user_name(key, seed, draws), F.lit("_"), F.lower(key))
     )
-    names = rest
-    for part in named:
-        names = names.unionByName(part)
-    return df.join(names, key)
+    return df.join(reduce(DataFrame.unionByName, [*named, rest]), key)

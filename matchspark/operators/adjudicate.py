@@ -39,20 +39,29 @@ def adjudicate_reactions(
         .when(body["error"].isNotNull(), "invalid_body")
         .when(~valid_reaction_type(body["reaction_type"]), "invalid_reaction_type")
     )
-    judged = (
-        requests.join(owners, "recommendation_id", "left")
-        .withColumn("_body", decode_body("body", ["reaction_type"]))
+    read = (
+        requests.withColumn("_body", decode_body("body", ["reaction_type"]))
         .withColumn("reaction_type", body["reaction_type"])
         .withColumn("reactor_type", F.lit("candidate"))
-        .withColumn("reason", reason)
-        .drop("_body", "_owner")
     )
-    writes = judged.filter(F.col("reason").isNull()).select(
-        seq, *order, "recommendation_id", "reactor_type", F.col("candidate_id").alias("reactor_id")
+    # Whether a request names its own recommendation is the same for all requests
+    # of one key, so the first well-formed one per key is found without the join,
+    # on rows cut per map task however often a recommendation is named.
+    well_formed = read.filter(
+        F.col("candidate_id").isNotNull()
+        & ~no_id
+        & body["error"].isNull()
+        & valid_reaction_type("reaction_type")
+    ).select(
+        *dict.fromkeys([seq, *order]),
+        "recommendation_id",
+        "reactor_type",
+        F.col("candidate_id").alias("reactor_id"),
     )
-    stored = accepted_rows(reactions, writes, REACTION_KEY, order).select(
+    stored = accepted_rows(reactions, well_formed, REACTION_KEY, order).select(
         seq, F.lit(True).alias("_stored")
     )
+    judged = read.join(owners, "recommendation_id", "left").withColumn("reason", reason)
     status = (
         F.when(F.col("reason") == "no_candidate_role", NO_ROLE)
         .when(F.col("reason") == "recommendation_not_found", NOT_FOUND)
@@ -70,7 +79,7 @@ def adjudicate_reactions(
             ),
         )
         .withColumn("status", status)
-        .drop("_stored")
+        .drop("_stored", "_body", "_owner")
     )
 
 

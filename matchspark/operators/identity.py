@@ -147,24 +147,23 @@ def signin_outcome(
 
     create_user (then onboarding), onboarding (a user without role) or token_pair.
     The first sign-in of an unknown identity creates the user; its later ones find
-    a user without role.  That first one is found by its ``seq``, so an identity
-    with any number of sign-ins stays spread.
+    a user without role.  First sign-ins are found by counting per identity on the
+    map side and joined by ``seq``, so an identity with any number of sign-ins
+    stays spread.
     """
-    known = user_by_provider(
-        sign_ins.select("seq", "provider", "provider_user_id"), users, candidates, recruiters
-    )
-    new = known.filter(F.col("outcome") == NOT_FOUND)
-    creates = (
-        new.groupBy("provider", "provider_user_id")
+    asked = sign_ins.select("seq", "provider", "provider_user_id")
+    known = user_by_provider(asked, users, candidates, recruiters)
+    firsts = (
+        asked.groupBy("provider", "provider_user_id")
         .agg(F.min("seq").alias("seq"))
-        .select("seq", F.lit(True).alias("_creates"))
+        .select("seq", F.lit(True).alias("_first"))
     )
     outcome = (
         F.when(F.col("outcome") == OK, "token_pair")
-        .when(F.col("_creates"), "create_user")
+        .when((F.col("outcome") == NOT_FOUND) & F.col("_first"), "create_user")
         .otherwise("onboarding")
     )
-    return known.join(creates, "seq", "left").select(
+    return known.join(firsts, "seq", "left").select(
         "seq", "provider", "provider_user_id", "user_id", outcome.alias("outcome")
     )
 

@@ -14,17 +14,20 @@ from matchspark.schemas import EMBEDDING_DIMENSION, FOREIGN_KEYS, TABLES
 
 def cascade_delete(
     tables: dict[str, DataFrame], deleted: dict[str, DataFrame]
-) -> dict[str, tuple[DataFrame, DataFrame]]:
-    """Per table (kept, removed) after deleting the ids in ``deleted`` (one ``id`` column each).
+) -> dict[str, DataFrame]:
+    """The tables with ``removed``: true where deleting the ids in ``deleted`` takes the row.
+
+    ``deleted`` maps a table to its ids to delete (column ``id``).  Writing a result
+    partitioned by ``removed`` gives the new snapshot and what went in one pass.
 
     Tables are visited parents first.  The removed ids of a table with dependents
-    are written out: they are read by several joins, and their file size lets
-    Spark broadcast them only where they are small.
+    are written out: several joins read them, and their file size lets Spark
+    broadcast them only where they are small.
     """
     parents_with_children = {fk.parent for fk in FOREIGN_KEYS}
     removed_ids: dict[str, DataFrame] = {}
-    result: dict[str, tuple[DataFrame, DataFrame]] = {}
-    for name, table in tables.items():
+    result: dict[str, DataFrame] = {}
+    for name, table in in_dependency_order(tables).items():
         edges = [
             (fk.column, removed_ids[fk.parent])
             for fk in FOREIGN_KEYS
@@ -32,21 +35,17 @@ def cascade_delete(
         ]
         if name in deleted:
             edges.append(("id", deleted[name].select("id").distinct()))
-        if not edges:
-            result[name] = (table, table.limit(0))
-            continue
         flagged = table
+        hit = F.lit(False)
         for i, (column, ids) in enumerate(edges):
             gone = ids.select(F.col("id").alias(column), F.lit(True).alias(f"_gone{i}"))
             flagged = flagged.join(gone, column, "left")
-        hit = reduce(Column.__or__, [F.col(f"_gone{i}").isNotNull() for i in range(len(edges))])
-        marks = [f"_gone{i}" for i in range(len(edges))]
-        result[name] = (
-            flagged.filter(~hit).drop(*marks).select(*table.columns),
-            flagged.filter(hit).drop(*marks).select(*table.columns),
-        )
-        if name in parents_with_children:
-            removed_ids[name] = materialize(result[name][1].select("id"), f"removed-{name}")
+            hit = hit | F.col(f"_gone{i}").isNotNull()
+        result[name] = flagged.select(*table.columns, hit.alias("removed"))
+        if edges and name in parents_with_children:
+            removed_ids[name] = materialize(
+                result[name].filter("removed").select("id"), f"removed-{name}"
+            )
     return result
 
 

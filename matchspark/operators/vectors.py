@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from matchspark.plans.tiles import TILE_ROWS, merge_top_k, tiled_top_k
+from matchspark.plans.tiles import merge_top_k, tile_rows_for, tiled_top_k
 from matchspark.schemas import EMBEDDING_DIMENSION
 
 OBJECT_KEY = ["object_id", "object_type"]
@@ -114,7 +114,7 @@ def inner_product_topk(
     left: str = "candidate",
     right: str = "position",
     dimension: int = EMBEDDING_DIMENSION,
-    tile_rows: int = TILE_ROWS,
+    tile_rows: int | None = None,
 ) -> DataFrame:
     """(left_id, right_id, score, rank): the k largest inner products, exactly.
 
@@ -125,7 +125,7 @@ def inner_product_topk(
         done_vectors(embeddings, left, "left_id", dimension),
         done_vectors(embeddings, right, "right_id", dimension),
         k,
-        tile_rows=tile_rows,
+        tile_rows or tile_rows_for(dimension),
     )
     return merge_top_k(best, k)
 
@@ -158,7 +158,7 @@ def inner_product_topk_approx(
     tables: int = 8,
     bits: int = 6,
     seed: int = 0,
-    tile_rows: int = TILE_ROWS,
+    tile_rows: int | None = None,
 ) -> DataFrame:
     """As ``inner_product_topk`` among pairs that share a bucket in some hash table.
 
@@ -174,6 +174,10 @@ def inner_product_topk_approx(
         return sign_buckets(rows, dimension, tables, bits, seed)
 
     best = tiled_top_k(
-        side(left, "left_id"), side(right, "right_id"), k, ["table", "bucket"], tile_rows
+        side(left, "left_id"),
+        side(right, "right_id"),
+        k,
+        tile_rows or tile_rows_for(dimension),
+        ["table", "bucket"],
     )
     return merge_top_k(best.distinct(), k)

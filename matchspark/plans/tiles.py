@@ -13,10 +13,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-TILE_ROWS = 8192
+TILE_BYTES = 64 * 1024 * 1024
 SCORE_DIGITS = 6
 
 
+def tile_rows_for(dimension: int) -> int:
+    """Rows of double-precision vectors that one tile holds."""
+    return max(1, TILE_BYTES // (8 * dimension))
+
+
 def _tile_counts(rows: DataFrame, group: list[str], tile_rows: int, name: str) -> DataFrame:
     return rows.groupBy(*group).agg(
         F.ceil(F.count("*") / F.lit(tile_rows)).cast("int").alias(name)
@@ -27,8 +32,8 @@ def tiled_top_k(
     left: DataFrame,
     right: DataFrame,
     k: int,
+    tile_rows: int,
     group: list[str] | None = None,
-    tile_rows: int = TILE_ROWS,
 ) -> DataFrame:
     """(left_id, right_id, score): per left row the k best of each tile it meets.
 
@@ -75,7 +80,7 @@ def tiled_top_k(
     return meet.applyInPandas(_multiplier(k), schema)
 
 
-def _multiplier(k: int, digits: int = SCORE_DIGITS, strip: int = 1024):
+def _multiplier(k: int, digits: int = SCORE_DIGITS, products: int = 4_000_000):
     """The function run per tile pair; self-contained, so workers need only numpy and pandas."""
 
     def multiply(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -91,6 +96,7 @@ def _multiplier(k: int, digits: int = SCORE_DIGITS, strip: int = 1024):
         a = np.stack(left["vector"].to_numpy()).astype("float64")
         n, keep = len(right_ids), min(k, len(right_ids))
         place = np.arange(n, dtype="int64")
+        strip = max(1, products // n)  # left rows multiplied at a time
         out_left, out_right, out_score = [], [], []
         for start in range(0, len(left_ids), strip):
             scaled = np.rint((a[start : start + strip] @ b) * 10**digits).astype("int64")
