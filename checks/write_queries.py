@@ -243,17 +243,22 @@ def _user_rounds(rounds: int) -> dict[str, str]:
         views[f"v_open{i + 1}"] = f"""
             select seq, provider, provider_user_id, user_name from v_left{i}
             where not (seq = p_first and seq = n_first)"""
-    views["v_user_outcome"] = " union all ".join(
+    views["v_accepted"] = " union all ".join(
         f"""
-        select seq, provider, provider_user_id, user_name,
-               case when p_hit then 'duplicate_provider_key' else 'duplicate_user_name' end
-                   as outcome
-        from v_state{i} where p_hit or n_hit
-        union all
-        select seq, provider, provider_user_id, user_name, 'accepted'
-        from v_left{i} where seq = p_first and seq = n_first"""
+        select seq, provider, provider_user_id from v_left{i}
+        where seq = p_first and seq = n_first"""
         for i in range(rounds)
     )
+    views["v_user_outcome"] = """
+        select b.seq, b.provider, b.provider_user_id, b.user_name,
+               case when a.seq = b.seq then 'accepted'
+                    when o.provider is not null or a.seq < b.seq then 'duplicate_provider_key'
+                    else 'duplicate_user_name' end as outcome
+        from v_new_users b
+        left join v_accepted a on a.provider = b.provider
+             and a.provider_user_id = b.provider_user_id
+        left join (select distinct provider, provider_user_id from v_old_users) o
+          on o.provider = b.provider and o.provider_user_id = b.provider_user_id"""
     return views
 
 

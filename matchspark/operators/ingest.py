@@ -10,6 +10,8 @@ conflict key: one key may hold any share of a batch, and only its winner travels
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -131,58 +133,57 @@ def ingest_users(users: DataFrame, batch: DataFrame, seq: str = "seq") -> DataFr
 
     Outcomes: accepted, duplicate_provider_key, duplicate_user_name (the provider
     key is reported where both hold).  A row refused for one key must not block
-    others on its second key, so rows are decided in rounds: a row that is the
-    first open one under both its keys is accepted, what shares a key with an
-    accepted row is refused, the rest stays open.  Every round decides at least
-    the first open row of each conflict chain; without chains one round does.
+    others on its second key, so rows are decided in rounds: what shares a key with
+    a stored row is refused, a row that is the first open one under both its keys is
+    accepted, the rest stays open.  Every round decides at least the first open row
+    of each conflict chain; without chains one round does.
     """
-    keys = batch.select(seq, *PROVIDER_KEY, "user_name")
-    taken = users.select(*PROVIDER_KEY, "user_name")
-    decided: DataFrame | None = None
+    columns = [seq, *PROVIDER_KEY, "user_name"]
+    stored = users.select(F.lit(None).cast(batch.schema[seq].dataType).alias(seq), *columns[1:])
+    open_rows, taken = batch.select(*columns), stored
+    holders = [stored]
     while True:
-        settled = materialize(_refuse(keys, taken, seq), "users")
-        refused = settled.filter(F.col("outcome").isNotNull())
-        open_rows = settled.filter(F.col("outcome").isNull()).drop("outcome")
-        first_by_provider = open_rows.groupBy(*PROVIDER_KEY).agg(F.min(seq).alias(seq))
-        first_by_name = (
-            open_rows.filter(F.col("user_name").isNotNull())
-            .groupBy("user_name")
-            .agg(F.min(seq).alias(seq))
-            .select(seq)
-        )
-        no_name = open_rows.filter(F.col("user_name").isNull()).select(seq)
-        winners = (
-            first_by_provider.select(seq)
-            .join(first_by_name.unionByName(no_name), seq, "left_semi")
-            .withColumn("_won", F.lit(True))
-        )
-        state = materialize(open_rows.join(winners, seq, "left"), "users")
-        won = state.filter("_won").drop("_won")
-        now = refused.select(seq, "outcome").unionByName(
-            won.select(seq, F.lit(ACCEPTED).alias("outcome"))
-        )
-        decided = now if decided is None else decided.unionByName(now)
-        keys = state.filter(F.col("_won").isNull()).drop("_won")
-        if keys.isEmpty():
-            return batch.join(decided, seq)
-        # Rows still open conflict only with what this round accepted.
-        taken = won.select(*PROVIDER_KEY, "user_name")
-
-
-def _refuse(keys: DataFrame, taken: DataFrame, seq: str) -> DataFrame:
-    by_provider = taken.select(*PROVIDER_KEY).withColumn("_p", F.lit(True))
-    by_name = (
-        taken.filter(F.col("user_name").isNotNull())
-        .select("user_name")
-        .withColumn("_n", F.lit(True))
+        state = materialize(_decide(open_rows, taken, seq), "users")
+        taken = state.filter("won").select(*columns)
+        holders.append(taken)
+        open_rows = state.filter("not won").select(*columns)
+        if open_rows.isEmpty():
+            break
+    held = reduce(DataFrame.unionByName, holders).select(
+        *PROVIDER_KEY, F.col(seq).alias("_holder"), F.lit(True).alias("_held")
     )
-    outcome = F.when(F.col("_p"), "duplicate_provider_key").when(
-        F.col("_n"), "duplicate_user_name"
+    earlier = F.col("_held") & (F.col("_holder").isNull() | (F.col("_holder") < F.col(seq)))
+    outcome = (
+        F.when(F.col("_holder") == F.col(seq), ACCEPTED)
+        .when(earlier, "duplicate_provider_key")
+        .otherwise("duplicate_user_name")
     )
     return (
-        keys.join(by_provider, PROVIDER_KEY, "left")
-        .join(by_name, "user_name", "left")
-        .select(seq, *PROVIDER_KEY, "user_name", outcome.alias("outcome"))
+        batch.join(held, PROVIDER_KEY, "left")
+        .withColumn("outcome", outcome)
+        .select(*batch.columns, "outcome")
+    )
+
+
+def _decide(open_rows: DataFrame, taken: DataFrame, seq: str) -> DataFrame:
+    """The rows that conflict with no ``taken`` row, with ``won`` where accepted now."""
+    names = taken.filter(F.col("user_name").isNotNull()).select("user_name")
+    free = open_rows.join(taken.select(*PROVIDER_KEY), PROVIDER_KEY, "left_anti").join(
+        names, "user_name", "left_anti"
+    )
+    left = materialize(free.select(*open_rows.columns), "users")
+    # First rows are found by counting on the map side, and joined by seq.
+    by_provider = left.groupBy(*PROVIDER_KEY).agg(F.min(seq).alias(seq)).select(seq)
+    by_name = (
+        left.filter(F.col("user_name").isNotNull())
+        .groupBy("user_name")
+        .agg(F.min(seq).alias(seq))
+        .select(seq)
+    )
+    nameless = left.filter(F.col("user_name").isNull()).select(seq)
+    winners = by_provider.join(by_name.unionByName(nameless), seq, "left_semi")
+    return left.join(winners.withColumn("won", F.lit(True)), seq, "left").withColumn(
+        "won", F.coalesce("won", F.lit(False))
     )
 
 
