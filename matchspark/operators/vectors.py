@@ -65,7 +65,11 @@ def modelled_vectors(texts: DataFrame, model: Model) -> DataFrame:
 
     The model sees an iterator of batches, so it can load its weights once per task.
     """
-    return texts.withColumn("vector", F.pandas_udf(model, "array<float>")("text"))
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from model(batches)
+
+    return texts.withColumn("vector", F.pandas_udf(run, "array<float>")("text"))
 
 
 def embed_pending(

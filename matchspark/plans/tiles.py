@@ -88,7 +88,8 @@ def _multiplier(k: int, digits: int = SCORE_DIGITS, products: int = 4_000_000):
         import pandas as pd
 
         if left.empty or right.empty:
-            return pd.DataFrame({"left_id": [], "right_id": [], "score": []})
+            ids = pd.Series([], dtype="object")
+            return pd.DataFrame({"left_id": ids, "right_id": ids, "score": ids.astype(float)})
         right = right.sort_values("right_id", kind="stable")
         right_ids = right["right_id"].to_numpy()
         b = np.stack(right["vector"].to_numpy()).astype("float64").T

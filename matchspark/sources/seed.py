@@ -60,7 +60,9 @@ def load_seed(
                 new if step.table == "positions" else none,
                 now,
             )
-            tables["embeddings"] = tables["embeddings"].unionByName(pending)
+            tables["embeddings"] = tables["embeddings"].unionByName(
+                materialize(pending, "pending")
+            )
     return tables
 
 
