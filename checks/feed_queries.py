@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from checks.fixture import Fixture, ident
+from checks.fixture import Fixture, ident, padded
 from checks.query import query
 from checks.views_sql import k
 from matchspark.functions import requests as req
@@ -38,8 +38,6 @@ _PAIR_IDS = f"select 'rcm_' || {k('l_partkey')} || {k('l_orderkey % 1000')} as i
     _left_lookup(_PAIR_IDS, "v_recommendations", ["candidate_id", "position_id"]),
 )
 def recommendation_by_id(fx: Fixture) -> DataFrame:
-    from checks.fixture import padded
-
     ids = fx.raw("lineitem").select(
         F.concat(
             F.lit("rcm_"), padded("l_partkey"), padded(F.col("l_orderkey") % 1000)
@@ -207,8 +205,6 @@ _CLAMPED = (
 
 
 def _requests(fx: Fixture) -> DataFrame:
-    from checks.fixture import padded
-
     key = F.col("c_custkey")
     parts = fx.raw("part").count()
     return (

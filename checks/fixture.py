@@ -10,6 +10,11 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from matchspark.operators.ingest import first_per_key
+from matchspark.operators.matching import derive_matches
+from matchspark.plans.materialize import new_folder
+from matchspark.sources.tables import conform, load_tables, write_tables
+
 NOW = "2024-02-10 00:00:00"
 
 
@@ -191,8 +196,6 @@ class Fixture:
     @property
     def reactions(self) -> DataFrame:
         """The first of each key, found on the numeric keys before the ids are written out."""
-        from matchspark.operators.ingest import first_per_key
-
         order = ["l_shipdate", *REACTION_ORDER[1:]]
         firsts = first_per_key(self.reaction_sides, ["l_partkey", "o_custkey", "side"], order)
         return self.as_reactions(firsts).select(
@@ -235,8 +238,6 @@ class Fixture:
 
     @property
     def matches(self) -> DataFrame:
-        from matchspark.operators.matching import derive_matches
-
         return derive_matches(self.reactions, self.recommendations, self.positions)
 
     @property
@@ -256,6 +257,38 @@ class Fixture:
         )
 
 
+class LoadedFixture(Fixture):
+    """The matching tables as stored tables, written once instead of derived per query."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, root: str):
+        super().__init__(spark, sf_dir)
+        self.loaded = load_tables(spark, root, views=False)
+
+    def _table(name: str):
+        def stored(self) -> DataFrame:
+            return self.loaded[name].select(*getattr(super(LoadedFixture, self), name).columns)
+
+        return property(stored)
+
+    users = _table("users")
+    refresh_tokens = _table("refresh_tokens")
+    candidates = _table("candidates")
+    recruiters = _table("recruiters")
+    positions = _table("positions")
+    embeddings = _table("embeddings")
+    recommendations = _table("recommendations")
+    reactions = _table("reactions")
+    matches = _table("matches")
+
+
+def store_tables(spark: SparkSession, sf_dir: str) -> str:
+    """Write the nine tables of a fixture; their folder."""
+    root = new_folder(spark, "tables")
+    made = {name: conform(name, df) for name, df in Fixture(spark, sf_dir).tables().items()}
+    write_tables(made, root)
+    return root
+
+
 REACTION_ORDER = [
     "created_at",
     "l_orderkey",

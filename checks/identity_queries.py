@@ -6,15 +6,17 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from checks.feed_queries import _DUAL_VIEWS, dual_page
 from checks.fixture import NOW, Fixture, ident, timestamp_ntz
 from checks.query import query
 from matchspark.functions import names, requests, roles
-from matchspark.functions.usernames import ADJECTIVES, NOUNS, assign_user_names
+from matchspark.functions.usernames import ADJECTIVES, NOUNS, assign_user_names, draw_user_name
 from matchspark.operators import feeds, identity
 from matchspark.operators.integrity import union_all
 from matchspark.plans.materialize import new_folder
+from matchspark.schemas import TABLES
 from matchspark.sources import export
 from matchspark.sources.seed import SeedStep, load_seed
 from matchspark.streaming.matches import stream_matches
@@ -359,8 +361,6 @@ def _draw_views(draws: int) -> dict[str, str]:
 )
 def assign_usernames(fx: Fixture) -> DataFrame:
     """A tenth of the first draws is taken already, so that rows draw again."""
-    from matchspark.functions.usernames import draw_user_name
-
     ids = fx.users.select("id")
     taken = ids.filter("id like '%5'").select(draw_user_name("id", "n").alias("user_name"))
     return assign_user_names(ids, "id", taken, seed="n", draws=4)
@@ -530,10 +530,6 @@ def seed_insert_select(fx: Fixture) -> DataFrame:
 
 
 def _empty_tables(fx: Fixture) -> dict[str, DataFrame]:
-    from pyspark.sql import types as T
-
-    from matchspark.schemas import TABLES
-
     return {
         name: fx.spark.createDataFrame(
             [], T.StructType([T.StructField(f.name, f.dataType, True) for f in t.columns.fields])
@@ -634,7 +630,3 @@ def stream_matches_query(fx: Fixture) -> DataFrame:
     run = found.writeStream.format("parquet").option("checkpointLocation", checkpoint)
     run.option("path", out).trigger(availableNow=True).start().awaitTermination()
     return fx.spark.read.schema(found.schema).parquet(out)
-
-
-def reaction_pages(fx: Fixture) -> DataFrame:
-    return export.reaction_documents(feeds.reaction_history(fx.reactions), 50)

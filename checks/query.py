@@ -11,6 +11,7 @@ from checks.views_sql import with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+BUILDERS: dict[str, Callable[[Fixture], DataFrame]] = {}
 
 
 def query(name: str, sql: str | None = None, views: dict[str, str] | None = None):
@@ -21,6 +22,7 @@ def query(name: str, sql: str | None = None, views: dict[str, str] | None = None
             return build(Fixture(spark, sf_dir))
 
         run.__name__ = name
+        BUILDERS[name] = build
         QUERIES[name] = run
         if sql is not None:
             ORACLE[name] = with_views(sql, views)

@@ -6,6 +6,6 @@ from checks import (  # noqa: F401
     vector_queries,
     write_queries,
 )
-from checks.query import ORACLE, QUERIES
+from checks.query import BUILDERS, ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES"]
+__all__ = ["BUILDERS", "ORACLE", "QUERIES"]

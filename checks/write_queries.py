@@ -5,13 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from checks.fixture import REACTION_ORDER, Fixture, ident, padded, timestamp_ntz
+from checks.fixture import (
+    REACTION_ORDER,
+    Fixture,
+    ident,
+    padded,
+    store_tables,
+    timestamp_ntz,
+)
 from checks.query import query
 from checks.views_sql import k
 from matchspark.functions.ids import assign_ids
 from matchspark.operators import adjudicate, ingest, integrity
 from matchspark.operators.matching import derive_matches
 from matchspark.operators.vectors import enqueue_embeddings
+from matchspark.plans.materialize import new_folder
+from matchspark.sources import requests
+from matchspark.sources.tables import load_tables
 
 _TABLE_COUNTS = " union all ".join(
     f"select '{t}' as table_name, count(*) as n_rows from v_{t}"
@@ -30,15 +40,9 @@ _TABLE_COUNTS = " union all ".join(
 
 
 @query("load_tables", _TABLE_COUNTS)
-def load_tables(fx: Fixture) -> DataFrame:
+def load_tables_query(fx: Fixture) -> DataFrame:
     """Write the nine tables, load them through the typed registry, count them by SQL."""
-    from matchspark.plans.materialize import new_folder
-    from matchspark.sources import tables
-
-    root = new_folder(fx.spark, "tables")
-    made = {name: tables.conform(name, df) for name, df in fx.tables().items()}
-    tables.write_tables(made, root)
-    loaded = tables.load_tables(fx.spark, root)
+    loaded = load_tables(fx.spark, store_tables(fx.spark, fx.sf_dir))
     parts = [
         df.agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("table_name"), "n_rows")
         for name, df in loaded.items()
@@ -700,9 +704,6 @@ def matches(fx: Fixture) -> DataFrame:
 )
 def reaction_ingest(fx: Fixture) -> DataFrame:
     """Write the requests as text lines, then read and decode them."""
-    from matchspark.plans.materialize import new_folder
-    from matchspark.sources import requests
-
     made = _reaction_requests(fx)
     fields = F.concat(
         F.lit('"seq": "'),
