@@ -290,9 +290,7 @@ def clean_names(fx: Fixture) -> DataFrame:
         fx.raw("pages").select(F.lit("pages"), "page_id", "html"),
     ]
     texts = reduce(DataFrame.unionAll, parts)
-    return texts.select("source", "id", names.clean_name("raw").alias("c")).select(
-        "source", "id", "c.*"
-    )
+    return names.clean_names(texts, "raw").drop("raw")
 
 
 _ABOUT_TEXTS = """
@@ -318,9 +316,7 @@ def clean_abouts(fx: Fixture) -> DataFrame:
         fx.raw("part").select(F.lit("part"), "p_partkey", repeated),
     ]
     texts = reduce(DataFrame.unionAll, parts)
-    return texts.select("source", "id", names.clean_about("raw").alias("c")).select(
-        "source", "id", "c.*"
-    )
+    return names.clean_abouts(texts, "raw").drop("raw")
 
 
 def _drawn_sql(draw: int) -> str:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchspark.functions.bodies import decode_body
+from matchspark.functions.bodies import decode_bodies
 from matchspark.functions.requests import valid_reaction_type
 from matchspark.operators.ingest import REACTION_KEY, accepted_rows
+from matchspark.plans.materialize import materialize
 
 CREATED, BAD_REQUEST, FORBIDDEN, NOT_FOUND, CONFLICT, NO_ROLE = 201, 400, 403, 404, 409, 500
 
@@ -19,7 +20,7 @@ def adjudicate_reactions(
     order: list[str],
     seq: str = "seq",
 ) -> DataFrame:
-    """The requests with ``status``, ``reason``, ``reactor_type`` and ``reaction_type``.
+    """The requests, without ``body``, with status, reason, reactor_type and reaction_type.
 
     ``requests``: seq (unique), candidate_id (NULL without the role),
     recommendation_id, body, and the ``order`` columns.  The first rule that
@@ -29,28 +30,27 @@ def adjudicate_reactions(
         F.col("id").alias("recommendation_id"),
         F.col("candidate_id").alias("_owner"),
     )
-    body = F.col("_body")
     no_id = F.coalesce("recommendation_id", F.lit("")) == ""
     reason = (
         F.when(F.col("candidate_id").isNull(), "no_candidate_role")
         .when(no_id, "id_required")
         .when(F.col("_owner").isNull(), "recommendation_not_found")
         .when(F.col("_owner") != F.col("candidate_id"), "not_own_recommendation")
-        .when(body["error"].isNotNull(), "invalid_body")
-        .when(~valid_reaction_type(body["reaction_type"]), "invalid_reaction_type")
-    )
-    read = (
-        requests.withColumn("_body", decode_body("body", ["reaction_type"]))
-        .withColumn("reaction_type", body["reaction_type"])
-        .withColumn("reactor_type", F.lit("candidate"))
+        .when(F.col("_error").isNotNull(), "invalid_body")
+        .when(~valid_reaction_type("reaction_type"), "invalid_reaction_type")
     )
+    # Written once: the bodies are decoded for two branches, and their conditions
+    # would otherwise be pushed down as repeated regular expressions.
+    read = materialize(
+        decode_bodies(requests, "body", ["reaction_type"], "_error").drop("body"), "requests"
+    ).withColumn("reactor_type", F.lit("candidate"))
     # Whether a request names its own recommendation is the same for all requests
     # of one key, so the first well-formed one per key is found without the join,
     # on rows cut per map task however often a recommendation is named.
     well_formed = read.filter(
         F.col("candidate_id").isNotNull()
         & ~no_id
-        & body["error"].isNull()
+        & F.col("_error").isNull()
         & valid_reaction_type("reaction_type")
     ).select(
         *dict.fromkeys([seq, *order]),
@@ -79,7 +79,7 @@ def adjudicate_reactions(
             ),
         )
         .withColumn("status", status)
-        .drop("_stored", "_body", "_owner")
+        .drop("_stored", "_error", "_owner")
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchspark.functions.names import clean_name
+from matchspark.functions.names import clean_names
 from matchspark.operators.lookups import first_recruiter
 
 NOT_FOUND, NO_ROLE, OK, AMBIGUOUS = "not_found", "no_role", "ok", "ambiguous"
@@ -87,8 +87,9 @@ def claims_to_users(claims: DataFrame) -> DataFrame:
         claims.withColumn("_google", F.when(F.col("provider") == "google", google))
         .withColumn("_apple", F.when(F.col("provider") == "apple", apple))
         .withColumn("_person", F.when(F.col("provider") == "apple", person))
-        .withColumn("_name", clean_name(F.coalesce("_google.name", F.lit(""))))
+        .withColumn("_raw", F.coalesce("_google.name", F.lit("")))
     )
+    parsed = clean_names(parsed, "_raw", "_name", "_fault")
 
     def text(path: str):
         return F.coalesce(F.col(path), F.lit(""))
@@ -105,7 +106,7 @@ def claims_to_users(claims: DataFrame) -> DataFrame:
         is_google,
         F.when(google_bad, "unreadable_claims")
         .when(~F.coalesce("_google.email_verified", F.lit(False)), "email_not_verified")
-        .otherwise(F.concat(F.lit("name_"), F.col("_name.error"))),
+        .otherwise(F.concat(F.lit("name_"), F.col("_fault"))),
     ).otherwise(F.when(apple_bad, "unreadable_claims"))
     person_read = F.col("_person").isNotNull() & F.col("_person._bad").isNull()
     apple_name = F.when(
@@ -124,9 +125,11 @@ def claims_to_users(claims: DataFrame) -> DataFrame:
             F.when(good, F.when(is_google, text("_google.email")).otherwise(text("_apple.email"))),
         )
         .withColumn(
-            "full_name", F.when(good, F.when(is_google, F.col("_name.value")).otherwise(apple_name))
+            "full_name", F.when(good, F.when(is_google, F.col("_name")).otherwise(apple_name))
+        )
+        .drop(
+            "_google", "_apple", "_person", "_raw", "_name", "_fault", "claims_json", "user_json"
         )
-        .drop("_google", "_apple", "_person", "_name", "claims_json", "user_json")
     )
 
 
