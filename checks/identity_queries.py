@@ -624,5 +624,13 @@ def stream_matches_query(fx: Fixture) -> DataFrame:
     # Both bounds cover the whole log, so that no pair is lost.
     found = stream_matches(stream, fx.recommendations, fx.positions, "4000 days", "4000 DAYS")
     run = found.writeStream.format("parquet").option("checkpointLocation", checkpoint)
-    run.option("path", out).trigger(availableNow=True).start().awaitTermination()
+    # A stream keeps the partition count of its state from its first start on.
+    before = fx.spark.conf.get("spark.sql.shuffle.partitions")
+    fx.spark.conf.set(
+        "spark.sql.shuffle.partitions", str(fx.spark.sparkContext.defaultParallelism)
+    )
+    try:
+        run.option("path", out).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        fx.spark.conf.set("spark.sql.shuffle.partitions", before)
     return fx.spark.read.schema(found.schema).parquet(out)

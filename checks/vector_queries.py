@@ -53,11 +53,36 @@ def inner_product_topk_approx(fx: Fixture) -> DataFrame:
     return vectors.inner_product_topk_approx(fx.embeddings, 10, dimension=DIMENSION)
 
 
-@query("embed_pending")
+@query(
+    "embed_pending",
+    """
+    select q.object_id, q.object_type,
+           case when p.id is null then 'failed' else 'done' end as status,
+           case when p.id is not null then cast(64 as integer) end as dimension,
+           case when p.id is not null then cast(1.0 as double) end as norm
+    from (select object_id, object_type from v_embeddings where status = 'pending'
+          union all
+          select n.id, n.kind from v_profiles n left join v_embeddings e
+            on e.object_id = n.id and e.object_type = n.kind where e.object_id is null) q
+    left join v_profiles p on p.id = q.object_id and p.kind = q.object_type""",
+    {
+        "v_profiles": """
+            select id, 'candidate' as kind from v_candidates
+            union all select id, 'position' from v_positions""",
+    },
+)
 def embed_pending(fx: Fixture) -> DataFrame:
-    """Every profile without a vector is queued, then embedded."""
+    """Every profile without a vector is queued, then embedded; the hash is not known to SQL."""
     now = timestamp_ntz("2024-02-10")
     queue = fx.embeddings.withColumn("created_at", now).withColumn("updated_at", now)
     pending = vectors.enqueue_embeddings(queue, fx.candidates, fx.positions, now)
     texts = vectors.profile_texts(fx.candidates, fx.positions)
-    return vectors.embed_pending(queue.unionByName(pending), texts, now, DIMENSION)
+    made = vectors.embed_pending(queue.unionByName(pending), texts, now, DIMENSION)
+    squares = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") ** 2)
+    return made.select(
+        "object_id",
+        "object_type",
+        "status",
+        F.when(F.col("embedding").isNotNull(), F.size("embedding")).alias("dimension"),
+        F.round(F.sqrt(squares), 3).alias("norm"),
+    )

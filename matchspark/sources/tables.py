@@ -41,6 +41,26 @@ def write_tables(tables: dict[str, DataFrame], root: str) -> None:
         df.write.partitionBy(*PARTITIONED_BY.get(name, [])).parquet(f"{root}/{name}")
 
 
+# Joined on the reaction key by every feed and by the matches.
+BUCKETED_BY = {
+    "recommendations": ["id", "candidate_id"],
+    "reactions": ["recommendation_id", "reactor_id"],
+}
+
+
+def write_bucketed(df: DataFrame, name: str, path: str, buckets: int, table: str) -> DataFrame:
+    """Store recommendations or reactions so that joins between them need no shuffle.
+
+    ``table`` is the catalog name; both tables must have the same number of buckets.
+    A bucket should fill a few files of usual size; keys are nearly unique, so
+    buckets are even.
+    """
+    columns = BUCKETED_BY[name]
+    writer = df.repartition(buckets, *columns).write.bucketBy(buckets, *columns)
+    writer.sortBy(*columns).option("path", path).saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
 def load_tables(
     spark: SparkSession, root: str, names: list[str] | None = None, views: bool = True
 ) -> dict[str, DataFrame]:

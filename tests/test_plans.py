@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from matchspark.operators import adjudicate, feeds, identity, ingest
 from matchspark.plans.materialize import materialize, shared_folder
+from matchspark.sources.tables import write_bucketed
 
 
 @pytest.fixture
@@ -86,6 +87,24 @@ def test_pages_are_cut_before_the_shuffle(large):
     assert not any("title" in s and "recruiter_id" in s for s in scans)
 
 
+def test_bucketed_tables_join_without_a_shuffle(large, tmp_path):
+    recommendations, positions, reactions = tables(large)
+    stored = {
+        name: write_bucketed(df, name, str(tmp_path / name), 8, f"plans_{name}")
+        for name, df in [("recommendations", recommendations), ("reactions", reactions)]
+    }
+    try:
+        rows = stored["recommendations"].select(
+            F.col("id").alias("recommendation_id"), "candidate_id", "position_id"
+        )
+        left = feeds.exclude_reacted(rows, stored["reactions"], "candidate", "candidate_id")
+        assert "Exchange" not in plan_of(left)
+        assert left.count() == N - reactions.count()
+    finally:
+        for name in stored:
+            large.sql(f"drop table plans_{name}")
+
+
 def test_hot_position_is_split(large):
     recommendations, positions, _ = tables(large)
     plan = run(feeds.recruiter_recommendations(recommendations, positions))
