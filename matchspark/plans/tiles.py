@@ -42,24 +42,28 @@ def tiled_top_k(
     precision and rounded to six digits; equal scores rank by ``right_id``.
 
     The caller makes sure that the number of groups is bounded: the tile counts
-    (one row per group) are broadcast.
+    (one row per group) are broadcast.  Without groups they are two numbers.
     """
-    # A constant group makes the whole input one group.
-    group = group or ["_all"]
-    if group == ["_all"]:
-        left, right = left.withColumn("_all", F.lit(0)), right.withColumn("_all", F.lit(0))
+    group = group or []
     left, right = left.filter("vector is not null"), right.filter("vector is not null")
-    grid = F.broadcast(
-        _tile_counts(left, group, tile_rows, "_l").join(
-            _tile_counts(right, group, tile_rows, "_r"), group
+    if group:
+        tiles = F.broadcast(
+            _tile_counts(left, group, tile_rows, "_l").join(
+                _tile_counts(right, group, tile_rows, "_r"), group
+            )
         )
-    )
+        left, right = left.join(tiles, group), right.join(tiles, group)
+    else:
+        counts = {
+            name: F.lit(max(1, -(-rows.count() // tile_rows)))
+            for name, rows in [("_l", left), ("_r", right)]
+        }
+        left, right = left.withColumns(counts), right.withColumns(counts)
 
     def placed(rows: DataFrame, row_id: str, own: str, other: str) -> DataFrame:
         """Each row in its own tile, once for every tile of the other side."""
         return (
-            rows.join(grid, group)
-            .withColumn(f"{own}_tile", F.pmod(F.xxhash64(row_id), F.col(own)).cast("int"))
+            rows.withColumn(f"{own}_tile", F.pmod(F.xxhash64(row_id), F.col(own)).cast("int"))
             .withColumn(f"{other}_tile", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
             .drop("_l", "_r")
         )
