@@ -13,7 +13,7 @@ from checks.fixture import NOW, Fixture, ident, timestamp_ntz
 from checks.query import query
 from matchspark.functions import names, requests, roles
 from matchspark.functions.usernames import ADJECTIVES, NOUNS, assign_user_names, draw_user_name
-from matchspark.operators import feeds, identity
+from matchspark.operators import identity
 from matchspark.operators.integrity import union_all
 from matchspark.plans.materialize import new_folder
 from matchspark.schemas import TABLES
@@ -190,7 +190,7 @@ def session_state(fx: Fixture) -> DataFrame:
 
 
 def _holders(fx: Fixture) -> DataFrame:
-    known = identity._roles(
+    known = identity.roles_of(
         fx.users.select(F.col("id").alias("user_id")), fx.candidates, fx.recruiters
     )
     none = F.col("candidate_id").isNull() & F.col("recruiter_id").isNull()

@@ -321,8 +321,9 @@ def ingest_refresh_tokens(fx: Fixture) -> DataFrame:
 
 @query(
     "assign_ulids",
-    f"""select o_orderkey, {ulid_sql('rcm', '((epoch_us(o_orderdate) + 500) // 1000)', "'x|' || o_orderkey")} as id
-        from orders""",
+    "select o_orderkey, "
+    + ulid_sql("rcm", "((epoch_us(o_orderdate) + 500) // 1000)", "'x|' || o_orderkey")
+    + " as id from orders",
 )
 def assign_ulids(fx: Fixture) -> DataFrame:
     orders = fx.raw("orders").withColumn("o_orderkey", F.col("o_orderkey").cast("string"))
@@ -415,6 +416,9 @@ def cascade_delete(fx: Fixture) -> DataFrame:
     )
 
 
+_OWNER_KEY = "case when s_suppkey % 10 = 1 then s_suppkey - 1 else s_suppkey end"
+
+
 def _orphans(child: str, column: str, parent: str, where: str = "true") -> str:
     return f"""
         select '{child}' as child, '{column}' as "column", '{parent}' as parent,
@@ -444,7 +448,7 @@ def _orphans(child: str, column: str, parent: str, where: str = "true") -> str:
     {
         "v_recruiters": f"""
             select 'rec_' || {k('s_suppkey')} as id,
-                   'usr_' || {k('case when s_suppkey % 10 = 1 then s_suppkey - 1 else s_suppkey end')}
+                   'usr_' || {k(_OWNER_KEY)}
                        as user_id
             from supplier where s_suppkey % 10 <> 7""",
     },

@@ -11,7 +11,8 @@ from matchspark.operators.lookups import first_recruiter
 NOT_FOUND, NO_ROLE, OK, AMBIGUOUS = "not_found", "no_role", "ok", "ambiguous"
 
 
-def _roles(users: DataFrame, candidates: DataFrame, recruiters: DataFrame) -> DataFrame:
+def roles_of(users: DataFrame, candidates: DataFrame, recruiters: DataFrame) -> DataFrame:
+    """``users`` (user_id, ...) with candidate_id, recruiter_id and recruiter_count."""
     own = candidates.select("user_id", F.col("id").alias("candidate_id"))
     return users.join(own, "user_id", "left").join(first_recruiter(recruiters), "user_id", "left")
 
@@ -31,7 +32,7 @@ def user_by_provider(
 
     Of several recruiters the smallest id counts.
     """
-    known = _roles(
+    known = roles_of(
         users.select("provider", "provider_user_id", F.col("id").alias("user_id")),
         candidates,
         recruiters,
@@ -48,7 +49,7 @@ def user_roles(
 
     More than one recruiter is an error for that user alone: ``ambiguous``.
     """
-    known = _roles(
+    known = roles_of(
         users.select(F.col("id").alias("user_id"), "provider"), candidates, recruiters
     ).withColumn("_known", F.lit(True))
     joined = requests.select("user_id", "provider").join(known, ["user_id", "provider"], "left")

@@ -159,7 +159,7 @@ def inner_product_topk_approx(
     left: str = "candidate",
     right: str = "position",
     dimension: int = EMBEDDING_DIMENSION,
-    tables: int = 8,
+    tables: int = 16,
     bits: int = 6,
     seed: int = 0,
     tile_rows: int | None = None,
