@@ -37,9 +37,9 @@ from pyspark.sql import functions as F
 from matchspark.llm.text import LOWER, SOLID, pieces, word_hashes, word_spans
 from matchspark.llm.workdir import stored
 
-DEPTH = 5
-MIN_SHARE = 5e-5
-MIN_GAIN = 40.0
+DEPTH = 6
+MIN_SHARE = 1e-5
+MIN_GAIN = 10.0
 #: Words cannot hold a tab, so it stands for the end; a line feed stands for what precedes a text.
 SPACE, END, BEFORE = 32, 9, 10
 SYMBOLS = 256

@@ -10,8 +10,8 @@ Every hit is weighed by the ``AROUND`` words on either side: in quotation marks
 words of reporting it counts as quotation, beside other hits as abuse.  A logistic model over
 those sums gives the score.
 
-The lexicon and the model are fitted on at most ``SAMPLE`` labelled texts of each class (by
-the smallest hash of the id), one half mining terms and the other half weighing features;
+The lexicon and the model are fitted on at most ``SAMPLE`` toxic and twice as many clean labelled
+texts (by the smallest hash of the id), one half mining terms and the other half weighing features;
 terms of both halves are used afterwards.  Scoring covers every whole text.  Null or empty texts
 have no hits and get the score of no hits.  Several labels for one id: the largest counts.
 Without labelled rows of both classes the fixed ``FALLBACK`` weights hold.
@@ -34,7 +34,7 @@ BASE_TERMS = ("clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scu
 REPORTING = frozenset(b"said says saying wrote writes called calls quote quoted quotes reported reports according".split())
 
 SAMPLE = 3000
-LEAST_TEXTS = 3
+PURITY = 0.98
 ONE_EDIT, TWO_EDITS = 5, 9
 AROUND = 8
 THRESHOLD = 0.7
@@ -178,28 +178,47 @@ class Lexicon:
 
 
 def mine_terms(texts: list[tuple[str, int]]) -> tuple[dict[bytes, float], Counter]:
-    """(terms with weights in 0..1, texts of each clean word) from labelled texts."""
+    """(terms with weights in 0..1, texts of each clean word) from labelled texts.
+
+    A term stands almost only in toxic texts, and between so many different neighbours (copies of
+    a text count once) that chance would hardly give one such word in the whole vocabulary.
+    """
     seen = (Counter(), Counter())
+    around: dict[bytes, set[tuple[bytes, bytes]]] = {}
     for text, label in texts:
-        seen[label].update(set(_word.findall((text or "").encode().lower())))
+        words = _word.findall((text or "").encode().lower())
+        seen[label].update(set(words))
+        if label:
+            for near in zip([b"", *words], words, [*words[1:], b""]):
+                around.setdefault(near[1], set()).add((near[0], near[2]))
     bad, good = max(1, sum(y for _, y in texts)), max(1, sum(1 - y for _, y in texts))
+    least = math.log(100 * max(1, len(seen[0] | seen[1]))) / math.log((bad + good) / bad)
     weights = {}
     for word, n in seen[1].items():
         rate = (n / bad) / (n / bad + seen[0][word] / good)
-        if n >= LEAST_TEXTS and len(word) >= 4 and rate >= 0.98:
+        if rate >= PURITY and len(word) >= 4 and min(n, len(around[word])) >= least:
             weights[word] = rate
     return weights, seen[0]
 
 
 def _fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Logistic regression by Newton steps, pulled towards FALLBACK's weights."""
+    """Logistic regression by damped Newton steps, pulled towards FALLBACK's weights."""
     x = np.hstack([np.ones((len(x), 1)), x])
-    prior = np.array([0.01, 1.0, 1.0, 1.0, 1.0])
+    prior = np.array([0.1, 1.0, 1.0, 1.0, 1.0])
+
+    def loss(w):
+        z = x @ w
+        return np.sum(np.logaddexp(0, z) - y * z) + 0.5 * np.sum(prior * (w - FALLBACK) ** 2)
+
     w = FALLBACK.copy()
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         slope = x.T @ (p - y) + prior * (w - FALLBACK)
-        w = w - np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(prior), slope)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(prior), slope)
+        size = 1.0
+        while size > 1e-4 and loss(w - size * step) > loss(w):
+            size /= 2
+        w = w - size * step
     w[1:] = np.maximum(w[1:], 0.1)  # a hit never speaks for a clean text
     return w
 
@@ -233,15 +252,15 @@ def fit(texts: list[tuple[str, int]]) -> Model:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, allowed: Callable[[Column], Column], sample: int = SAMPLE) -> list[tuple[str, int]]:
-    """At most ``sample`` (text, label) of each class among the ids that ``allowed`` admits."""
+    """At most ``sample`` toxic and twice as many clean (text, label) among the ids that ``allowed`` admits."""
     marks = labels.select(F.col("doc_id").alias("__id"), "toxic").where("toxic in (0, 1)").groupBy("__id").agg(F.max("toxic").alias("toxic"))
     marks = marks.where(allowed(F.col("__id")))
     order = F.xxhash64("__id")
     chosen = None
     for y in (0, 1):
-        some = marks.where(F.col("toxic") == y).orderBy(order, "__id").limit(sample)
+        some = marks.where(F.col("toxic") == y).orderBy(order, "__id").limit(sample * (2 - y))
         chosen = some if chosen is None else chosen.unionByName(some)
-    # 2 x sample ids: a bounded broadcast.
+    # 3 x sample ids: a bounded broadcast.
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))
     table = rows.dropDuplicates(["doc_id"]).select("doc_id", "text", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()
     return list(zip(table.column("text").to_pylist(), table.column("toxic").to_pylist()))
