@@ -77,7 +77,7 @@ def _grams(seq: np.ndarray, offsets: np.ndarray, depth: int) -> np.ndarray:
     code = seq.astype(np.uint64)
     for k in range(1, depth + 1):
         earlier = np.full(n, BEFORE, np.uint64)
-        earlier[k:] = seq[: n - k]
+        earlier[k:] = seq[: max(0, n - k)]
         earlier[place < k] = BEFORE
         code |= earlier << np.uint64(8 * k)
     return code

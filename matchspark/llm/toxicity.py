@@ -38,8 +38,10 @@ PURITY = 0.98
 ONE_EDIT, TWO_EDITS = 5, 9
 AROUND = 8
 THRESHOLD = 0.7
-#: Intercept and weights of exact, misspelt, quoted and crowded hits, where nothing can be learnt.
-FALLBACK = np.array([-3.0, 4.0, 1.5, 0.6, 1.0])
+#: A misspelt hit counts as so much of an exact one.
+MISSPELT = 0.6
+#: Intercept and weights of abusive hits, the misspelt ones among them, quoted and crowded hits, where nothing can be learnt.
+FALLBACK = np.array([-3.0, 4.5, 0.0, 0.6, 1.0])
 CACHE = 300_000
 
 _word = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -148,8 +150,8 @@ class Lexicon:
         self.known[word] = found
         return found
 
-    def features(self, text: str | None) -> tuple[float, float, float, float]:
-        """Sums over hits: exact, misspelt, quoted, and crowded (other hits close by), log-scaled."""
+    def features(self, text: str | None) -> tuple[float, ...]:
+        """Sums over hits: abusive, misspelt, quoted, and crowded (other hits close by), log-scaled; one hit is about 1."""
         data = (text or "").encode().lower()
         words = _word.findall(data)
         look = self.look
@@ -174,14 +176,15 @@ class Lexicon:
             else:
                 exact += weight
             crowded += (n > 0 and i - at[n - 1] <= AROUND) or (n + 1 < len(at) and at[n + 1] - i <= AROUND)
-        return math.log1p(exact), math.log1p(misspelt), math.log1p(quoted), math.log1p(crowded)
+        sums = (exact + MISSPELT * misspelt, misspelt, quoted, crowded)
+        return tuple(math.log1p(4 * x) / math.log(5) for x in sums)
 
 
 def mine_terms(texts: list[tuple[str, int]]) -> tuple[dict[bytes, float], Counter]:
     """(terms with weights in 0..1, texts of each clean word) from labelled texts.
 
-    A term stands almost only in toxic texts, and between so many different neighbours (copies of
-    a text count once) that chance would hardly give one such word in the whole vocabulary.
+    A term stands almost only in toxic texts, first of all between so many different neighbours (copies
+    of a text count once) that chance would hardly give one such word in the whole vocabulary.
     """
     seen = (Counter(), Counter())
     around: dict[bytes, set[tuple[bytes, bytes]]] = {}
@@ -189,14 +192,15 @@ def mine_terms(texts: list[tuple[str, int]]) -> tuple[dict[bytes, float], Counte
         words = _word.findall((text or "").encode().lower())
         seen[label].update(set(words))
         if label:
-            for near in zip([b"", *words], words, [*words[1:], b""]):
-                around.setdefault(near[1], set()).add((near[0], near[2]))
+            first = {w: (a, b) for a, w, b in reversed(list(zip([b"", *words], words, [*words[1:], b""])))}
+            for word, sides in first.items():
+                around.setdefault(word, set()).add(sides)
     bad, good = max(1, sum(y for _, y in texts)), max(1, sum(1 - y for _, y in texts))
     least = math.log(100 * max(1, len(seen[0] | seen[1]))) / math.log((bad + good) / bad)
     weights = {}
     for word, n in seen[1].items():
         rate = (n / bad) / (n / bad + seen[0][word] / good)
-        if rate >= PURITY and len(word) >= 4 and min(n, len(around[word])) >= least:
+        if rate >= PURITY and len(word) >= 4 and len(around[word]) >= least:
             weights[word] = rate
     return weights, seen[0]
 
@@ -219,7 +223,7 @@ def _fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         while size > 1e-4 and loss(w - size * step) > loss(w):
             size /= 2
         w = w - size * step
-    w[1:] = np.maximum(w[1:], 0.1)  # a hit never speaks for a clean text
+    w[[1, 3, 4]] = np.maximum(w[[1, 3, 4]], 0.1)  # a hit never speaks for a clean text
     return w
 
 

@@ -1,0 +1,111 @@
+import random
+from itertools import combinations
+
+import numpy as np
+import pyarrow as pa
+from llm_frames import frame, words
+
+from matchspark.llm import hyperminhash
+from matchspark.llm.components import components
+from matchspark.llm.text import pieces, shingle_sets
+
+
+def shingles(text):
+    w = (text or "").split()
+    w = [x.lower() for x in w]
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+
+
+def brute(rows):
+    sets = {d: shingles(t) for d, t in rows}
+    parent = {d: d for d in sets}
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in combinations(sorted(sets), 2):
+        if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]) and sets[a] and sets[b]:
+            x, y = sorted((top(a), top(b)))
+            parent[y] = x
+    return {d: (len(sets[d]), top(d), top(d) == d) for d in sets}
+
+
+def changed(rng, text, n):
+    w = text.split()
+    for _ in range(n):
+        w[rng.randrange(len(w))] = f"new{rng.randrange(10**6)}"
+    return " ".join(w)
+
+
+def corpus(seed):
+    """Chains of edits, groups of copies, groups near the threshold and small texts."""
+    rng = random.Random(seed)
+    rows, base = [], [words(rng, rng.choice([3, 5, 6, 12, 40, 200, 700]), 5000) for _ in range(60)]
+    for t in base:
+        rows.append(t)
+        for _ in range(rng.choice([0, 1, 3, 12])):
+            kind = rng.random()
+            if kind < 0.3:
+                rows.append(t)
+            elif kind < 0.5:
+                rows.append(t.upper().replace(" ", "  \n"))
+            else:
+                t = changed(rng, t, max(1, len(t.split()) // rng.choice([50, 80, 150])))
+                rows.append(t)
+    rows += ["", None, " "]
+    ids = rng.sample(range(10**6), len(rows))
+    return list(zip(ids, rows))
+
+
+def test_equals_brute_force(spark):
+    rows = corpus(5)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in hyperminhash.near_duplicates(frame(spark, rows)).collect()}
+    expected = brute(rows)
+    assert got == expected
+    assert sum(not k for _, _, k in expected.values()) > 60
+
+
+def test_a_large_group_around_one_text(spark, monkeypatch):
+    """Variants of one text that reach it, but mostly not each other, are found across slices and blocks."""
+    monkeypatch.setattr(hyperminhash, "SLICE", 7)
+    monkeypatch.setattr(hyperminhash, "BLOCK", 5)
+    rng = random.Random(8)
+    text = words(rng, 400, 10**6)
+    # The base does not have the smallest id, so stars alone would miss it.
+    rows = [(500, text)] + [(i, changed(rng, text, 5)) for i in range(60)] + [(1000 + i, words(rng, 300, 10**6)) for i in range(40)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in hyperminhash.near_duplicates(frame(spark, rows)).collect()}
+    assert got == brute(rows)
+
+
+def test_estimates_follow_jaccard():
+    rng = random.Random(1)
+    for share in (0.3, 0.6, 0.9):
+        pool = [words(rng, 1, 10**9) for _ in range(3000)]
+        a, b = " ".join(pool[:2000]), " ".join(pool[: int(2000 * share)] + pool[2000:])
+        batch = pa.RecordBatch.from_pydict({"text": [a, b]})
+        ((_, data, offsets),) = pieces([batch])
+        x, y = shingle_sets(data, offsets)
+        true = len(np.intersect1d(x, y)) / len(np.union1d(x, y))
+        got = hyperminhash.estimate(hyperminhash.registers(x), hyperminhash.registers(y))
+        assert abs(got - true) < 0.2
+
+
+def test_components(spark):
+    rng = random.Random(2)
+    edges = [(i, i + 1) for i in range(0, 300)] + [(1000, 1000 + i) for i in range(1, 200)]
+    rng.shuffle(edges)
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(301)}, **{1000 + i: 1000 for i in range(200)}}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_odd_rows(spark, odd, none):
+    got = hyperminhash.near_duplicates(odd).collect()
+    assert len(got) == odd.count()
+    assert all(r["kept"] for r in got)
+    assert {r["doc_id"]: r["n_shingles"] for r in got if r["doc_id"] in (1, 2, 3, 4)} == {1: 0, 2: 0, 3: 0, 4: 1}
+    assert hyperminhash.near_duplicates(none).count() == 0
+    kept = hyperminhash.one_of_each(odd)
+    assert kept.columns == odd.columns and kept.count() == odd.count()
