@@ -16,7 +16,7 @@ of a fixed pseudo-random other bucket that is not empty.
    pairs that would still join two components.
 4. Buckets that still hold several components are completed: their members are compared
    across components inside tasks, block by block, and what passes the estimate is confirmed
-   too.  So no link that a band shows is lost, while copies that are already joined cost nothing.
+   there.  So no link that a band shows is lost, while only links that join components are put out.
 
 Texts without words have no set and are linked with nothing.  Rows without doc_id are kept
 and linked with nothing.  A repeated doc_id is one document (its rows' smallest set hash).
@@ -44,7 +44,7 @@ COLLISION = 0.169919487159739093975315012348630288992889 / 2**MANTISSA
 THRESHOLD = (85, 100)
 #: Members of one confirmation task slice, and of one block in a bucket that holds several components.
 SLICE = 256
-BLOCK = 1024
+BLOCK = 512
 
 _probe = mix(np.arange(BUCKETS * 64, dtype=np.uint64)).reshape(BUCKETS, 64) % np.uint64(BUCKETS)
 _probe = np.concatenate([_probe.astype(np.int64), (np.arange(BUCKETS)[:, None] + np.arange(1, BUCKETS)) % BUCKETS], axis=1)
@@ -91,7 +91,7 @@ def signatures(docs: DataFrame, shingle: int = 5) -> DataFrame:
 
 
 def band_keys(reps: DataFrame) -> DataFrame:
-    """(key, rep): one row per band of each representative."""
+    """(key, band, rep): one row per band of each representative."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
@@ -103,9 +103,10 @@ def band_keys(reps: DataFrame) -> DataFrame:
             with np.errstate(over="ignore"):
                 keys = mix(mix(bands) + salt)
             rep = np.repeat(batch.column("rep").to_numpy(zero_copy_only=False), BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(rep)], names=["key", "rep"])
+            band = np.tile(np.arange(BANDS, dtype=np.int32), batch.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(band), pa.array(rep)], names=["key", "band", "rep"])
 
-    return reps.select("rep", "registers").mapInArrow(scan, "key long, rep long")
+    return reps.select("rep", "registers").mapInArrow(scan, "key long, band int, rep long")
 
 
 def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -180,38 +181,58 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, threshold: tupl
     return rows.mapInArrow(scan, "a long, b long")
 
 
-def _across(buckets: DataFrame, reps: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """Pairs of members of different components that share a bucket and may be links.
+def _across(buckets: DataFrame, reps: DataFrame, texts: DataFrame, shingle: int, threshold: tuple[int, int]) -> DataFrame:
+    """(a, b): links that join the components of members sharing a bucket, confirmed on full sets.
 
     A bucket is cut into blocks of about ``BLOCK`` members; each pair of blocks meets in one
-    group, whose registers are compared there.  Only what passes is put out.
+    group.  Members of different components whose estimate allows it are confirmed there, in the
+    first band they share, and a link that joins two components is put out: a row per member at most.
     """
+    part, whole = threshold
     blocks = buckets.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     rows = (
         buckets.join(blocks, "key")
         .withColumn("block", F.pmod(F.xxhash64("rep", "key"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", "rep", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-        .join(reps.select("rep", "registers", "n_shingles"), "rep")
+        .select("key", "band", "rep", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+        .join(reps.select("rep", "registers", "n_shingles").join(texts, F.col("rep") == F.col("doc_id")).drop("doc_id"), "rep")
     )
 
     def compare(group: pa.Table) -> pa.Table:
-        rep, comp, n, block, i = (group.column(c).to_numpy() for c in ("rep", "component", "n_shingles", "block", "i"))
+        band = group.column("band")[0].as_py()
+        rep, n, block, i = (group.column(c).to_numpy() for c in ("rep", "n_shingles", "block", "i"))
+        comp = group.column("component").to_numpy().copy()
         regs = np.frombuffer(b"".join(group.column("registers").to_pylist()), np.uint16).reshape(-1, BUCKETS)
+        bands = regs.reshape(-1, BANDS, ROWS)
         right_only = block != i
         left = np.flatnonzero(~right_only)
         right = np.flatnonzero(right_only) if right_only.any() else left
-        a, b = [], []
+        sets: list[np.ndarray] | None = None
+        links: list[tuple[int, int]] = []
         for x in left.tolist():
-            others = right[(comp[right] != comp[x]) & ((rep[right] > rep[x]) if right is left else True)]
-            if len(others):
-                ok = others[may_link(estimate(regs[others], regs[x]), n[others], n[x], threshold)]
-                a.append(np.minimum(rep[ok], rep[x]))
-                b.append(np.maximum(rep[ok], rep[x]))
-        none = np.empty(0, np.int64)
-        return pa.table({"a": np.concatenate([none, *a]), "b": np.concatenate([none, *b])})
-
-    return rows.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+            others = right[comp[right] != comp[x]]
+            if not len(others):
+                continue
+            others = others[may_link(estimate(regs[others], regs[x]), n[others], n[x], threshold)]
+            if band and len(others):
+                others = others[~(bands[others, :band] == bands[x, :band]).all(axis=2).any(axis=1)]
+            if not len(others):
+                continue
+            if sets is None:
+                sets = [s for _, data, offsets in pieces(group.to_batches()) for s in shingle_sets(data, offsets, shingle)]
+            own = sets[x]
+            for at in range(0, len(others), 64):
+                some = others[at : at + 64]
+                joined = np.concatenate([sets[o] for o in some.tolist()])
+                spot = np.minimum(np.searchsorted(own, joined), len(own) - 1)
+                both = np.add.reduceat((own[spot] == joined).astype(np.int64), np.cumsum(n[some]) - n[some])
+                for o in some[whole * both >= part * (n[some] + n[x] - both)].tolist():
+                    if comp[o] != comp[x]:
+                        links.append((int(min(rep[o], rep[x])), int(max(rep[o], rep[x]))))
+                        comp[comp == max(comp[o], comp[x])] = min(comp[o], comp[x])
+        return pa.table({c: pa.array([p[k] for p in links], pa.int64()) for k, c in enumerate("ab")})
+
+    return rows.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 def _relabelled(links: DataFrame, reps: DataFrame) -> DataFrame:
@@ -262,9 +283,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: tuple[int, int
     placed = buckets.join(labels, "rep")
     mixed = placed.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("key")
     # The hub has met every member of its bucket already.
-    open_ = placed.where("rep <> hub").join(mixed, "key", "left_semi").select("key", "rep", "component")
-    across = stored(_across(open_, reps, threshold).join(stars.select("a", "b"), ["a", "b"], "left_anti"), "across")
-    links = stored(links.unionByName(confirm(across)), "links")
+    open_ = placed.where("rep <> hub").join(mixed, "key", "left_semi").select("key", "band", "rep", "component")
+    links = stored(links.unionByName(_across(open_, reps, texts, shingle, threshold)), "links")
     labels = _relabelled(links, reps)
 
     classes = named.join(reps.select("print", "n_shingles", "rep"), ["print", "n_shingles"]).select("doc_id", F.col("rep"))
