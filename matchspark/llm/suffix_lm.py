@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from matchspark.llm.text import LOWER, SOLID, pieces, word_hashes, word_spans
 from matchspark.llm.workdir import stored
 
-DEPTH = 6
+DEPTH = 5
 MIN_SHARE = 1e-5
 MIN_GAIN = 10.0
 #: Words cannot hold a tab, so it stands for the end; a line feed stands for what precedes a text.
@@ -120,13 +120,12 @@ def suffix_tree(grams: DataFrame, depth: int = DEPTH, min_share: float = MIN_SHA
 
     ``context`` holds the context's symbols as one integer, the latest in the lowest byte.
     """
-    total = grams.agg(F.sum("n")).first()[0] or 0
     # Counts by context length, longest first: dropping a context's first symbol adds up its extensions.
     level = {depth: stored(grams.select(F.shiftrightunsigned("code", 8).alias("context"), F.col("code").bitwiseAND(255).alias("symbol"), "n"), "grams")}
     for d in range(depth - 1, -1, -1):
         shorter = F.col("context").bitwiseAND((1 << (8 * d)) - 1)
         level[d] = stored(level[d + 1].groupBy(shorter.alias("context"), "symbol").agg(F.sum("n").alias("n")), f"level{d}")
-    least = max(1.0, min_share * total)
+    least = max(1.0, min_share * (level[0].agg(F.sum("n")).first()[0] or 0))
     kept = level[0].select(F.lit(0).alias("depth"), "context", "symbol", "n")
     for d in range(1, depth + 1):
         parent = level[d - 1]
