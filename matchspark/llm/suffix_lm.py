@@ -144,39 +144,41 @@ def suffix_tree(grams: DataFrame, depth: int = DEPTH, min_share: float = MIN_SHA
 class Automaton:
     """States are the prefixes of retained contexts; each reads a symbol and knows its log10 probability."""
 
-    def __init__(self, depths: list[int], contexts: list[int], following: list[int], times: list[int]):
-        counts: dict[bytes, dict[int, int]] = {b"": {}}
-        for d, context, symbol, n in zip(depths, contexts, following, times):
-            counts.setdefault(int(context).to_bytes(8, "big")[8 - d :] if d else b"", {})[symbol] = n
-        used = sorted({s for c in counts.values() for s in c} | {b for k in counts for b in k} | {SPACE, END, BEFORE})
+    def __init__(self, depths: np.ndarray, contexts: np.ndarray, following: np.ndarray, times: np.ndarray):
+        order = np.lexsort((contexts, depths))
+        depths, contexts, following, times = (np.asarray(x, np.int64)[order] for x in (depths, contexts, following, times))
+        cuts = np.flatnonzero(np.append(True, (np.diff(depths) != 0) | (np.diff(contexts) != 0))) if len(depths) else np.empty(0, np.int64)
+        # Where the next symbols of each context begin and end.
+        at = {int(contexts[i]).to_bytes(8, "big")[8 - int(depths[i]) :] if depths[i] else b"": (i, j) for i, j in zip(cuts.tolist(), [*cuts[1:].tolist(), len(depths)])}
+        at.setdefault(b"", (0, 0))
+        used = sorted(set(np.unique(following).tolist()) | set(b"".join(at)) | {SPACE, END, BEFORE})
         # Symbols that training never saw share one column.
         self.column = np.full(SYMBOLS, len(used), np.int64)
         self.column[used] = np.arange(len(used))
         width = len(used) + 1
-        states = sorted({k[:i] for k in counts for i in range(len(k) + 1)}, key=lambda k: (len(k), k))
+        states = sorted({k[:i] for k in at for i in range(len(k) + 1)}, key=lambda k: (len(k), k))
         number = {k: i for i, k in enumerate(states)}
         self.next = np.zeros((len(states), width), np.int32)
-        self.log10 = np.zeros((len(states), width), np.float32)
-        share: dict[bytes, np.ndarray] = {}
-        for k in states:
-            longest = next(k[i:] for i in range(len(k) + 1) if k[i:] in counts)
-            if longest not in share:
-                up = next((longest[i:] for i in range(1, len(longest) + 1) if longest[i:] in counts), None)
-                parent = share[up] if up is not None else np.full(width, 1 / SYMBOLS)
+        self.log10 = np.empty((len(states), width), np.float32)  # shares until the end
+        children: list[list[tuple[int, int]]] = [[] for _ in states]
+        for i, k in enumerate(states[1:], 1):
+            children[number[k[:-1]]].append((int(self.column[k[-1]]), i))
+        for i, k in enumerate(states):
+            if k:  # symbols that no longer state reads go on as from the longest suffix that is a state
+                self.next[i] = self.next[number[next(k[j:] for j in range(1, len(k) + 1) if k[j:] in number)]]
+            for symbol, child in children[i]:
+                self.next[i, symbol] = child
+            if k in at:
+                a, b = at[k]
+                up = next((self.log10[number[k[j:]]] for j in range(1, len(k) + 1) if k[j:] in at), np.full(width, 1 / SYMBOLS, np.float32))
                 own = np.zeros(width)
-                for symbol, n in counts[longest].items():
-                    own[self.column[symbol]] = n
-                kinds = max(1, len(counts[longest]))
-                share[longest] = (own + kinds * parent) / (own.sum() + kinds)
-            i = number[k]
-            self.log10[i] = np.log10(share[longest])
-            fall = self.next[number[next(k[j:] for j in range(1, len(k) + 1) if k[j:] in number)]].copy() if k else np.zeros(width, np.int32)
-            for symbol in used:
-                child = number.get(k + bytes([symbol]))
-                if child is not None:
-                    fall[self.column[symbol]] = child
-            self.next[i] = fall
-        self.depth = max((len(k) for k in counts), default=0)
+                own[self.column[following[a:b]]] = times[a:b]
+                kinds = max(1, b - a)
+                self.log10[i] = (own + kinds * up) / (own.sum() + kinds)
+            else:
+                self.log10[i] = self.log10[number[next(k[j:] for j in range(1, len(k) + 1) if k[j:] in at)]]
+        np.log10(self.log10, out=self.log10)
+        self.depth = max(len(k) for k in at)
 
     def scores(self, seq: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """log10 probability of each text, read in segments side by side."""
@@ -261,7 +263,7 @@ def score_texts(
     learnt = docs.where(training).select(F.col(text).cast("string").alias("text"))
     tree = suffix_tree(gram_counts(learnt, depth), depth, min_share, min_gain)
     # At most 257 rows for each of the DEPTH / MIN_SHARE contexts.
-    model = spark.sparkContext.broadcast(Automaton(*(c.to_pylist() for c in tree.toArrow().columns)))
+    model = spark.sparkContext.broadcast(Automaton(*(c.to_numpy() for c in tree.toArrow().columns)))
 
     blocked = _blocked(docs, key, text, training, block_bytes)
     asked = stored(block_words(blocked), "asked")
