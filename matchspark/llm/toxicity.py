@@ -42,7 +42,7 @@ THRESHOLD = 0.7
 MISSPELT = 0.6
 #: Intercept and weights of abusive hits, the misspelt ones among them, quoted and crowded hits, where nothing can be learnt.
 FALLBACK = np.array([-3.0, 4.5, 0.0, 0.6, 1.0])
-CACHE = 300_000
+CACHE = 100_000
 
 _word = re.compile(rb"[0-9a-z\x80-\xff]+")
 _quotes = re.compile("\"|«|»|“|”|„".encode())
@@ -187,21 +187,24 @@ def mine_terms(texts: list[tuple[str, int]]) -> tuple[dict[bytes, float], Counte
     of a text count once) that chance would hardly give one such word in the whole vocabulary.
     """
     seen = (Counter(), Counter())
-    around: dict[bytes, set[tuple[bytes, bytes]]] = {}
     for text, label in texts:
-        words = _word.findall((text or "").encode().lower())
-        seen[label].update(set(words))
-        if label:
-            first = {w: (a, b) for a, w, b in reversed(list(zip([b"", *words], words, [*words[1:], b""])))}
-            for word, sides in first.items():
-                around.setdefault(word, set()).add(sides)
+        seen[label].update(set(_word.findall((text or "").encode().lower())))
     bad, good = max(1, sum(y for _, y in texts)), max(1, sum(1 - y for _, y in texts))
-    least = math.log(100 * max(1, len(seen[0] | seen[1]))) / math.log((bad + good) / bad)
+    vocabulary = len(seen[0]) + sum(w not in seen[0] for w in seen[1])
+    least = math.log(100 * max(1, vocabulary)) / math.log((bad + good) / bad)
     weights = {}
     for word, n in seen[1].items():
         rate = (n / bad) / (n / bad + seen[0][word] / good)
-        if rate >= PURITY and len(word) >= 4 and len(around[word]) >= least:
+        if rate >= PURITY and len(word) >= 4 and n >= least:
             weights[word] = rate
+    around: dict[bytes, set[tuple[bytes, bytes]]] = {w: set() for w in weights}
+    for text, label in texts:
+        if label:
+            words = _word.findall((text or "").encode().lower())
+            for word in weights.keys() & set(words):
+                at = words.index(word)
+                around[word].add((words[at - 1] if at else b"", words[at + 1] if at + 1 < len(words) else b""))
+    weights = {w: rate for w, rate in weights.items() if len(around[w]) >= least}
     return weights, seen[0]
 
 
