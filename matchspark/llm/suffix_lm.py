@@ -4,7 +4,7 @@ A text is its lower-cased words joined by one space and closed by one end symbol
 are bytes.  The tree is learnt from all training texts:
 
 * ``gram_counts``: every context of ``DEPTH`` symbols with the symbol that follows is counted,
-  distinct ones per task first, then over all tasks.  Shorter contexts are sums of longer ones.
+  distinct ones per task first, then over all tasks; shorter contexts are sums of those.
 * A context is a candidate if its share of all symbols is at least ``MIN_SHARE``, which
   bounds the candidates by DEPTH / MIN_SHARE at any input size.  It is retained if its
   next-symbol distribution diverges from that of the context without its first symbol: the sum
@@ -27,15 +27,15 @@ Without training text the distribution is uniform and every word is unknown.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchspark.llm.text import LOWER, SOLID, pieces, word_hashes, word_spans
-from matchspark.llm.workdir import stored
+from matchspark.llm.workdir import scratch, stored
 
 DEPTH = 5
 MIN_SHARE = 1e-5
@@ -115,30 +115,34 @@ def gram_counts(texts: DataFrame, depth: int = DEPTH) -> DataFrame:
     return counted.groupBy("code").agg(F.sum("n").alias("n"))
 
 
-def suffix_tree(grams: DataFrame, depth: int = DEPTH, min_share: float = MIN_SHARE, min_gain: float = MIN_GAIN) -> DataFrame:
+def suffix_tree(
+    grams: DataFrame, depth: int = DEPTH, min_share: float = MIN_SHARE, min_gain: float = MIN_GAIN, keep: Callable[[DataFrame, str], DataFrame] = stored
+) -> DataFrame:
     """(depth, context, symbol, n): counts of next symbols of the retained contexts, and of the root (depth 0).
 
     ``context`` holds the context's symbols as one integer, the latest in the lowest byte.
+    ``keep`` writes the counts.
     """
-    # Counts by context length, longest first: dropping a context's first symbol adds up its extensions.
-    level = {depth: stored(grams.select(F.shiftrightunsigned("code", 8).alias("context"), F.col("code").bitwiseAND(255).alias("symbol"), "n"), "grams")}
-    for d in range(depth - 1, -1, -1):
-        shorter = F.col("context").bitwiseAND((1 << (8 * d)) - 1)
-        level[d] = stored(level[d + 1].groupBy(shorter.alias("context"), "symbol").agg(F.sum("n").alias("n")), f"level{d}")
-    least = max(1.0, min_share * (level[0].agg(F.sum("n")).first()[0] or 0))
-    kept = level[0].select(F.lit(0).alias("depth"), "context", "symbol", "n")
-    for d in range(1, depth + 1):
-        parent = level[d - 1]
-        parent = parent.join(parent.groupBy("context").agg(F.sum("n").alias("all")), "context").select(
-            F.col("context").alias("parent"), F.col("symbol").alias("p_symbol"), (F.col("n") / F.col("all")).alias("p_share")
-        )
-        sums = level[d].groupBy("context").agg(F.sum("n").alias("all")).where(F.col("all") >= least)
-        rows = level[d].join(sums, "context").withColumn("up", F.col("context").bitwiseAND((1 << (8 * (d - 1))) - 1))
-        joined = rows.join(parent, (rows["up"] == parent["parent"]) & (rows["symbol"] == parent["p_symbol"]))
-        gain = joined.groupBy("context").agg(F.sum(F.col("n") * F.log((F.col("n") / F.col("all")) / F.col("p_share"))).alias("gain"))
-        chosen = gain.where(F.col("gain") >= min_gain).select("context")
-        kept = kept.unionByName(rows.join(chosen, "context", "left_semi").select(F.lit(d).alias("depth"), "context", "symbol", "n"))
-    return kept
+    # Every gram counts for the contexts of all lengths; equal ones are summed before the shuffle.
+    d = F.col("depth")
+    mask = F.element_at(F.array(*[F.lit((1 << 8 * k) - 1).cast("long") for k in range(depth + 1)]), d + 1)
+    counted = (
+        grams.select(F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("depth"), "code", "n")
+        .select("depth", F.shiftrightunsigned("code", 8).bitwiseAND(mask).alias("context"), F.col("code").bitwiseAND(255).alias("symbol"), "n")
+        .groupBy("depth", "context", "symbol")
+        .agg(F.sum("n").alias("n"))
+        .withColumn("all", F.sum("n").over(Window.partitionBy("depth", "context")))
+    )
+    counted = keep(counted, "grams")
+    least = max(1.0, min_share * (counted.where("depth = 0").agg(F.sum("n")).first()[0] or 0))
+    rows = counted.where(F.col("all") >= least)
+    share = rows.select((F.col("depth") + 1).alias("depth"), F.col("context").alias("up"), "symbol", (F.col("n") / F.col("all")).alias("p_share"))
+    below = F.element_at(F.array(*[F.lit((1 << 8 * max(0, k - 1)) - 1).cast("long") for k in range(depth + 1)]), d + 1)
+    tested = rows.where("depth > 0").withColumn("up", F.col("context").bitwiseAND(below)).join(share, ["depth", "up", "symbol"])
+    gain = F.sum(F.col("n") * F.log((F.col("n") / F.col("all")) / F.col("p_share")))
+    chosen = tested.groupBy("depth", "context").agg(gain.alias("gain")).where(F.col("gain") >= min_gain).select("depth", "context")
+    kept = rows.where("depth > 0").join(chosen, ["depth", "context"], "left_semi").unionByName(counted.where("depth = 0"))
+    return kept.select("depth", "context", "symbol", "n")
 
 
 class Automaton:
@@ -261,18 +265,21 @@ def score_texts(
     """
     spark = docs.sparkSession
     learnt = docs.where(training).select(F.col(text).cast("string").alias("text"))
-    tree = suffix_tree(gram_counts(learnt, depth), depth, min_share, min_gain)
-    # At most 257 rows for each of the DEPTH / MIN_SHARE contexts.
-    model = spark.sparkContext.broadcast(Automaton(*(c.to_numpy() for c in tree.toArrow().columns)))
+    with scratch(spark) as keep:
+        tree = suffix_tree(gram_counts(learnt, depth), depth, min_share, min_gain, keep)
+        # At most 257 rows for each of the DEPTH / MIN_SHARE contexts.
+        model = spark.sparkContext.broadcast(Automaton(*(c.to_numpy() for c in tree.toArrow().columns)))
 
     blocked = _blocked(docs, key, text, training, block_bytes)
-    asked = stored(block_words(blocked), "asked")
-    totals = stored(asked.groupBy("word").agg(F.sum("n").alias("c")).where("c > 0"), "words")
-    vocabulary, words = totals.agg(F.count(F.lit(1)), F.sum("c")).first()
+    of_word = Window.partitionBy("word")
+    asked = block_words(blocked).withColumn("c", F.sum("n").over(of_word)).where("c > 0")
+    asked = asked.withColumn("first", F.min("block").over(of_word) == F.col("block"))
+    answers = stored(asked.select("block", "word", "n", "c", "first"), "answers")
+    vocabulary, words = answers.agg(F.coalesce(F.count_if("first"), F.lit(0)), F.sum("n")).first()
     texts = learnt.count()
     # The end is a token of the vocabulary too, once per training text.
     n_all, v_all = (words or 0) + texts, vocabulary + (texts > 0)
-    answers = asked.select("block", "word").join(totals, "word").select("block", "word", "c")
+    answers = answers.select("block", "word", "c")
     kind = docs.schema[key].dataType.simpleString()
 
     def score(documents: pa.Table, known: pa.Table) -> pa.Table:
