@@ -65,9 +65,16 @@ def random_id(prefix: str) -> Column:
     )
 
 
+def _part(key: Column | str) -> Column:
+    """A key's text in which neither a bar nor NULL can be taken for another key."""
+    text = (F.col(key) if isinstance(key, str) else key).cast("string")
+    text = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|"))
+    return F.coalesce(text, F.lit("\\N"))
+
+
 def derived_id(prefix: str, at: Column, *key: Column | str, seed: str = "") -> Column:
     """The same id for the same (time, seed, key), so that a job can be run again."""
-    text = F.concat_ws("|", F.lit(seed), *key)
+    text = F.concat_ws("|", F.lit(seed), *[_part(k) for k in key])
     return encode_id(prefix, _millis(_as_utc(at)), F.sha2(text, 256))
 
 

@@ -40,7 +40,7 @@ def assign_user_names(
     large table runs out of them: rows without a name after ``draws`` rounds get
     their last drawn name lengthened by their own key, which is unique.
     """
-    used = [] if taken is None else [taken.select("user_name").filter("user_name is not null")]
+    used = [] if taken is None else [taken.select("user_name").filter("user_name is not null").distinct()]
     waiting = df.select(key)
     named: list[DataFrame] = []
     for draw in range(draws):

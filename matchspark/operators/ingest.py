@@ -11,6 +11,7 @@ conflict key: one key may hold any share of a batch, and only its winner travels
 from __future__ import annotations
 
 from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -64,10 +65,10 @@ def insert_ignore(
     seq = seq or order
     narrow = batch.select(*dict.fromkeys(key + order + seq))
     kept = accepted_rows(target, narrow, key, order, optional)
-    kept = kept.select(*seq, F.lit(ACCEPTED).alias("outcome"))
-    return batch.join(kept, seq, "left").withColumn(
-        "outcome", F.coalesce("outcome", F.lit(EXISTS))
-    )
+    kept = kept.select(*[F.col(c).alias(f"_{c}") for c in seq], F.lit(ACCEPTED).alias("outcome"))
+    same = reduce(and_, [batch[c].eqNullSafe(kept[f"_{c}"]) for c in seq])
+    joined = batch.join(kept, same, "left").drop(*[f"_{c}" for c in seq])
+    return joined.withColumn("outcome", F.coalesce("outcome", F.lit(EXISTS)))
 
 
 def accepted(outcome: DataFrame) -> DataFrame:

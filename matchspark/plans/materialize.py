@@ -13,13 +13,19 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_local_folders: dict[str, str | None] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        context = spark.sparkContext
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="matchspark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        # The setting cannot be changed in a running session, so the folder is kept here.
+        folder = _local_folders.setdefault(context.applicationId, None)
+        if folder is None:
+            folder = _local_folders[context.applicationId] = tempfile.mkdtemp(prefix="matchspark-")
     return folder.rstrip("/")
 
 
