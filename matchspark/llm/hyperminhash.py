@@ -19,7 +19,8 @@ of a fixed pseudo-random other bucket that is not empty.
    there.  So no link that a band shows is lost, while only links that join components are put out.
 
 Texts without words have no set and are linked with nothing.  Rows without doc_id are kept
-and linked with nothing.  A repeated doc_id is one document (its rows' smallest set hash).
+and linked with nothing.  A repeated doc_id is one document: the row with the smallest set hash
+(ties: text hash) stands for it in every step.
 """
 
 from __future__ import annotations
@@ -71,7 +72,7 @@ def registers(shingles: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """doc_id, n_shingles, print (128-bit hash of the full set) and registers; null where there is no set."""
+    """doc_id, text_hash, n_shingles, print (128-bit hash of the full set) and registers; null where there is no set."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in pieces(batches):
@@ -81,13 +82,16 @@ def signatures(docs: DataFrame, shingle: int = 5) -> DataFrame:
                 prints.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 regs.append(registers(s).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(regs, pa.binary())],
-                names=["doc_id", "n_shingles", "print", "registers"],
+                [part.column("doc_id"), part.column("text_hash"), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(regs, pa.binary())],
+                names=["doc_id", "text_hash", "n_shingles", "print", "registers"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        scan, "doc_id long, n_shingles long, print binary, registers binary"
-    )
+    return _hashed(docs).mapInArrow(scan, "doc_id long, text_hash long, n_shingles long, print binary, registers binary")
+
+
+def _hashed(docs: DataFrame) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
 
 
 def band_keys(reps: DataFrame) -> DataFrame:
@@ -255,12 +259,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: tuple[int, int
     """Per document: doc_id, n_shingles, representative (smallest doc_id of equal sets), component_id, kept."""
     signed = stored(signatures(docs, shingle), "signatures")
     named = signed.where("doc_id is not null").groupBy("doc_id").agg(
-        F.min_by(F.struct("n_shingles", "print", "registers"), F.coalesce("print", F.lit(b"").cast("binary"))).alias("s")
+        F.min_by(
+            F.struct("text_hash", "n_shingles", "print", "registers"),
+            F.struct(F.coalesce("print", F.lit(b"").cast("binary")).alias("p"), "text_hash"),
+        ).alias("s")
     ).select("doc_id", "s.*")
     reps = stored(
         named.where("print is not null")
         .groupBy("print", "n_shingles")
-        .agg(F.min("doc_id").alias("rep"), F.first("registers").alias("registers")),
+        .agg(F.min("doc_id").alias("rep"), F.min_by("text_hash", "doc_id").alias("text_hash"), F.first("registers").alias("registers")),
         "representatives",
     )
     keys = stored(band_keys(reps), "bands")
@@ -269,10 +276,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: tuple[int, int
     stars = stored(
         _estimated(buckets.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), reps, threshold), "stars"
     )
-    members = buckets.select(F.col("rep").alias("doc_id")).distinct()
-    texts = stored(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(members, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts"
+    members = reps.select(F.col("rep").alias("doc_id"), "text_hash").join(
+        buckets.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"
     )
+    texts = stored(_hashed(docs).join(members, ["doc_id", "text_hash"], "left_semi").drop("text_hash").dropDuplicates(["doc_id"]), "texts")
     confirm = lambda pairs: _confirmed(pairs, texts, shingle, threshold)
     best = stars.groupBy("b").agg(F.max_by("a", F.struct("jaccard", (-F.col("a")).alias("first"))).alias("a")).select("a", "b")
     links = stored(confirm(best), "links")

@@ -109,3 +109,19 @@ def test_odd_rows(spark, odd, none):
     assert hyperminhash.near_duplicates(none).count() == 0
     kept = hyperminhash.one_of_each(odd)
     assert kept.columns == odd.columns and kept.count() == odd.count()
+
+
+def test_a_repeated_doc_id_is_one_of_its_rows(spark, monkeypatch):
+    """Rows of one id with other texts, empty ones among them, never mix up sets and sizes."""
+    monkeypatch.setattr(hyperminhash, "BLOCK", 5)
+    rng = random.Random(3)
+    text = words(rng, 400, 10**6)
+    rows = [(500, text)] + [(i, changed(rng, text, 5)) for i in range(40)]
+    again = [(i, "" if i % 2 else words(rng, 900, 10**6)) for i in range(0, 40, 3)]
+    found = hyperminhash.near_duplicates(frame(spark, rows + again)).collect()
+    assert len(found) == len(rows) + len(again)
+    one = {(r["doc_id"], r["component_id"]) for r in found}
+    assert len(one) == len(rows)
+    alone = {i for i, _ in rows if i not in dict(again)}
+    expected = brute([r for r in rows if r[0] in alone])
+    assert {d: c for d, c in one if d in alone and c in alone} == {d: expected[d][1] for d in alone if dict(one)[d] in alone}
