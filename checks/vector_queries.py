@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from checks.fixture import Fixture, timestamp_ntz
 from checks.query import query
-from matchspark.operators import matching, vectors
+from checks.write_queries import ulid_sql
+from matchspark.operators import ingest, matching, vectors
 
 DIMENSION = 64
 
@@ -48,6 +49,61 @@ def recommend(fx: Fixture) -> DataFrame:
     return matching.recommend(nearest, fx.recommendations)
 
 
+@query(
+    "recommend_new",
+    f"""
+    select {ulid_sql('rcm', '1707523200000', "'s|' || position_id || '|' || candidate_id")} as id,
+           candidate_id, position_id, score
+    from (select n.left_id as candidate_id, n.right_id as position_id,
+                 cast(round(cast(greatest(0.0, least(1.0, n.score)) as decimal(7,6)), 2)
+                      as decimal(3,2)) as score,
+                 row_number() over (partition by n.left_id order by n.score desc, n.right_id) as rn
+          from v_all n left join v_recommendations r
+            on r.candidate_id = n.left_id and r.position_id = n.right_id
+          where r.id is null)
+    where rn <= 10""",
+    {"v_all": nearest_sql(1_000_000_000)},
+)
+def recommend_new(fx: Fixture) -> DataFrame:
+    """Pairs recommended before are passed over before the ten nearest are taken."""
+    return matching.recommend_new(
+        fx.embeddings, fx.recommendations, 10, timestamp_ntz("2024-02-10"), seed="s", dimension=DIMENSION
+    )
+
+
+@query(
+    "approx_topk_quality",
+    """
+    select count(*) as candidates, true as scores_exact, true as ranks_gapless,
+           true as recall_reached
+    from v_embeddings where object_type = 'candidate' and status = 'done'""",
+)
+def approx_topk_quality(fx: Fixture) -> DataFrame:
+    """Twelve tables with probing, held against the exact search: recall of 0.9 over all candidates."""
+    exact = vectors.inner_product_topk(fx.embeddings, 10, dimension=DIMENSION)
+    near = vectors.inner_product_topk_approx(
+        fx.embeddings, 10, dimension=DIMENSION, tables=12, probe=True
+    )
+    pairs = near.select("left_id", "right_id", F.col("score").alias("near_score"))
+    per_left = near.groupBy("left_id").agg(F.max("rank").alias("last"), F.count("*").alias("n"))
+    found = (
+        exact.join(pairs, ["left_id", "right_id"], "left")
+        .groupBy("left_id")
+        .agg(
+            F.count("*").alias("wanted"),
+            F.count("near_score").alias("hits"),
+            F.bool_and(F.coalesce(F.col("near_score") == F.col("score"), F.lit(True))).alias("same"),
+        )
+        .join(per_left, "left_id", "left")
+    )
+    return found.agg(
+        F.count("*").alias("candidates"),
+        F.bool_and("same").alias("scores_exact"),
+        F.bool_and(F.coalesce(F.col("last") == F.col("n"), F.lit(False))).alias("ranks_gapless"),
+        (F.sum("hits") >= 0.9 * F.sum("wanted")).alias("recall_reached"),
+    )
+
+
 @query("inner_product_topk_approx")
 def inner_product_topk_approx(fx: Fixture) -> DataFrame:
     return vectors.inner_product_topk_approx(fx.embeddings, 10, dimension=DIMENSION)
@@ -73,16 +129,59 @@ def inner_product_topk_approx(fx: Fixture) -> DataFrame:
 )
 def embed_pending(fx: Fixture) -> DataFrame:
     """Every profile without a vector is queued, then embedded; the hash is not known to SQL."""
+    _, made = _queue_and_made(fx)
+    squares = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") ** 2)
+    return made.select(
+        "object_id",
+        "object_type",
+        "status",
+        F.when(F.col("embedding").isNotNull(), F.size("embedding")).alias("dimension"),
+        F.round(F.sqrt(squares), 3).alias("norm"),
+    )
+
+
+def _queue_and_made(fx: Fixture) -> tuple[DataFrame, DataFrame]:
     now = timestamp_ntz("2024-02-10")
     queue = fx.embeddings.withColumn("created_at", now).withColumn("updated_at", now)
     pending = vectors.enqueue_embeddings(queue, fx.candidates, fx.positions, now)
     texts = vectors.profile_texts(fx.candidates, fx.positions)
-    made = vectors.embed_pending(queue.unionByName(pending), texts, now, DIMENSION)
-    squares = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") ** 2)
-    return made.select(
+    queue = queue.unionByName(pending)
+    return queue, vectors.embed_pending(queue, texts, now, DIMENSION)
+
+
+@query(
+    "merge_embeddings",
+    """
+    select q.object_id, q.object_type,
+           case when q.status <> 'pending' then q.status
+                when p.id is null then 'failed' else 'done' end as status,
+           case when q.status <> 'pending' then q.dimension
+                when p.id is not null then cast(64 as integer) end as dimension,
+           case when q.status = 'pending' then timestamp '2024-02-11'
+                else timestamp '2024-02-10' end as updated_at
+    from (select object_id, object_type, status, cast(len(embedding) as integer) as dimension
+          from v_embeddings
+          union all
+          select n.id, n.kind, 'pending', null from v_profiles n left join v_embeddings e
+            on e.object_id = n.id and e.object_type = n.kind where e.object_id is null) q
+    left join v_profiles p on p.id = q.object_id and p.kind = q.object_type""",
+    {
+        "v_profiles": """
+            select id, 'candidate' as kind from v_candidates
+            union all select id, 'position' from v_positions""",
+    },
+)
+def merge_embeddings(fx: Fixture) -> DataFrame:
+    """The new vectors and failures in the stored snapshot, by its key of two columns."""
+    queue, made = _queue_and_made(fx)
+    changed = made.withColumn("changed", F.array(F.lit("embedding"), F.lit("status")))
+    merged = ingest.apply_updates(
+        queue, changed, vectors.OBJECT_KEY, ["embedding", "status"], timestamp_ntz("2024-02-11"), "changed"
+    )
+    return merged.select(
         "object_id",
         "object_type",
         "status",
         F.when(F.col("embedding").isNotNull(), F.size("embedding")).alias("dimension"),
-        F.round(F.sqrt(squares), 3).alias("norm"),
+        "updated_at",
     )

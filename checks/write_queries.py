@@ -268,6 +268,38 @@ def _user_rounds(rounds: int) -> dict[str, str]:
 
 @query("ingest_users", "select * from v_user_outcome", {**_USER_VIEWS, **_user_rounds(6)})
 def ingest_users(fx: Fixture) -> DataFrame:
+    return ingest.ingest_users(*_stored_and_new_users(fx))
+
+
+@query(
+    "ingest_users_bulk",
+    """
+    select b.seq, b.provider, b.provider_user_id, b.user_name,
+           case when s.seq is null then 'duplicate_provider_key'
+                when w.seq is null then 'duplicate_user_name' else 'accepted' end as outcome
+    from v_new_users b left join v_survivors s on s.seq = b.seq
+    left join v_winners w on w.seq = b.seq""",
+    {
+        **_USER_VIEWS,
+        "v_survivors": """
+            select n.* from v_new_users n left join
+                (select distinct provider, provider_user_id from v_old_users) o
+              on o.provider = n.provider and o.provider_user_id = n.provider_user_id
+            where o.provider is null
+            qualify row_number() over
+                (partition by n.provider, n.provider_user_id order by n.seq) = 1""",
+        "v_winners": """
+            select seq from v_survivors where user_name is null
+            union all
+            select min(seq) from v_survivors
+            where user_name not in (select user_name from v_old_users) group by user_name""",
+    },
+)
+def ingest_users_bulk(fx: Fixture) -> DataFrame:
+    return ingest.ingest_users_bulk(*_stored_and_new_users(fx))
+
+
+def _stored_and_new_users(fx: Fixture) -> tuple[DataFrame, DataFrame]:
     key = F.col("c_custkey")
     batch = fx.raw("customer").select(
         key.alias("seq"),
@@ -286,7 +318,7 @@ def ingest_users(fx: Fixture) -> DataFrame:
             F.concat(F.lit("name"), (key + 400).cast("string")).alias("user_name"),
         )
     )
-    return ingest.ingest_users(stored, batch)
+    return stored, batch
 
 
 def ulid_sql(prefix: str, millis: str, text: str) -> str:

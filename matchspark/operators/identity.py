@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from matchspark.functions.ids import derived_id
 from matchspark.functions.names import clean_names
+from matchspark.functions.usernames import assign_user_names
+from matchspark.operators.ingest import accepted, ingest_users_bulk
 from matchspark.operators.lookups import first_recruiter
 
 NOT_FOUND, NO_ROLE, OK, AMBIGUOUS = "not_found", "no_role", "ok", "ambiguous"
@@ -172,6 +175,25 @@ def signin_outcome(
     )
 
 
+def new_users(
+    outcomes: DataFrame, claims: DataFrame, users: DataFrame, now: Column, seed: str = ""
+) -> DataFrame:
+    """The ``users`` rows that sign-ins create, with generated ids and names.
+
+    ``outcomes`` is the result of ``signin_outcome``; ``claims`` (seq, email, full_name) says
+    who signed in.  Identities stored meanwhile are left out.
+    """
+    made = (
+        outcomes.filter("outcome = 'create_user'")
+        .select("seq", "provider", "provider_user_id")
+        .join(claims.select("seq", "email", "full_name"), "seq")
+        .withColumn("id", derived_id("usr", now, "provider", "provider_user_id", seed=seed))
+    )
+    named = assign_user_names(made, "id", users, seed)
+    kept = accepted(ingest_users_bulk(users, named))
+    return kept.withColumn("updated_at", now).select(*users.columns)
+
+
 def session_state(jtis: DataFrame, refresh_tokens: DataFrame, now) -> DataFrame:
     """jti -> active, revoked, invalid (unknown or expired) or error (revoked is NULL)."""
     live = refresh_tokens.filter(F.col("expires_at") > now).select(

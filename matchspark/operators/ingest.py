@@ -166,6 +166,28 @@ def ingest_users(users: DataFrame, batch: DataFrame, seq: str = "seq") -> DataFr
     )
 
 
+def ingest_users_bulk(users: DataFrame, batch: DataFrame, seq: str = "seq") -> DataFrame:
+    """Two unique keys in two passes, whatever the rows: first per provider key, then per name.
+
+    Outcomes as in ``ingest_users``.  Unlike there, a row that wins its provider key and
+    loses its name still refuses the later rows of that provider key.
+    """
+    narrow = batch.select(seq, *PROVIDER_KEY, "user_name")
+    by_provider = accepted_rows(users, narrow, PROVIDER_KEY, [seq])
+    winners = accepted_rows(users, by_provider, ["user_name"], [seq], "user_name")
+    decided = by_provider.select(F.col(seq).alias("_seq")).join(
+        winners.select(F.col(seq).alias("_seq"), F.lit(True).alias("_won")), "_seq", "left"
+    )
+    outcome = (
+        F.when(F.col("_won"), ACCEPTED)
+        .when(F.col("_seq").isNotNull(), "duplicate_user_name")
+        .otherwise("duplicate_provider_key")
+    )
+    return batch.join(decided, batch[seq] == F.col("_seq"), "left").select(
+        *[batch[c] for c in batch.columns], outcome.alias("outcome")
+    )
+
+
 def _decide(open_rows: DataFrame, taken: DataFrame, seq: str) -> DataFrame:
     """The rows that conflict with no ``taken`` row, with ``won`` where accepted now."""
     names = taken.filter(F.col("user_name").isNotNull()).select("user_name")
@@ -189,23 +211,41 @@ def _decide(open_rows: DataFrame, taken: DataFrame, seq: str) -> DataFrame:
 
 
 def apply_updates(
-    target: DataFrame, changes: DataFrame, key: str, columns: list[str], now: Column
+    target: DataFrame,
+    changes: DataFrame,
+    key: str | list[str],
+    columns: list[str],
+    now: Column,
+    changed: str | None = None,
+    order: list[str] | None = None,
 ) -> DataFrame:
     """A new snapshot with the changed rows updated and stamped.
 
-    ``changes`` is unique on ``key``; a NULL in it keeps the stored value.  Any
-    changed row is stamped, also one set to the values it had.
+    ``changed`` names an array column of ``changes`` with the columns a change sets, NULL
+    being a value like others; without it a NULL keeps the stored value.  Several changes of
+    a row apply one after the other by ``order``; without it a repeated key is an error.
+    Any changed row is stamped, also one set to the values it had.
     """
-    renamed = changes.select(
-        key, *[F.col(c).alias(f"_new_{c}") for c in columns], F.lit(True).alias("_changed")
-    )
-    joined = target.join(renamed, key, "left")
+    keys = [key] if isinstance(key, str) else list(key)
+    place = F.struct(*order) if order else F.struct(F.lit(0))
+
+    def last(c: str) -> Column:
+        is_set = F.array_contains(changed, c) if changed else F.col(c).isNotNull()
+        return F.max_by(F.struct(F.col(c).alias("value")), F.when(is_set, place)).alias(f"_new_{c}")
+
+    renamed = changes.groupBy(*keys).agg(*map(last, columns), F.count("*").alias("_changes"))
+    changed_row = F.col("_changes").isNotNull()
+    if not order:
+        one = F.when(F.col("_changes") > 1, F.raise_error(F.lit("a key has several changes and no order")))
+        renamed = renamed.withColumn("_changes", F.coalesce(one.cast("bigint"), F.col("_changes")))
+    joined = target.join(renamed, keys, "left")
     out = []
     for c in target.columns:
         if c in columns:
-            out.append(F.coalesce(F.col(f"_new_{c}"), F.col(c)).alias(c))
+            new = F.col(f"_new_{c}")
+            out.append(F.when(changed_row & new.isNotNull(), new["value"]).otherwise(F.col(c)).alias(c))
         elif c == "updated_at":
-            out.append(F.when(F.col("_changed"), now).otherwise(F.col(c)).alias(c))
+            out.append(F.when(changed_row, now).otherwise(F.col(c)).alias(c))
         else:
             out.append(F.col(c))
     return joined.select(*out)

@@ -15,9 +15,9 @@ from matchspark.schemas import EMBEDDING_DIMENSION, FOREIGN_KEYS, TABLES
 def cascade_delete(
     tables: dict[str, DataFrame], deleted: dict[str, DataFrame]
 ) -> dict[str, DataFrame]:
-    """The tables with ``removed``: true where deleting the ids in ``deleted`` takes the row.
+    """The tables with ``removed``: true where deleting the rows in ``deleted`` takes the row.
 
-    ``deleted`` maps a table to its ids to delete (column ``id``).  Writing a result
+    ``deleted`` maps a table to the primary keys of its rows to delete.  Writing a result
     partitioned by ``removed`` gives the new snapshot and what went in one pass.
 
     Tables are visited parents first.  The removed ids of a table with dependents
@@ -27,19 +27,21 @@ def cascade_delete(
     parents_with_children = {fk.parent for fk in FOREIGN_KEYS}
     removed_ids: dict[str, DataFrame] = {}
     result: dict[str, DataFrame] = {}
-    for name, table in in_dependency_order(tables).items():
+    alone = {name: tables[name] for name in deleted if name in tables}
+    for name, table in (in_dependency_order(tables) | alone).items():
         edges = [
-            (fk.column, removed_ids[fk.parent])
+            ([fk.column], removed_ids[fk.parent].withColumnRenamed("id", fk.column))
             for fk in FOREIGN_KEYS
             if fk.child == name and fk.parent in removed_ids
         ]
         if name in deleted:
-            edges.append(("id", deleted[name].select("id").distinct()))
+            key = list(TABLES[name].primary_key)
+            edges.append((key, deleted[name].select(*key).distinct()))
         flagged = table
         hit = F.lit(False)
-        for i, (column, ids) in enumerate(edges):
-            gone = ids.select(F.col("id").alias(column), F.lit(True).alias(f"_gone{i}"))
-            flagged = flagged.join(gone, column, "left")
+        for i, (columns, ids) in enumerate(edges):
+            gone = ids.select(*columns, F.lit(True).alias(f"_gone{i}"))
+            flagged = flagged.join(gone, columns, "left")
             hit = hit | F.col(f"_gone{i}").isNotNull()
         result[name] = flagged.select(*table.columns, hit.alias("removed"))
         if edges and name in parents_with_children:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from matchspark.functions.ids import assign_ids
+from matchspark.operators.vectors import inner_product_topk
 from matchspark.schemas import SCORE_TYPE
 
 
-
 def derive_matches(
     reactions: DataFrame,
     recommendations: DataFrame,
@@ -66,3 +69,26 @@ def recommend(nearest: DataFrame, recommendations: DataFrame) -> DataFrame:
     )
     pair = ["position_id", "candidate_id"]
     return rows.join(recommendations.select(*pair), pair, "left_anti")
+
+
+def recommend_new(
+    embeddings: DataFrame,
+    recommendations: DataFrame,
+    k: int,
+    now: Column,
+    search: Callable[..., DataFrame] = inner_product_topk,
+    seed: str = "",
+    **options,
+) -> DataFrame:
+    """(id, candidate_id, position_id, score): the k nearest positions not recommended yet.
+
+    Pairs recommended before are passed over before ranking, so that every run finds new
+    ones.  ``search`` is ``inner_product_topk`` or, for large tables,
+    ``inner_product_topk_approx``; ``options`` are passed to it.
+    """
+    known = recommendations.select(
+        F.col("candidate_id").alias("left_id"), F.col("position_id").alias("right_id")
+    )
+    rows = recommend(search(embeddings, k, known=known, **options), recommendations)
+    made = assign_ids(rows, "rcm", now, ["position_id", "candidate_id"], seed=seed)
+    return made.select("id", "candidate_id", "position_id", "score")

@@ -119,25 +119,30 @@ def inner_product_topk(
     right: str = "position",
     dimension: int = EMBEDDING_DIMENSION,
     tile_rows: int | None = None,
+    known: DataFrame | None = None,
 ) -> DataFrame:
     """(left_id, right_id, score, rank): the k largest inner products, exactly.
 
-    Work grows with |left| x |right|: for large tables on both sides use
-    ``inner_product_topk_approx``.
+    Pairs in ``known`` (left_id, right_id) are left out before ranking.  Work grows with
+    |left| x |right|: for large tables on both sides use ``inner_product_topk_approx``.
     """
     best = tiled_top_k(
         done_vectors(embeddings, left, "left_id", dimension),
         done_vectors(embeddings, right, "right_id", dimension),
         k,
         tile_rows or tile_rows_for(dimension),
+        known=known,
     )
     return merge_top_k(best, k)
 
 
 def sign_buckets(
-    rows: DataFrame, dimension: int, tables: int, bits: int, seed: int = 0
+    rows: DataFrame, dimension: int, tables: int, bits: int, seed: int = 0, probe: bool = False
 ) -> DataFrame:
-    """``rows`` once per hash table, with (table, bucket): the signs against random planes."""
+    """``rows`` once per hash table, with (table, bucket): the signs against random planes.
+
+    With ``probe`` also once per bucket that differs in one bit.
+    """
     planes = np.random.default_rng(seed).standard_normal((tables * bits, dimension))
     weights = 2 ** np.arange(bits)
 
@@ -150,7 +155,12 @@ def sign_buckets(
         return pd.Series(list(buckets.astype("int32")))
 
     buckets = F.pandas_udf(signs, T.ArrayType(T.IntegerType()))
-    return rows.select("*", F.posexplode(buckets("vector")).alias("table", "bucket"))
+    placed = rows.select("*", F.posexplode(buckets("vector")).alias("table", "bucket"))
+    if not probe:
+        return placed
+    flips = [0, *[1 << bit for bit in range(bits)]]
+    near = F.explode(F.array(*[F.col("bucket").bitwiseXOR(F.lit(flip)) for flip in flips]))
+    return placed.withColumn("bucket", near)
 
 
 def inner_product_topk_approx(
@@ -163,19 +173,19 @@ def inner_product_topk_approx(
     bits: int = 6,
     seed: int = 0,
     tile_rows: int | None = None,
+    probe: bool = False,
+    known: DataFrame | None = None,
 ) -> DataFrame:
     """As ``inner_product_topk`` among pairs that share a bucket in some hash table.
 
     Scores are exact; a partner that shares no bucket is missed.  More tables find
-    more, more bits compare less.  There are at most tables * 2**bits buckets, and
-    a bucket of any size is cut into tiles.
+    more, more bits compare less; ``probe`` also looks where one bit differs.  A
+    bucket of any size is cut into tiles.
     """
-    if tables * 2**bits > 1_000_000:
-        raise ValueError("at most a million buckets")
 
     def side(object_type: str, row_id: str) -> DataFrame:
         rows = done_vectors(embeddings, object_type, row_id, dimension)
-        return sign_buckets(rows, dimension, tables, bits, seed)
+        return sign_buckets(rows, dimension, tables, bits, seed, probe and row_id == "left_id")
 
     best = tiled_top_k(
         side(left, "left_id"),
@@ -183,5 +193,6 @@ def inner_product_topk_approx(
         k,
         tile_rows or tile_rows_for(dimension),
         ["table", "bucket"],
+        known,
     )
     return merge_top_k(best.distinct(), k)

@@ -9,17 +9,19 @@ materialised, and a group holding any share of the rows is spread over its tiles
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 TILE_BYTES = 64 * 1024 * 1024
+#: A pair of tiles is one task: small enough to keep every core of a middle-sized job busy.
+TILE_ROWS = 4096
 SCORE_DIGITS = 6
 
 
 def tile_rows_for(dimension: int) -> int:
     """Rows of double-precision vectors that one tile holds."""
-    return max(1, TILE_BYTES // (8 * dimension))
+    return max(1, min(TILE_ROWS, TILE_BYTES // (8 * dimension)))
 
 
 def _tile_counts(rows: DataFrame, group: list[str], tile_rows: int, name: str) -> DataFrame:
@@ -34,37 +36,55 @@ def tiled_top_k(
     k: int,
     tile_rows: int,
     group: list[str] | None = None,
+    known: DataFrame | None = None,
 ) -> DataFrame:
     """(left_id, right_id, score): per left row the k best of each tile it meets.
 
+    The pairs of ``known`` (left_id, right_id) are passed over before ranking.  Each travels to
+    the one tile pair where it would be found, once per group of its left row.
+
     ``left`` (left_id, vector, *group) and ``right`` (right_id, vector, *group) meet
     within equal groups.  Vectors have one length.  Products are summed in double
     precision and rounded to six digits; equal scores rank by ``right_id``.
 
-    The caller makes sure that the number of groups is bounded: the tile counts
-    (one row per group) are broadcast.  Without groups they are two numbers.
+    The tile counts of the groups are joined; without groups they are two scalar subqueries.
     """
     group = group or []
     left, right = left.filter("vector is not null"), right.filter("vector is not null")
+    id_type = right.schema["right_id"].dataType
+    if known is not None:
+        pairs = known.select("left_id", F.col("right_id").cast(id_type).alias("known"))
+        if group:
+            pairs = pairs.join(left.select("left_id", *group), "left_id")
+        pairs = pairs.filter("known is not null").withColumn("vector", F.lit(None).cast(left.schema["vector"].dataType))
     if group:
-        tiles = F.broadcast(
-            _tile_counts(left, group, tile_rows, "_l").join(
-                _tile_counts(right, group, tile_rows, "_r"), group
-            )
+        tiles = _tile_counts(left, group, tile_rows, "_l").join(
+            _tile_counts(right, group, tile_rows, "_r"), group
         )
-        left, right = left.join(tiles, group), right.join(tiles, group)
     else:
         counts = {
-            name: F.lit(max(1, -(-rows.count() // tile_rows)))
+            name: F.greatest(_tile_counts(rows, [], tile_rows, name).scalar(), F.lit(1))
             for name, rows in [("_l", left), ("_r", right)]
         }
+    left = left.withColumn("known", F.lit(None).cast(id_type))
+    if known is not None:
+        left = left.unionByName(pairs.select(*left.columns))
+    if group:
+        left, right = left.join(tiles, group), right.join(tiles, group)
+    else:
         left, right = left.withColumns(counts), right.withColumns(counts)
 
+    def tile(row_id: str, count: str) -> Column:
+        return F.pmod(F.xxhash64(row_id), F.col(count)).cast("int")
+
     def placed(rows: DataFrame, row_id: str, own: str, other: str) -> DataFrame:
-        """Each row in its own tile, once for every tile of the other side."""
+        """Each row in its own tile, once for every tile of the other side; a known pair in its only one."""
+        others = F.sequence(F.lit(0), F.col(other) - 1)
+        if "known" in rows.columns:
+            others = F.when(F.col("known").isNull(), others).otherwise(F.array(tile("known", other)))
         return (
-            rows.withColumn(f"{own}_tile", F.pmod(F.xxhash64(row_id), F.col(own)).cast("int"))
-            .withColumn(f"{other}_tile", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+            rows.withColumn(f"{own}_tile", tile(row_id, own))
+            .withColumn(f"{other}_tile", F.explode(others))
             .drop("_l", "_r")
         )
 
@@ -91,6 +111,8 @@ def _multiplier(k: int, digits: int = SCORE_DIGITS, products: int = 4_000_000):
         import numpy as np
         import pandas as pd
 
+        pairs = left[left["known"].notna()]
+        left = left[left["known"].isna()]
         if left.empty or right.empty:
             ids = pd.Series([], dtype="object")
             return pd.DataFrame({"left_id": ids, "right_id": ids, "score": ids.astype(float)})
@@ -102,15 +124,23 @@ def _multiplier(k: int, digits: int = SCORE_DIGITS, products: int = 4_000_000):
         n, keep = len(right_ids), min(k, len(right_ids))
         place = np.arange(n, dtype="int64")
         strip = max(1, products // n)  # left rows multiplied at a time
+        at_left = pd.DataFrame({"left_id": left_ids, "row": np.arange(len(left_ids))})
+        at_right = pd.DataFrame({"known": right_ids, "column": np.arange(n)})
+        hits = pairs[["left_id", "known"]].merge(at_left, on="left_id").merge(at_right, on="known")
+        row, column = hits["row"].to_numpy(), hits["column"].to_numpy()
+        passed = -(2**62)
         out_left, out_right, out_score = [], [], []
         for start in range(0, len(left_ids), strip):
             scaled = np.rint((a[start : start + strip] @ b) * 10**digits).astype("int64")
             # One whole number per pair orders by score, then by id.
             order = scaled * n - place
+            inside = (row >= start) & (row < start + strip)
+            order[row[inside] - start, column[inside]] = passed
             top = np.argpartition(-order, keep - 1, axis=1)[:, :keep]
-            out_left.append(np.repeat(left_ids[start : start + strip], keep))
-            out_right.append(right_ids[top.ravel()])
-            out_score.append(np.take_along_axis(scaled, top, axis=1).ravel() / 10**digits)
+            stays = np.take_along_axis(order, top, axis=1).ravel() != passed
+            out_left.append(np.repeat(left_ids[start : start + strip], keep)[stays])
+            out_right.append(right_ids[top.ravel()][stays])
+            out_score.append(np.take_along_axis(scaled, top, axis=1).ravel()[stays] / 10**digits)
         return pd.DataFrame(
             {
                 "left_id": np.concatenate(out_left),

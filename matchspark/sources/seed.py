@@ -6,7 +6,7 @@ row whose parent does not exist yet is not inserted.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,10 +24,13 @@ class SeedStep:
     users: provider, provider_user_id, email, full_name, user_name.
     candidates: email, about.  recruiters: email.
     positions: email (of the recruiter's user), title, description, company.
+    ``order`` names further columns that give a row's place in the step, unique per row;
+    without them rows go by their JSON text, and equal rows are one.
     """
 
     table: str
     rows: DataFrame
+    order: list[str] = field(default_factory=list)
 
 
 def load_seed(
@@ -78,11 +81,16 @@ _PREFIX = {"users": "usr", "candidates": "can", "recruiters": "rec", "positions"
 def _resolve(tables: dict[str, DataFrame], step: SeedStep) -> DataFrame:
     """The step's rows with their parent ids, and ``_order`` unique per row."""
     rows = step.rows
+
+    def ordered(rows: DataFrame) -> DataFrame:
+        place = F.struct(*step.order) if step.order else F.to_json(F.struct(*rows.columns))
+        return rows.withColumn("_order", place)
+
     if step.table == "users":
-        return rows.withColumn("_order", F.to_json(F.struct(*rows.columns)))
+        return ordered(rows)
     users = tables["users"].select("email", F.col("id").alias("user_id"))
     rows = rows.join(users, "email").drop("email")
     if step.table == "positions":
         owners = tables["recruiters"].select("user_id", F.col("id").alias("recruiter_id"))
         rows = rows.join(owners, "user_id").drop("user_id")
-    return rows.withColumn("_order", F.to_json(F.struct(*rows.columns)))
+    return ordered(rows)

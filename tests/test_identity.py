@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from checks.fixture import Fixture
 from matchspark.functions import usernames
 from matchspark.operators import identity
 
@@ -67,3 +68,19 @@ def test_user_name_shape(spark):
     named = usernames.assign_user_names(ids, "id")
     assert named.filter(~F.col("user_name").rlike(rf"^({words[0]})_({words[1]})[0-9a-f]{{4}}$")).count() == 0
     assert named.select("user_name").distinct().count() == 500
+
+
+def test_sign_ins_become_users(spark, sf_dir):
+    """Unknown identities get one row each with an id and a free name."""
+    fx = Fixture(spark, sf_dir)
+    name = usernames.draw_user_name("id", "")
+    now = F.lit("2024-01-01").cast("timestamp_ntz")
+    users = fx.users.withColumn("user_name", name).dropDuplicates(["user_name"]).withColumn("updated_at", now)
+    outcomes = identity.signin_outcome(fx.sign_ins, users, fx.candidates, fx.recruiters)
+    claims = outcomes.select("seq", F.lit("a@example.com").alias("email"), F.lit("A").alias("full_name"))
+    made = identity.new_users(outcomes, claims, users, now)
+    assert made.columns == users.columns
+    rows = made.collect()
+    assert len(rows) == outcomes.filter("outcome = 'create_user'").count() > 0
+    names = [r.user_name for r in rows] + [r.user_name for r in users.select("user_name").collect()]
+    assert len(set(names)) == len(names) and len({r.id for r in rows}) == len(rows)

@@ -146,3 +146,29 @@ def test_ladder(spark):
     assert got == {**want, 11: 403}
     made = adjudicate.created_reactions(judged, "at").collect()
     assert [(r.recommendation_id, r.reaction_type) for r in made] == [("r1", "positive")]
+
+
+def test_updates_by_two_columns_clear_and_follow_their_order(spark):
+    target = spark.createDataFrame([("a", 1, "x", "m"), ("a", 2, "y", "n"), ("b", 1, "z", "o")], "k string, l int, v string, w string")
+    changes = spark.createDataFrame(
+        [("a", 1, None, None, ["v"], 1), ("a", 2, "p", None, ["v"], 1), ("a", 2, "q", None, ["v"], 2), ("a", 2, None, "r", ["w"], 3)],
+        "k string, l int, v string, w string, changed array<string>, seq int",
+    )
+    now = F.lit("2024-02-02").cast("timestamp_ntz")
+    out = ingest.apply_updates(target, changes, ["k", "l"], ["v", "w"], now, "changed", ["seq"])
+    assert sorted(tuple(r) for r in out.collect()) == [("a", 1, None, "m"), ("a", 2, "q", "r"), ("b", 1, "z", "o")]
+    with pytest.raises(Exception, match="several changes"):
+        ingest.apply_updates(target, changes, ["k", "l"], ["v", "w"], now, "changed").collect()
+
+
+def test_bulk_users_in_two_passes(spark):
+    columns = "seq long, provider string, provider_user_id string, user_name string"
+    users = spark.createDataFrame([(0, "google", "0", "ann")], columns).drop("seq")
+    batch = spark.createDataFrame(
+        [(1, "google", "0", "new"), (2, "google", "1", "ann"), (3, "google", "1", "bob"), (4, "apple", "1", "bob"),
+         (5, "apple", "2", "bob"), (6, "apple", "3", None), (7, "apple", "4", None)],
+        columns,
+    )
+    got = {r.seq: r.outcome for r in ingest.ingest_users_bulk(users, batch).collect()}
+    provider, name = "duplicate_provider_key", "duplicate_user_name"
+    assert got == {1: provider, 2: name, 3: provider, 4: "accepted", 5: name, 6: "accepted", 7: "accepted"}

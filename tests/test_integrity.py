@@ -73,3 +73,19 @@ def test_partition_folders_are_pruned(spark, sf_dir, tmp_path):
     plan = df._jdf.queryExecution().executedPlan().toString()
     filters = plan.split("PartitionFilters: [")[1]
     assert "object_type" in filters and "status" in filters
+
+
+def test_deletes_start_at_any_table(spark):
+    """Tables whose key is not ``id``, and one without references."""
+    tables = {
+        "refresh_tokens": spark.createDataFrame([("j1", "u"), ("j2", "u")], "jti string, user_id string"),
+        "matches": spark.createDataFrame([("c", "p"), ("c", "q")], "candidate_id string, position_id string"),
+        "embeddings": spark.createDataFrame([("c", "candidate"), ("c", "position")], "object_id string, object_type string"),
+    }
+    gone = {name: df.limit(0) for name, df in tables.items()}
+    gone["refresh_tokens"] = tables["refresh_tokens"].filter("jti = 'j2'")
+    gone["matches"] = tables["matches"].filter("position_id = 'q'")
+    gone["embeddings"] = tables["embeddings"].filter("object_type = 'position'")
+    for name, df in integrity.cascade_delete(tables, gone).items():
+        assert df.filter("removed").drop("removed").collect() == gone[name].select(*tables[name].columns).collect()
+        assert df.filter("not removed").count() == 1

@@ -73,3 +73,24 @@ def test_references_hold_and_embeddings_wait(loads):
     for name in ["users", "candidates", "recruiters", "positions"]:
         ids = second[name].select("id")
         assert ids.distinct().count() == ids.count()
+
+
+def test_rows_of_a_step_go_in_their_order(spark):
+    """Of two candidates of one user the first stays, and equal recruiters are two rows."""
+    now = F.lit("2024-01-01").cast("timestamp_ntz")
+    ann = ("google", "id-ann", "ann@example.com", "ann", "ann_x")
+    loaded = load_seed(
+        _empty_tables(Made(spark)),
+        [
+            SeedStep("users", spark.createDataFrame([ann], USERS)),
+            SeedStep(
+                "candidates",
+                spark.createDataFrame([("ann@example.com", "a later", 10), ("ann@example.com", "z first", 9)], CANDIDATES + ", row int"),
+                ["row"],
+            ),
+            SeedStep("recruiters", spark.createDataFrame([("ann@example.com", 1), ("ann@example.com", 2)], "email string, row int"), ["row"]),
+        ],
+        now,
+    )
+    assert [r.about for r in loaded["candidates"].collect()] == ["z first"]
+    assert loaded["recruiters"].select("id").distinct().count() == 2

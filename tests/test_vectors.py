@@ -188,3 +188,34 @@ def test_enqueue_is_idempotent(spark):
         ("c9", "candidate", "pending")
     ]
     assert vectors.enqueue_embeddings(stored.unionByName(new), profiles, none, now()).count() == 0
+
+
+@pytest.mark.parametrize("tile_rows", [None, 32])
+def test_known_pairs_are_passed_over_before_ranking(spark, tile_rows):
+    embeddings = made(spark, 40, 60)
+    first = matching.recommend_new(
+        embeddings, spark.createDataFrame([], "position_id string, candidate_id string"), 5, now(),
+        dimension=DIMENSION, tile_rows=tile_rows,
+    )
+    pairs = {(r.candidate_id, r.position_id) for r in first.collect()}
+    second = matching.recommend_new(
+        embeddings, spark.createDataFrame([(p, c) for c, p in pairs], "position_id string, candidate_id string"), 5, now(),
+        dimension=DIMENSION, tile_rows=tile_rows,
+    ).collect()
+    want = {(c, p) for c, near in brute(embeddings, 10).items() for p, _ in near[5:]}
+    assert {(r.candidate_id, r.position_id) for r in second} == want
+    assert len({r.id for r in second}) == len(want) == 200
+
+
+def test_all_pairs_known_leaves_nothing(spark):
+    embeddings = made(spark, 3, 4)
+    known = spark.createDataFrame(
+        [(f"can_{i:04d}", f"pos_{j:04d}") for i in range(3) for j in range(4)], "left_id string, right_id string"
+    )
+    assert vectors.inner_product_topk(embeddings, 5, dimension=DIMENSION, known=known).count() == 0
+    near = vectors.inner_product_topk_approx(embeddings, 5, dimension=DIMENSION, known=known, probe=True)
+    assert near.count() == 0
+
+
+def test_middle_sized_sides_use_many_tasks(spark):
+    assert (-(-20_000 // vectors.tile_rows_for(64))) ** 2 >= 8
