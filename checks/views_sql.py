@@ -115,4 +115,6 @@ def with_views(sql: str, extra: dict[str, str] | None = None) -> str:
     visit(sql)
     if not ordered:
         return sql
-    return "with " + ",\n".join(f"{n} as ({views[n]})" for n in ordered) + "\n" + sql
+    once = {"v_reactions", "v_recommendations"}  # large and often read twice
+    parts = [f"{n} as {'materialized ' if n in once else ''}({views[n]})" for n in ordered]
+    return "with " + ",\n".join(parts) + "\n" + sql

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchspark.functions.bodies import decode_bodies
+from matchspark.functions.bodies import MAX_BODY_BYTES, decode_bodies
 from matchspark.functions.requests import valid_reaction_type
 from matchspark.operators.ingest import REACTION_KEY, accepted_rows
 from matchspark.plans.materialize import materialize
@@ -42,7 +42,8 @@ def adjudicate_reactions(
     # Written once: the bodies are decoded for two branches, and their conditions
     # would otherwise be pushed down as repeated regular expressions.
     read = materialize(
-        decode_bodies(requests, "body", ["reaction_type"], "_error").drop("body"), "requests"
+        decode_bodies(requests, "body", ["reaction_type"], "_error", MAX_BODY_BYTES).drop("body"),
+        "requests",
     ).withColumn("reactor_type", F.lit("candidate"))
     # Whether a request names its own recommendation is the same for all requests
     # of one key, so the first well-formed one per key is found without the join,

@@ -119,7 +119,9 @@ def test_decode_long_body(spark):
     text = "a" * 900_000
     assert decode(spark, '{"reaction_type":"' + text + '"}') == (text, None)
     long = '{"reaction_type":"' + "a" * 1_000_000 + '"}'
-    assert decode(spark, long) == (None, "failed_decode")
+    assert decode(spark, long) == ("a" * 1_000_000, None)
+    limited = decode_bodies(spark.createDataFrame([(long,), ("{}",)], "v string"), "v", ["reaction_type"], max_bytes=1_000_000)
+    assert [r.error for r in limited.collect()] == ["body_too_large", None]
     escapes = '{"reaction_type":"' + "\\n" * 100_000 + '"}'
     assert decode(spark, escapes) == ("\n" * 100_000, None)
 
