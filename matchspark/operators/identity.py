@@ -88,7 +88,8 @@ def claims_to_users(claims: DataFrame) -> DataFrame:
         "user_json", "name struct<firstName: string, lastName: string>, _bad string", options
     )
     parsed = (
-        claims.withColumn("_google", F.when(F.col("provider") == "google", google))
+        claims.withColumn("_kinds", _kinds("claims_json"))
+        .withColumn("_google", F.when(F.col("provider") == "google", google))
         .withColumn("_apple", F.when(F.col("provider") == "apple", apple))
         .withColumn("_person", F.when(F.col("provider") == "apple", person))
         .withColumn("_raw", F.coalesce("_google.name", F.lit("")))
@@ -101,10 +102,10 @@ def claims_to_users(claims: DataFrame) -> DataFrame:
     is_google = F.col("provider") == "google"
     # Non-text values in text fields make the claims unreadable.
     apple_bad = F.col("_apple").isNull() | F.col("_apple._bad").isNotNull() | _not_text(
-        "claims_json", ["sub", "email", "email_verified", "is_private_email"]
+        ["sub", "email", "email_verified", "is_private_email"]
     )
     google_bad = F.col("_google").isNull() | F.col("_google._bad").isNotNull() | _not_text(
-        "claims_json", ["sub", "email", "name", "given_name", "family_name", "picture"]
+        ["sub", "email", "name", "given_name", "family_name", "picture"]
     )
     error = F.when(
         is_google,
@@ -132,17 +133,21 @@ def claims_to_users(claims: DataFrame) -> DataFrame:
             "full_name", F.when(good, F.when(is_google, F.col("_name")).otherwise(apple_name))
         )
         .drop(
-            "_google", "_apple", "_person", "_raw", "_name", "_fault", "claims_json", "user_json"
+            "_kinds", "_google", "_apple", "_person", "_raw", "_name", "_fault", "claims_json", "user_json"
         )
     )
 
 
-def _not_text(json: str, fields: list[str]):
+def _kinds(json: str):
+    """The kind of every claim, by name, from one parse; NULL if the text is no object."""
+    return F.try_variant_get(F.try_parse_json(F.col(json)), "$", "map<string, variant>")
+
+
+def _not_text(fields: list[str]):
     """True where one of the fields holds a number, a boolean, an array or an object."""
-    value = F.try_parse_json(F.col(json))
     bad = F.lit(False)
     for name in fields:
-        kind = F.schema_of_variant(F.try_variant_get(value, f"$.{name}", "variant"))
+        kind = F.schema_of_variant(F.try_element_at("_kinds", F.lit(name)))
         bad = bad | ~F.coalesce(kind, F.lit("VOID")).isin("STRING", "VOID")
     return bad
 

@@ -34,6 +34,12 @@ def test_claims(spark, provider, claims, user, want):
     assert (r.provider_user_id, r.email, r.full_name, r.error) == want
 
 
+def test_claims_are_parsed_once_for_all_kinds(spark):
+    df = spark.createDataFrame([("apple", "{}", "")], "provider string, claims_json string, user_json string")
+    plan = identity.claims_to_users(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") == 1 and plan.count("from_json") == 3
+
+
 def test_session_edges(spark):
     tokens = spark.createDataFrame(
         [("a", "2024-01-02", False), ("b", "2024-01-01", False), ("c", "2024-01-02", True),
