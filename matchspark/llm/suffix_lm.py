@@ -1,24 +1,23 @@
-"""A probabilistic suffix tree over the characters of texts, and word counts beside it.
+"""A probabilistic suffix tree over the bytes of texts, and word counts beside it.
 
 A text is its lower-cased words joined by one space and closed by one end symbol; symbols
 are bytes.  The tree is learnt from all training texts:
 
-* ``gram_counts``: every context of ``DEPTH`` symbols with the symbol that follows is counted,
-  distinct ones per task first, then over all tasks; shorter contexts are sums of those.
-* A context is a candidate if its share of all symbols is at least ``MIN_SHARE``, which
-  bounds the candidates by DEPTH / MIN_SHARE at any input size.  It is retained if its
-  next-symbol distribution diverges from that of the context without its first symbol: the sum
-  of n * ln(p / p_parent) over next symbols is at least ``MIN_GAIN`` per context.
+* Every context of up to ``DEPTH`` symbols with the symbol that follows is counted.
+* A context is retained if it was seen ``MIN_COUNT`` times and its next-symbol distribution diverges
+  from that of the context without its first symbol: the sum of n * ln(p / p_parent) over next
+  symbols is at least ``MIN_GAIN``.  Neither bound rises with the input, so the tree grows with it.
 * Distributions are smoothed towards the parent's by interpolation with as much weight as the context
   has distinct next symbols, and at the root with equal shares of all 256 symbols and the end.
 
-The bounded tree becomes an automaton over its contexts' prefixes: a state's distribution is
-that of the longest retained suffix of what was read.  Texts are scored in segments side by side;
-each segment starts in the state reached by the ``DEPTH`` symbols before it, which is exact.
+Neither the tree nor the words have a bounded number, so neither is sent around whole.  Documents are
+dealt into blocks by size; each block asks for its distinct words and grams (a context of ``DEPTH``
+symbols with its next symbol) and gets totals of words and probabilities of grams back.  Grams are
+asked for in packed rows, one per block and bucket; a bucket holds all grams whose last
+``LOW`` + 1 context symbols agree, hence the whole subtree above them.  Only the statistics of
+contexts of up to ``LOW`` symbols, at most 256 ** (LOW + 1) by the alphabet, are known to all buckets.
 
-The base score needs counts of single words, whose number has no bound, so they are not sent
-around whole.  Documents are dealt into blocks by size; each block asks for its distinct words and gets
-their totals back.  Only one row per block and word is shuffled, so a frequent word has one row per block.
+``suffix_tree`` and ``Automaton`` are the same model as a table and in one process, where it fits there.
 
 Null or empty text is the end symbol alone.  A text repeated in training counts each time.
 Without training text the distribution is uniform and every word is unknown.
@@ -27,6 +26,7 @@ Without training text the distribution is uniform and every word is unknown.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -34,12 +34,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchspark.llm.text import LOWER, SOLID, pieces, word_hashes, word_spans
+from matchspark.llm.text import LOWER, SOLID, mix, pieces, word_hashes, word_spans
 from matchspark.llm.workdir import scratch, stored
 
+#: At most 7: a gram is one 64-bit number.
 DEPTH = 5
-MIN_SHARE = 1e-5
+MIN_COUNT = 2
 MIN_GAIN = 10.0
+LOW = 2
 #: Words cannot hold a tab, so it stands for the end; a line feed stands for what precedes a text.
 SPACE, END, BEFORE = 32, 9, 10
 SYMBOLS = 256
@@ -70,32 +72,38 @@ def symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return out, out_offsets
 
 
+def _low(size: int) -> np.uint64:
+    """A mask of the lowest ``size`` bytes."""
+    return np.uint64((1 << 8 * size) - 1)
+
+
 def _grams(seq: np.ndarray, offsets: np.ndarray, depth: int) -> np.ndarray:
     """For each symbol the code of the ``depth`` symbols before it, then itself: depth + 1 bytes."""
-    n = len(seq)
-    place = np.arange(n) - np.repeat(offsets[:-1], np.diff(offsets))
-    code = seq.astype(np.uint64)
-    for k in range(1, depth + 1):
-        earlier = np.full(n, BEFORE, np.uint64)
-        earlier[k:] = seq[: max(0, n - k)]
-        earlier[place < k] = BEFORE
-        code |= earlier << np.uint64(8 * k)
+    padded = np.concatenate([np.full(7, BEFORE, np.uint8), seq])
+    code = np.ndarray(len(seq), ">u8", padded.data, strides=(1,)).astype(np.uint64) & _low(depth + 1)
+    nothing = np.uint64(int.from_bytes(bytes([BEFORE]) * 8, "big")) & _low(depth + 1)
+    sizes = np.diff(offsets)
+    for k in range(depth):
+        at = offsets[:-1][sizes > k] + k
+        code[at] = (code[at] & _low(k + 1)) | (nothing & ~_low(k + 1))
     return code
 
 
+def _merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes, sorted, with the sums of their counts."""
+    codes = np.concatenate([c for c, _ in held])
+    order = np.argsort(codes, kind="stable")
+    codes, n = codes[order], np.concatenate([n for _, n in held])[order]
+    first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
+    return codes[first], np.add.reduceat(n, first)
+
+
 def gram_counts(texts: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(code, n): every context of ``depth`` symbols with its next symbol, over all texts."""
 
-    def merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        codes = np.concatenate([c for c, _ in held])
-        order = np.argsort(codes, kind="stable")
-        codes, n = codes[order], np.concatenate([n for _, n in held])[order]
-        first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
-        return codes[first], np.add.reduceat(n, first)
-
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def batch(held):
-            codes, n = merged(held)
+            codes, n = _merged(held)
             return pa.RecordBatch.from_arrays([pa.array(codes.view(np.int64)), pa.array(n, pa.int64())], names=["code", "n"])
 
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -104,7 +112,7 @@ def gram_counts(texts: DataFrame, depth: int = DEPTH) -> DataFrame:
             if len(seq):
                 held.append(np.unique(_grams(seq, at, depth), return_counts=True))
             if len(held) >= 8:
-                held = [merged(held)]
+                held = [_merged(held)]
                 if len(held[0][0]) > 3_000_000:
                     yield batch(held)
                     held = []
@@ -116,7 +124,7 @@ def gram_counts(texts: DataFrame, depth: int = DEPTH) -> DataFrame:
 
 
 def suffix_tree(
-    grams: DataFrame, depth: int = DEPTH, min_share: float = MIN_SHARE, min_gain: float = MIN_GAIN, keep: Callable[[DataFrame, str], DataFrame] = stored
+    grams: DataFrame, depth: int = DEPTH, min_share: float = 0.0, min_gain: float = MIN_GAIN, keep: Callable[[DataFrame, str], DataFrame] = stored
 ) -> DataFrame:
     """(depth, context, symbol, n): counts of next symbols of the retained contexts, and of the root (depth 0).
 
@@ -211,42 +219,168 @@ class Automaton:
         return out
 
 
-def _blocked(docs: DataFrame, key: str, text: str, training: Column, block_bytes: int) -> DataFrame:
+def probabilities(
+    codes: np.ndarray, n: np.ndarray, depths: range, p: np.ndarray, share: np.ndarray, min_count: float, min_gain: float
+) -> tuple[np.ndarray, np.ndarray]:
+    """(probability, share of the context's count) of each distinct gram's symbol after contexts of the last of ``depths``.
+
+    ``n`` counts the grams in training; ``p`` and ``share`` are those one symbol before the first of ``depths``.
+    """
+    for d in depths:
+        keys, first, of_code = np.unique(codes & _low(d + 1), return_index=True, return_inverse=True)
+        _, of_key = np.unique(keys >> np.uint64(8), return_inverse=True)
+        times = np.bincount(of_code, n, minlength=len(keys))
+        total = np.bincount(of_key, times)[of_key]
+        kinds = np.bincount(of_key, times > 0)[of_key]
+        own, up = times / np.maximum(total, 1), p[first]
+        if d:
+            seen = times > 0
+            gain = np.zeros(len(keys))
+            gain[seen] = times[seen] * np.log(own[seen] / share[first][seen])
+            kept = (total >= max(1, min_count)) & (np.bincount(of_key, gain)[of_key] >= min_gain)
+        else:
+            kept, kinds = np.ones(len(keys), bool), np.maximum(kinds, 1)
+        p = np.where(kept, (times + kinds * up) / np.maximum(total + kinds, 1), up)[of_code]
+        share = own[of_code]
+    return p, share
+
+
+def packed(values: np.ndarray) -> bytes:
+    """The bytes of the values, first bytes first, compressed."""
+    return zlib.compress(values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes(), 1)
+
+
+def unpacked(data: bytes, kind: type) -> np.ndarray:
+    raw = np.frombuffer(zlib.decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(raw.T).view(kind).ravel()
+
+
+def _steps(codes: np.ndarray) -> np.ndarray:
+    return np.diff(codes, prepend=np.uint64(0))
+
+
+class Places:
+    """Where each of some distinct codes stands; only these codes are looked up."""
+
+    def __init__(self, codes: np.ndarray):
+        self.codes = codes
+        self.bits = max(4, (2 * len(codes)).bit_length())
+        self.table = np.full(1 << self.bits, -1, np.int32)
+        left, slot = np.arange(len(codes), dtype=np.int32), self._slots(codes)
+        while len(left):
+            free = self.table[slot[left]] < 0
+            self.table[slot[left[free]]] = left[free]
+            left = left[self.table[slot[left]] != left]
+            slot[left] = (slot[left] + 1) % len(self.table)
+
+    def _slots(self, codes: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, codes: np.ndarray) -> np.ndarray:
+        slot = self._slots(codes)
+        out = self.table[slot]
+        left = np.flatnonzero(self.codes[out] != codes)
+        while len(left):
+            slot[left] = (slot[left] + 1) % len(self.table)
+            out[left] = self.table[slot[left]]
+            left = left[self.codes[out[left]] != codes[left]]
+        return out
+
+
+def _blocked(docs: DataFrame, key: str, text: str, training: Column, block_bytes: int) -> tuple[DataFrame, int]:
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), F.coalesce(training, F.lit(False)).alias("training"))
     size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(size / block_bytes))
-    return rows.withColumn("block", F.pmod(F.xxhash64("key", "text"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
+    return rows.withColumn("block", F.pmod(F.xxhash64("key", "text"), F.lit(blocks)).cast("int")).repartition(blocks, "block"), blocks
 
 
-def block_words(blocked: DataFrame) -> DataFrame:
-    """(block, word, n): distinct words of each block, hashed, with their count in training texts."""
+def block_terms(blocked: DataFrame, buckets: int, depth: int = DEPTH) -> DataFrame:
+    """(block, word, n, bucket, codes, times): what each block asks for, with counts in its training texts.
+
+    A row is a distinct word, hashed, or the packed distinct grams of a bucket; bucket -1 has those
+    of ``LOW`` + 1 symbols.
+    """
+    schema = pa.schema([("block", pa.int32()), ("word", pa.int64()), ("n", pa.int64()), ("bucket", pa.int32()), ("codes", pa.binary()), ("times", pa.binary())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        words_of: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        grams_of: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
 
-        def out(block):
-            words = np.concatenate([w for w, _ in held[block]])
-            n = np.concatenate([n for _, n in held[block]])
-            distinct, where = np.unique(words, return_inverse=True)
-            return distinct, np.bincount(where, n, minlength=len(distinct)).astype(np.int64)
+        def add(held, block, codes, training):
+            mine = held.setdefault(block, [])
+            mine.append(np.unique(codes[training], return_counts=True))
+            other = np.unique(codes[~training])
+            mine.append((other, np.zeros(len(other), np.int64)))
+            if len(mine) >= 16:
+                held[block] = [_merged(mine)]
 
         for part, data, offsets in pieces(batches):
             words, bounds = word_hashes(data, offsets, SOLID)
-            weight = np.repeat(part.column("training").to_numpy(zero_copy_only=False).astype(np.int64), np.diff(bounds))
-            owner = np.repeat(part.column("block").to_numpy(zero_copy_only=False), np.diff(bounds))
+            seq, at = symbols(data, offsets)
+            codes = _grams(seq, at, depth)
+            training = part.column("training").to_numpy(zero_copy_only=False)
+            owner = part.column("block").to_numpy(zero_copy_only=False)
             for block in np.unique(owner).tolist():
                 mine = owner == block
-                distinct, where = np.unique(words[mine], return_inverse=True)
-                held.setdefault(block, []).append((distinct, np.bincount(where, weight[mine], minlength=len(distinct)).astype(np.int64)))
-                if len(held[block]) >= 8:
-                    held[block] = [out(block)]
-        for block in held:
-            distinct, n = out(block)
+                for held, terms, counts in ((words_of, words, np.diff(bounds)), (grams_of, codes, np.diff(at))):
+                    here = np.repeat(mine, counts)
+                    add(held, block, terms[here], np.repeat(training, counts)[here])
+        for block in list(grams_of):
+            words, n = _merged(words_of.pop(block))
+            nothing = pa.nulls(len(words))
+            columns = [np.full(len(words), block, np.int32), words.view(np.int64), n, *[nothing] * 3]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) if c is nothing else pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+            codes, n = _merged(grams_of.pop(block))
+            short, of_code = np.unique(codes & _low(LOW + 1), return_inverse=True)
+            rows = [(-1, short, np.bincount(of_code, n).astype(np.int64))]
+            bucket = (mix((codes >> np.uint64(8)) & _low(LOW + 1)) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            rows += [(k, codes[order[a:b]], n[order[a:b]]) for k, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if a < b]
+            columns = [[block] * len(rows), [None] * len(rows), [None] * len(rows), [r[0] for r in rows], [packed(_steps(r[1])) for r in rows], [packed(r[2]) for r in rows]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+    return blocked.mapInArrow(scan, "block int, word long, n long, bucket int, codes binary, times binary")
+
+
+def gram_answers(asked: DataFrame, buckets: int, depth: int = DEPTH, min_count: float = MIN_COUNT, min_gain: float = MIN_GAIN) -> DataFrame:
+    """(block, codes, logs): the grams that each block asked for, with log10 of their symbols' probabilities."""
+    low = min(LOW, depth)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for codes, times in zip(*(batch.column(c).to_pylist() for c in ("codes", "times"))):
+                codes = np.cumsum(unpacked(codes, np.uint64), dtype=np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(codes.view(np.int64)), pa.array(unpacked(times, np.int64))], names=["code", "n"])
+
+    short = asked.where("bucket = -1").select("codes", "times").mapInArrow(spread, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    # At most 256 ** (LOW + 1) rows, by the alphabet.
+    code, n = (c.to_numpy() for c in short.orderBy("code").toArrow().columns)
+    code = code.astype(np.uint64)
+    start = np.full(len(code), 1 / SYMBOLS), np.ones(len(code))
+    known = asked.sparkSession.sparkContext.broadcast((code, *probabilities(code, n, range(low + 1), *start, min_count, min_gain)))
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks, codes, times = [], [], []
+        for batch in batches:
+            blocks += batch.column("block").to_pylist()
+            codes += [np.cumsum(unpacked(c, np.uint64), dtype=np.uint64) for c in batch.column("codes").to_pylist()]
+            times += [unpacked(t, np.int64) for t in batch.column("times").to_pylist()]
+        if not blocks:
+            return
+        distinct, n = _merged(list(zip(codes, times)))
+        short, p, share = known.value
+        at = np.searchsorted(short, distinct & _low(LOW + 1))
+        p, _ = probabilities(distinct, n, range(low + 1, depth + 1), p[at], share[at], min_count, min_gain)
+        logs, places = np.log10(p).astype(np.float32), Places(distinct)
+        for block, mine in zip(blocks, codes):
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(distinct), block), pa.int32()), pa.array(distinct.view(np.int64)), pa.array(n)], names=["block", "word", "n"]
+                [pa.array([block], pa.int32()), pa.array([packed(_steps(mine))], pa.binary()), pa.array([packed(logs[places.find(mine)])], pa.binary())], names=["block", "codes", "logs"]
             )
 
-    return blocked.mapInArrow(scan, "block int, word long, n long")
+    rows = asked.where("bucket >= 0").select("block", "bucket", "codes", "times").repartition(buckets, "bucket")
+    return rows.mapInArrow(answer, "block int, codes binary, logs binary")
 
 
 def score_texts(
@@ -255,7 +389,7 @@ def score_texts(
     key: str = "doc_id",
     text: str = "text",
     depth: int = DEPTH,
-    min_share: float = MIN_SHARE,
+    min_count: float = MIN_COUNT,
     min_gain: float = MIN_GAIN,
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
@@ -265,24 +399,29 @@ def score_texts(
     """
     spark = docs.sparkSession
     learnt = docs.where(training).select(F.col(text).cast("string").alias("text"))
+    blocked, buckets = _blocked(docs, key, text, training, block_bytes)
     with scratch(spark) as keep:
-        tree = suffix_tree(gram_counts(learnt, depth), depth, min_share, min_gain, keep)
-        # At most 257 rows for each of the DEPTH / MIN_SHARE contexts.
-        model = spark.sparkContext.broadcast(Automaton(*(c.to_numpy() for c in tree.toArrow().columns)))
-
-    blocked = _blocked(docs, key, text, training, block_bytes)
-    of_word = Window.partitionBy("word")
-    asked = block_words(blocked).withColumn("c", F.sum("n").over(of_word)).where("c > 0")
-    asked = asked.withColumn("first", F.min("block").over(of_word) == F.col("block"))
-    answers = stored(asked.select("block", "word", "n", "c", "first"), "answers")
+        asked = keep(block_terms(blocked, buckets, depth), "asked")
+        of_word = Window.partitionBy("word")
+        words = asked.where("word is not null").withColumn("c", F.sum("n").over(of_word)).where("c > 0")
+        words = words.withColumn("first", F.min("block").over(of_word) == F.col("block"))
+        answers = stored(words.select("block", "word", "n", "c", "first"), "answers")
+        grams = stored(gram_answers(asked, buckets, depth, min_count, min_gain), "grams")
     vocabulary, words = answers.agg(F.coalesce(F.count_if("first"), F.lit(0)), F.sum("n")).first()
     texts = learnt.count()
     # The end is a token of the vocabulary too, once per training text.
     n_all, v_all = (words or 0) + texts, vocabulary + (texts > 0)
-    answers = answers.select("block", "word", "c")
+    answers = answers.select("block", "word", "c").unionByName(grams, allowMissingColumns=True)
     kind = docs.schema[key].dataType.simpleString()
 
     def score(documents: pa.Table, known: pa.Table) -> pa.Table:
+        of_grams = known.filter(known.column("codes").is_valid())
+        known = known.filter(known.column("word").is_valid())
+        codes, logs = (
+            np.concatenate([np.empty(0, t), *(f(unpacked(x, t)) for x in of_grams.column(c).to_pylist())])
+            for c, t, f in (("codes", np.uint64, lambda x: np.cumsum(x, dtype=np.uint64)), ("logs", np.float32, lambda x: x))
+        )
+        places = Places(codes)
         words = known.column("word").to_numpy().view(np.uint64)
         order = np.argsort(words)
         words, counts = words[order], known.column("c").to_numpy()[order]
@@ -291,7 +430,7 @@ def score_texts(
         out = [[], [], [], []]
         for part, data, offsets in pieces(documents.to_batches()):
             seq, at = symbols(data, offsets)
-            out[3].append(model.value.scores(seq, at))
+            out[3].append(np.add.reduceat(logs[places.find(_grams(seq, at, depth))].astype(np.float64), at[:-1]))
             mine, bounds = word_hashes(data, offsets, SOLID)
             c = np.zeros(len(mine), np.int64)
             if len(words) and len(mine):

@@ -126,3 +126,21 @@ def test_language_odd_rows(spark, odd, none):
     assert {r["lang_pred"] for r in lang_id.identify(odd, F.lit(False)).collect()} == {"und"}
     one = lang_id.identify(odd.where("lang = 'en'"), allowed).where("doc_id = 5").first()
     assert (one["lang_pred"], one["score"]) == ("en", 1.0)
+
+
+def test_rare_contexts_stay_beside_a_large_corpus(spark):
+    """Scores equal those of the whole tree in one process; a rare language keeps its contexts whatever else is learnt."""
+    rng = random.Random(4)
+    rare = [(3 * i + 1, "qofzip " * 4) for i in range(2)]
+    common = [(3 * i + 1, words(rng, 400, 60)) for i in range(100, 700)]
+    new = [(0, "qofzip qofzip"), (3, words(rng, 50, 60)), (6, "Überfluß 漢字漢字"), (9, None)]
+    rows = rare + common + new
+    got = {r["doc_id"]: r["score"] for r in suffix_lm.score_texts(frame(spark, rows), train(), block_bytes=100_000).collect()}
+    learnt = spark.createDataFrame([(t,) for _, t in rare + common], "text string")
+    total = sum(len((t or "").split()) and len(" ".join(t.split()).encode()) + 1 for _, t in rare + common)
+    whole = suffix_lm.suffix_tree(suffix_lm.gram_counts(learnt), min_share=suffix_lm.MIN_COUNT / total)
+    model = suffix_lm.Automaton(*(c.to_numpy() for c in whole.toArrow().columns))
+    ((_, data, offsets),) = pieces([pa.RecordBatch.from_pydict({"text": [t for _, t in new]})])
+    for (d, _), expected in zip(new, model.scores(*suffix_lm.symbols(data, offsets))):
+        assert math.isclose(got[d], expected, rel_tol=1e-4)
+    assert got[0] > -15
