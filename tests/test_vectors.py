@@ -3,6 +3,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from checks.fixture import Fixture
+from checks.registry import QUERIES
 from matchspark.operators import matching, vectors
 from matchspark.plans.tiles import merge_top_k, tiled_top_k
 
@@ -219,3 +221,10 @@ def test_all_pairs_known_leaves_nothing(spark):
 
 def test_middle_sized_sides_use_many_tasks(spark):
     assert (-(-20_000 // vectors.tile_rows_for(64))) ** 2 >= 8
+
+
+def test_registered_approximate_search_reaches_its_recall(spark, sf_dir):
+    fx = Fixture(spark, sf_dir)
+    exact = vectors.inner_product_topk(fx.embeddings, 10, dimension=64)
+    near = QUERIES["inner_product_topk_approx"](spark, sf_dir)
+    assert exact.join(near, ["left_id", "right_id"]).count() >= 0.9 * exact.count()
