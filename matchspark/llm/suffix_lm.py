@@ -38,7 +38,7 @@ from matchspark.llm.text import LOWER, SOLID, mix, pieces, word_hashes, word_spa
 from matchspark.llm.workdir import scratch, stored
 
 #: At most 7: a gram is one 64-bit number.
-DEPTH = 5
+DEPTH = 6
 MIN_COUNT = 2
 MIN_GAIN = 10.0
 LOW = 2
@@ -315,7 +315,7 @@ def block_terms(blocked: DataFrame, buckets: int, depth: int = DEPTH) -> DataFra
             if len(mine) >= 16:
                 held[block] = [_merged(mine)]
 
-        for part, data, offsets in pieces(batches):
+        for part, data, offsets in pieces(batches, limit=2 << 20):
             words, bounds = word_hashes(data, offsets, SOLID)
             seq, at = symbols(data, offsets)
             codes = _grams(seq, at, depth)
@@ -428,7 +428,7 @@ def score_texts(
         log_all = math.log10(n_all + v_all + 1)
         # Sums of logarithms are taken over counts, so that equal words give equal terms.
         out = [[], [], [], []]
-        for part, data, offsets in pieces(documents.to_batches()):
+        for part, data, offsets in pieces(documents.to_batches(), limit=2 << 20):
             seq, at = symbols(data, offsets)
             out[3].append(np.add.reduceat(logs[places.find(_grams(seq, at, depth))].astype(np.float64), at[:-1]))
             mine, bounds = word_hashes(data, offsets, SOLID)

@@ -144,3 +144,9 @@ def test_rare_contexts_stay_beside_a_large_corpus(spark):
     for (d, _), expected in zip(new, model.scores(*suffix_lm.symbols(data, offsets))):
         assert math.isclose(got[d], expected, rel_tol=1e-4)
     assert got[0] > -15
+
+
+def test_a_context_of_six_symbols_tells(spark):
+    rows = [(3 * i + 1, w) for i in range(30) for w in ("akkkkkb", "ckkkkkd")] + [(0, "akkkkkb"), (3, "akkkkkd")]
+    apart = lambda **options: (lambda s: s[0] - s[3])({r["doc_id"]: r["score"] for r in suffix_lm.score_texts(frame(spark, rows), train(), **options).collect() if r["doc_id"] % 3 == 0})
+    assert abs(apart(depth=5)) < 0.1 and apart() > 1
