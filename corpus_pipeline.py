@@ -27,8 +27,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group."""
-    return hyperminhash.one_of_each(docs).select(*docs.columns)
+    """One document of each near-duplicate group, linked from a Jaccard similarity of 0.8 on."""
+    return hyperminhash.one_of_each(docs, threshold=(80, 100)).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

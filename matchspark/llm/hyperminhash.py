@@ -9,7 +9,8 @@ of a fixed pseudo-random other bucket that is not empty.
 1. Equal sets are one class, stood for by its smallest doc_id (partial aggregation, so a
    class of any size costs one row per task).
 2. Registers are banded, ``BANDS`` x ``ROWS``.  Representatives that share a band become
-   candidates; at the threshold a pair shares none with probability below 1e-8.
+   candidates; a pair at 0.85 shares none with probability below 1e-8,
+   one at 0.8 below 1e-7.
 3. In every band bucket all members meet the smallest one (a star, not all pairs).  Pairs
    are estimated with collision correction; only those six standard deviations or more below
    the threshold go.  Each member's best pair is confirmed on full sets first, then those

@@ -89,3 +89,15 @@ def test_verbatim_matches_on_the_tables(spark, sf_dir):
     docs, bench = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     found = decontam.verbatim_matches(docs, bench).select(F.explode("matches").alias("m")).select("m.*")
     assert found.count() > 0 and found.agg(F.min("n_words")).first()[0] >= 1
+
+
+def test_near_duplicates_from_four_fifths_on(spark, tmp_path):
+    """Texts of 196 shingles: four changed words leave 0.815 of them in common, five 0.774."""
+    rng = random.Random(8)
+    rows = []
+    for i, changes in ((0, 4), (2, 5)):
+        one = words(rng, 200, 10**6).split()
+        two = [f"new{at}" if at in range(20, 20 + 30 * changes, 30) else w for at, w in enumerate(one)]
+        rows += [(i, " ".join(one), "en", "s", 0), (i + 1, " ".join(two), "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()) == [0, 2, 3]
