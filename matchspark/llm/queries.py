@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchspark.llm import chat_format, decontam, hyperminhash, lang_id, licenses, line_dedup, mixing, suffix_lm, topk, toxicity
+from matchspark.llm import (
+    centroids,
+    chat_format,
+    decontam,
+    fill_middle,
+    hyperminhash,
+    lang_id,
+    licenses,
+    line_dedup,
+    mixing,
+    order_join,
+    suffix_lm,
+    topk,
+    toxicity,
+)
 from matchspark.llm.workdir import table
 
 
@@ -90,6 +104,31 @@ def op10_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planned.select("doc_id", "size", "source_size", "target", "taken", F.try_element_at("positions", F.lit(1)).alias("position"))
 
 
+def op11_order_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_join.similar_documents(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return made.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        digest(F.col("output")).alias("output_sha256"),
+        digest(fill_middle.restored(F.col("output"), F.col("form"))).alias("restored_sha256"),
+    )
+
+
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroids.cluster_vectors(table(spark, sf_dir, "embeddings"))
+    return found.select(
+        "vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2(F.col("centroid").cast("binary"), 256).alias("centroid_sha256")
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -109,6 +148,9 @@ QUERIES = {
         op8_exact_topk,
         op9_hyperminhash,
         op10_curriculum_mix,
+        op11_order_join,
+        op12_fill_in_middle,
+        op13_centroid_clusters,
         pipeline,
     )
 }
@@ -178,4 +220,80 @@ SELECT doc_id, size, source_size, target, CAST(copies * size AS BIGINT) AS taken
 FROM c
 """
 
-ORACLE = {"op2_decontamination": OP2_SQL, "op8_exact_topk": OP8_SQL, "op10_curriculum_mix": OP10_SQL}
+OP11_SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_SOLID}') AS w FROM documents),
+sets AS (
+  SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE [w[p] || ' ' || w[p + 1] || ' ' || w[p + 2] for p in range(1, len(w) - 1)] END)) AS s FROM d),
+classes AS MATERIALIZED (SELECT min(doc_id) AS id, s, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY s),
+tokens AS MATERIALIZED (SELECT id, n, unnest(s) AS token FROM classes),
+links AS MATERIALIZED (
+  SELECT a, b FROM (
+    SELECT x.id AS a, y.id AS b, any_value(x.n) + any_value(y.n) AS total, count(*) AS common FROM tokens x JOIN tokens y
+      ON x.token = y.token AND x.id <> y.id AND 10 * x.n >= 9 * y.n AND 10 * y.n >= 9 * x.n GROUP BY x.id, y.id)
+  WHERE 100 * common >= 90 * (total - common)),
+reach AS (SELECT id AS a, id AS b FROM classes UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT sets.doc_id, CAST(len(sets.s) AS BIGINT) AS n_shingles, coalesce(component_id, sets.doc_id) AS component_id,
+  coalesce(component_id, sets.doc_id) = sets.doc_id AS kept
+FROM sets LEFT JOIN classes USING (s) LEFT JOIN least ON least.a = classes.id
+"""
+
+OP12_SQL = """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS w,
+    sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x FROM documents),
+h AS (
+  SELECT *, len(w) AS n, [CAST('0x' || substr(x, i, 8) AS BIGINT) for i in [1, 9, 17, 25]] AS h FROM d),
+c AS (
+  SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 90 THEN 'plain'
+      WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (
+  SELECT *, array_to_string(w[1 : a], '') AS prefix, array_to_string(w[a + 1 : b], '') AS middle, array_to_string(w[b + 1 :], '') AS suffix FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM p
+"""
+
+
+def _op13_sql(k: int = 40, rounds: int = 5) -> str:
+    def assigned(i: int) -> str:
+        return f"""a{i} AS MATERIALIZED (
+  SELECT row_id, any_value(vec_id) AS vec_id, any_value(v.e) AS e, min(d) AS distance, arg_min(c, struct_pack(d := d, c := c)) AS c
+  FROM (SELECT row_id, vec_id, v.e, c, CAST(list_sum([(z[1] - z[2]) * (z[1] - z[2]) for z in list_zip(v.e, m.e)]) AS BIGINT) AS d FROM v, c{i} m) v
+  GROUP BY row_id)"""
+
+    def moved(i: int) -> str:
+        return f"""c{i + 1} AS MATERIALIZED (
+  SELECT c{i}.c, coalesce(u.e, c{i}.e) AS e FROM c{i} LEFT JOIN (
+    SELECT c, list(CAST(floor(CAST(s AS DOUBLE) / n) AS BIGINT) ORDER BY place) AS e FROM (
+      SELECT c, place, sum(x) AS s, count(*) AS n FROM (SELECT c, unnest(e) AS x, unnest(range(64)) AS place FROM a{i}) GROUP BY c, place)
+    GROUP BY c) u USING (c))"""
+
+    steps = ",\n".join(f"{assigned(i)},\n{moved(i)}" for i in range(rounds))
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS row_id, vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS e FROM embeddings
+  WHERE len(embedding) = 64 AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), row_id) - 1 AS c, e FROM v ORDER BY c LIMIT {k}),
+{steps},
+{assigned(rounds)}
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c{rounds}.e, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} USING (c)
+"""
+
+
+ORACLE = {
+    "op2_decontamination": OP2_SQL,
+    "op8_exact_topk": OP8_SQL,
+    "op10_curriculum_mix": OP10_SQL,
+    "op11_order_join": OP11_SQL,
+    "op12_fill_in_middle": OP12_SQL,
+    "op13_centroid_clusters": _op13_sql(),
+}

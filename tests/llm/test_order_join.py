@@ -1,0 +1,145 @@
+import random
+import re
+
+import numpy as np
+import pytest
+from llm_frames import frame, words
+
+from matchspark.llm import order_join
+from matchspark.llm.text import mix
+
+
+def slow(rows, shingle=3, part=90, whole=100):
+    """{doc_id: (n, representative, component)} of rows with ids, by all pairs."""
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    sets = {}
+    for doc_id, text in rows:
+        w = [x for x in re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(lower))]
+        sets[doc_id] = frozenset(tuple(w[i : i + shingle]) for i in range(len(w) - shingle + 1)) if len(w) >= shingle else frozenset([tuple(w)] if w else [])
+    ids = sorted(sets)
+    parent = {i: i for i in ids}
+
+    def top(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for x, a in enumerate(ids):
+        for b in ids[x + 1 :]:
+            both = len(sets[a] & sets[b])
+            if both and whole * both >= part * len(sets[a] | sets[b]):
+                u, v = sorted((top(a), top(b)))
+                parent[v] = u
+    same = {}
+    for i in ids:
+        same.setdefault(sets[i], i)
+    return {i: (len(sets[i]), same[sets[i]] if sets[i] else i, top(i)) for i in ids}
+
+
+def check(spark, rows, **options):
+    got = order_join.similar_documents(frame(spark, rows), **options).collect()
+    want = slow(rows, *(options.get("threshold") and (3, *options["threshold"]) or ()))
+    assert {r.doc_id: (r.n_shingles, r.representative, r.component_id) for r in got} == want
+    assert all(r.kept == (r.doc_id == r.component_id) for r in got)
+    return want
+
+
+def edited(rng, text, edits):
+    w = text.split()
+    for _ in range(edits):
+        w[rng.randrange(len(w))] = "new" + "abcdefgh"[rng.randrange(8)] + "xyz"[rng.randrange(3)]
+    return " ".join(w)
+
+
+@pytest.fixture
+def mixed_rows():
+    """Near copies on both sides of the threshold, copies, a passage and a word pair that many share, short texts."""
+    rng = random.Random(7)
+    base = words(rng, 150, 5000)
+    passage = words(rng, 50, 5000)
+    rows = [(1000 + i, edited(rng, base, i % 7)) for i in range(120)]
+    rows += [(2000 + i, base.upper() if i % 2 else base) for i in range(20)]
+    rows += [(3000 + i, words(rng, rng.randrange(3, 60), 5000) + " " + passage) for i in range(80)]
+    rows += [(4000 + i, words(rng, rng.randrange(1, 25), 6)) for i in range(80)]
+    long = words(rng, 4000, 5000)
+    rows += [(5000 + i, edited(rng, long, 20 * i)) for i in range(8)]
+    rows += [(6000, ""), (6001, " \n"), (6002, "one"), (6003, "ONE"), (6004, "one two"), (6005, "one  two"), (6006, "one two three"), (6007, None)]
+    rng.shuffle(rows)
+    return rows
+
+
+def test_links_as_all_pairs(spark, mixed_rows):
+    want = check(spark, mixed_rows)
+    assert len({c for _, _, c in want.values()}) < len(want) - 60
+
+
+def test_small_blocks_and_slices_change_nothing(spark, mixed_rows, monkeypatch):
+    monkeypatch.setattr(order_join, "BLOCK_TOKENS", 6000)
+    monkeypatch.setattr(order_join, "SLICE", 4)
+    monkeypatch.setattr(order_join, "STARS", 1)
+    check(spark, mixed_rows)
+
+
+def test_cells_left_open_by_the_stars_are_completed(spark, monkeypatch):
+    """A head that is like none of the others, which form chains among themselves."""
+    monkeypatch.setattr(order_join, "STARS", 1)
+    rng = random.Random(11)
+    base = [f"b{i}".translate(str.maketrans("0123456789", "abcdefghij")) for i in range(200)]
+    rows = [(1, " ".join(base[:100] + [f"z{i}" for i in range(100)]))]
+    for chain in range(5):
+        text = list(base)
+        for k in range(20):
+            text[100 + rng.randrange(100)] = f"c{chain}k{k}"
+        for step in range(12):
+            text[rng.randrange(100, 200)] = f"c{chain}s{step}"
+            rows.append((10 + 100 * chain + step, " ".join(text)))
+    check(spark, rows)
+
+
+def test_other_thresholds(spark, mixed_rows):
+    check(spark, mixed_rows[:200], threshold=(75, 100))
+
+
+def test_odd_rows(spark, odd):
+    got = order_join.similar_documents(odd).collect()
+    rows = [(r.doc_id, r.text) for r in odd.collect()]
+    assert len(got) == len(rows)
+    assert sorted(r.n_shingles for r in got if r.doc_id is None) == [0, 3]
+    assert all(r.component_id is None and r.kept for r in got if r.doc_id is None)
+    want = slow([r for r in rows if r[0] is not None])
+    assert {r.doc_id: (r.n_shingles, r.representative, r.component_id) for r in got if r.doc_id is not None} == want
+
+
+def test_one_id_on_different_texts(spark):
+    """One of its rows stands for the id in every step; a row without words comes first."""
+    rng = random.Random(2)
+    a, b = words(rng, 40), words(rng, 40)
+    by = lambda rows: {(r.doc_id, r.component_id) for r in order_join.similar_documents(frame(spark, rows)).collect()}
+    assert by([(1, a), (1, b), (2, a), (3, b)]) in ({(1, 1), (2, 1), (3, 3)}, {(1, 1), (2, 2), (3, 1)})
+    assert by([(1, a), (1, None), (2, a)]) == {(1, 1), (2, 2)}
+
+
+def test_empty_table(none):
+    assert order_join.similar_documents(none).collect() == []
+
+
+def test_every_filter_is_a_necessary_condition():
+    """Random pairs at and near the threshold share prefix tokens under every order, and pass their marks."""
+    rng = np.random.default_rng(3)
+    classes = rng.integers(1, 6, 1 << 10).astype(np.uint8)
+    linked = 0
+    for trial in range(3000):
+        n = int(rng.integers(1, 300))
+        pool = np.unique(mix(np.arange(trial * 1000, trial * 1000 + 2 * n, dtype=np.uint64)))
+        a = np.sort(rng.permutation(pool)[:n])
+        gone = int(rng.integers(0, max(1, n // 10) + 1))
+        b = np.sort(np.concatenate([rng.permutation(a)[gone:], np.setdiff1d(pool, a)[: int(rng.integers(0, max(1, n // 15) + 1))]]))
+        both = len(np.intersect1d(a, b))
+        if not both or 100 * both < 90 * (len(a) + len(b) - both):
+            continue
+        linked += 1
+        for order in range(order_join.ORDERS):
+            heads = [order_join.prefix(s, order, classes, order_join.prefix_length(len(s), (90, 100))) for s in (a, b)]
+            assert len(np.intersect1d(*heads))
+        assert order_join.allowed(order_join.mark(a, classes, (90, 100)), len(a), order_join.mark(b, classes, (90, 100)), len(b), (90, 100))
+    assert linked > 500
