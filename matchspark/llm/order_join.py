@@ -11,10 +11,11 @@ tokens fall into, so the orders take ``2**SLOT_BITS`` bytes whatever the input.
 2. The prefix tokens of the first order are an index.  Its cells are (token, length band): sets
    whose lengths allow the threshold lie in one band or in neighbouring ones, so a set enters the
    cell of its band and, as a guest, the next one.  Two guests need not meet.
-3. Every set carries a mark of fixed size: for each further order its prefix as a bit set (two
-   prefixes that share a token share a bit), and the parities of its tokens over 512 bits (which
-   differ in no more bits than the sets differ in tokens).  A pair of a cell is a candidate only
-   if lengths, all prefixes and parities allow it.
+3. Every set carries a mark: for each further order its prefix as a bit set (two prefixes that
+   share a token share a bit), and the parities of its tokens over some bits (which differ in no
+   more bits than the sets differ in tokens).  A mark has a power of two of words, in proportion
+   to the set, and folds to a smaller one.  A pair of a cell is a candidate only if lengths, all
+   prefixes and parities allow it.
 4. In every cell the members meet one of them first (a star, not all pairs), in ``STARS`` rounds;
    candidates are verified on full sets and their links joined to components.
 5. Cells that still hold several components are cut into blocks of a bounded number of tokens.
@@ -49,8 +50,10 @@ THRESHOLD = (90, 100)
 ORDERS = 3
 SLOT_BITS = 18
 STARS = 2
-#: 64-bit words of a mark: parities, then one bit set for each order after the first.
+#: 64-bit words of the smallest mark: parities, then one bit set for each order after the first.
 PARITY_WORDS, PREFIX_WORDS = 8, 4
+#: Tokens for which the smallest mark is enough, and how often it is doubled at most: beyond, marks rule out less.
+MARK_TOKENS, DOUBLED = 1024, 6
 #: Tokens of a block of a cell (a set counts ``SET_COST`` more), and members of a verification slice.
 BLOCK_TOKENS, SET_COST = 1 << 20, 1000
 SLICE = 256
@@ -91,35 +94,60 @@ def prefix(tokens: np.ndarray, order: int, classes: np.ndarray, length: int) ->
     return tokens[rank <= np.partition(rank, length - 1)[length - 1]]
 
 
-def _bits(values: np.ndarray, words: int) -> np.ndarray:
-    return np.packbits(values, bitorder="little").view("<u8")[:words]
-
-
 def mark(tokens: np.ndarray, classes: np.ndarray, threshold: tuple[int, int]) -> np.ndarray:
-    """Parities of all tokens and the prefixes under the orders after the first, as 64-bit words."""
-    places = (mix(tokens ^ _SEEDS[ORDERS]) & np.uint64(64 * PARITY_WORDS - 1)).astype(np.int64)
-    out = [_bits(np.bincount(places, minlength=64 * PARITY_WORDS) & 1 != 0, PARITY_WORDS)]
+    """Parities of all tokens and the prefixes under the orders after the first, as 64-bit words, a row for each size unit."""
+    units = 1 << min(DOUBLED, (max(0, len(tokens) - 1) // MARK_TOKENS).bit_length())
+    bits = 64 * PARITY_WORDS * units
+    places = (mix(tokens ^ _SEEDS[ORDERS]) & np.uint64(bits - 1)).astype(np.int64)
+    parts = [np.bincount(places, minlength=bits) & 1]
     length = prefix_length(len(tokens), threshold)
     for order in range(1, ORDERS):
-        held = np.zeros(64 * PREFIX_WORDS, bool)
-        held[(prefix(tokens, order, classes, length) & np.uint64(64 * PREFIX_WORDS - 1)).astype(np.int64)] = True
-        out.append(_bits(held, PREFIX_WORDS))
-    return np.concatenate(out)
-
-
-def allowed(marks_a: np.ndarray, na: np.ndarray, marks_b: np.ndarray, nb: np.ndarray, threshold: tuple[int, int]) -> np.ndarray:
-    """What lengths, prefixes under the further orders and parities do not rule out."""
+        held = np.zeros(64 * PREFIX_WORDS * units, np.int64)
+        held[(prefix(tokens, order, classes, length) & np.uint64(len(held) - 1)).astype(np.int64)] = 1
+        parts.append(held)
+    return np.concatenate([np.packbits(p != 0, bitorder="little").view("<u8").reshape(units, -1) for p in parts], axis=1)
+
+
+class Marks:
+    """The marks of many sets."""
+
+    def __init__(self, column: pa.Array):
+        self.raw = column.to_pylist()
+        self.units = np.array([len(m) for m in self.raw], np.int64) // (8 * (PARITY_WORDS + (ORDERS - 1) * PREFIX_WORDS))
+        self._folded: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def folded(self, rows: np.ndarray, units: int) -> np.ndarray:
+        """The marks of these rows, of this size at least, folded to it."""
+        if units not in self._folded:
+            large = np.flatnonzero(self.units >= units)
+            place = np.zeros(len(self.raw), np.int64)
+            place[large] = np.arange(len(large))
+            out = np.empty((len(large), units, PARITY_WORDS + (ORDERS - 1) * PREFIX_WORDS), "<u8")
+            for size in np.unique(self.units[large]).tolist():
+                at = large[self.units[large] == size]
+                full = np.frombuffer(b"".join([self.raw[i] for i in at.tolist()]), "<u8").reshape(len(at), size // units, units, -1)
+                out[place[at], :, :PARITY_WORDS] = np.bitwise_xor.reduce(full[..., :PARITY_WORDS], axis=1)
+                out[place[at], :, PARITY_WORDS:] = np.bitwise_or.reduce(full[..., PARITY_WORDS:], axis=1)
+            self._folded[units] = place, out
+        place, out = self._folded[units]
+        return out[place[rows]]
+
+
+def allowed(
+    marks_a: Marks, at_a: np.ndarray, na: np.ndarray, marks_b: Marks, at_b: np.ndarray, nb: np.ndarray, threshold: tuple[int, int]
+) -> np.ndarray:
+    """For rows ``at_a`` and ``at_b``: what lengths, prefixes under the further orders and parities do not rule out."""
     part, whole = threshold
     ok = whole * np.minimum(na, nb) >= part * np.maximum(na, nb)
-    both = marks_a[..., PARITY_WORDS:] & marks_b[..., PARITY_WORDS:]
-    for order in range(ORDERS - 1):
-        ok &= both[..., order * PREFIX_WORDS : (order + 1) * PREFIX_WORDS].any(axis=-1)
-    differ = np.bitwise_count(marks_a[..., :PARITY_WORDS] ^ marks_b[..., :PARITY_WORDS]).sum(axis=-1, dtype=np.int64)
-    return ok & (differ * (whole + part) <= (na + nb) * (whole - part))
-
-
-def _marks(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(-1, PARITY_WORDS + (ORDERS - 1) * PREFIX_WORDS)
+    size = np.minimum(marks_a.units[at_a], marks_b.units[at_b])
+    for units in np.unique(size[ok]).tolist():
+        here = np.flatnonzero(ok & (size == units))
+        a, b = marks_a.folded(at_a[here], units), marks_b.folded(at_b[here], units)
+        both = (a[..., PARITY_WORDS:] & b[..., PARITY_WORDS:]) != 0
+        shared = both.reshape(len(here), units, ORDERS - 1, PREFIX_WORDS).any(axis=(1, 3)).all(axis=1)
+        differ = np.bitwise_count(a[..., :PARITY_WORDS] ^ b[..., :PARITY_WORDS]).sum(axis=(1, 2), dtype=np.int64)
+        ok[here] = shared & (differ * (whole + part) <= ((na + nb) * (whole - part))[here])
+    return ok
 
 
 def _hashed(docs: DataFrame) -> DataFrame:
@@ -172,8 +200,9 @@ def _candidates(pairs: DataFrame, reps: DataFrame, threshold: tuple[int, int]) -
         for batch in batches:
             if not batch.num_rows:
                 continue
-            n = [batch.column(c).to_numpy() for c in ("na", "nb")]
-            keep = allowed(_marks(batch.column("ma")), n[0], _marks(batch.column("mb")), n[1], threshold)
+            na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
+            at = np.arange(batch.num_rows)
+            keep = allowed(Marks(batch.column("ma")), at, na, Marks(batch.column("mb")), at, nb, threshold)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     part, whole = threshold
@@ -233,7 +262,7 @@ class _Block:
         self.threshold = threshold
         self.n, self.home = (table.column(c).to_numpy() for c in ("n", "home"))
         self.component = table.column("component").to_numpy().copy()
-        self.marks = _marks(table.column("mark").combine_chunks())
+        self.marks = Marks(table.column("mark"))
         second = table.column("block").to_numpy() != table.column("i").to_numpy()
         self.left = np.flatnonzero(~second)
         self.right = np.flatnonzero(second)
@@ -245,7 +274,8 @@ class _Block:
             others = self.left[at + 1 :] if self.one else self.right
             others = others[(self.component[others] != self.component[x]) & (self.home[others] | self.home[x])]
             if len(others):
-                others = others[allowed(self.marks[others], self.n[others], self.marks[x], self.n[x], self.threshold)]
+                same = np.full(len(others), x)
+                others = others[allowed(self.marks, others, self.n[others], self.marks, same, self.n[same], self.threshold)]
                 if len(others):
                     yield x, others
 
