@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -160,6 +161,19 @@ def shard_matches(words: np.ndarray, bounds: np.ndarray, tests: dict, window: in
     return out
 
 
+def _blocks(benchmark: DataFrame, item: str, item_text: str, window: int, block_chars: int) -> list[Broadcast]:
+    """The windows of the items, a broadcast for each block of about ``block_chars`` characters."""
+    spark = benchmark.sparkSession
+    items = benchmark.select(F.col(item).cast("string").alias("item_id"), F.col(item_text).cast("string").alias("text"))
+    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = int(chars // block_chars) + 1
+    out = []
+    for b in range(blocks):
+        block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) if blocks > 1 else items
+        out.append(spark.sparkContext.broadcast(benchmark_windows([(r["item_id"], r["text"]) for r in block.toLocalIterator()], window)))
+    return out
+
+
 def verbatim_matches(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -171,18 +185,12 @@ def verbatim_matches(
     block_chars: int = BLOCK_CHARS,
 ) -> DataFrame:
     """Per document row: its key, n_words and all maximal matches with items (place and length each)."""
-    spark = docs.sparkSession
-    items = benchmark.select(F.col(item).cast("string").alias("item_id"), F.col(item_text).cast("string").alias("text"))
-    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = int(chars // block_chars) + 1
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     parts = []
-    for b in range(blocks):
-        block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) if blocks > 1 else items
-        tests = spark.sparkContext.broadcast(
-            benchmark_windows([(r["item_id"], r["text"]) for r in block.toLocalIterator()], window)
-        )
+    every = _blocks(benchmark, item, item_text, window, block_chars)
+    blocks = len(every)
+    for tests in every:
 
         def scan(batches: Iterator[pa.RecordBatch], tests=tests) -> Iterator[pa.RecordBatch]:
             kind_of = pa.list_(
@@ -242,7 +250,28 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", **
     )
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """The documents without any match, with all their columns."""
-    bad = contamination(docs, benchmark, key=key, **options).where("contaminated").select(F.col(key).alias("__bad")).distinct()
-    return docs.join(bad, docs[key].eqNullSafe(bad["__bad"]), "left_anti")
+def decontaminate(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    text: str = "text",
+    item: str = "item_id",
+    item_text: str = "text",
+    window: int = WINDOW,
+    block_chars: int = BLOCK_CHARS,
+) -> DataFrame:
+    """The documents without any match, with all their columns; every row is judged by its own text.
+
+    Rows pass one filter for each block of the benchmark, without a shuffle.
+    """
+    clean = docs.withColumn("__text", F.col(text).cast("string"))
+    for tests in _blocks(benchmark, item, item_text, window, block_chars):
+
+        def scan(batches: Iterator[pa.RecordBatch], tests=tests) -> Iterator[pa.RecordBatch]:
+            for part, data, offsets in pieces(batches, "__text"):
+                words, bounds = word_hashes(data, offsets, WORD)
+                hit = np.zeros(part.num_rows, bool)
+                hit[list(shard_matches(words, bounds, tests.value, window))] = True
+                yield part.filter(pa.array(~hit))
+
+        clean = clean.mapInArrow(scan, clean.schema)
+    return clean.drop("__text")

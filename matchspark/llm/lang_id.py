@@ -8,7 +8,7 @@ right for the language in training, and the codeword of least loss is chosen.  T
 minimum's share; ``ambiguous`` marks scores whose runner-up is within ``MARGIN``.
 
 Bits are fitted on at most ``SAMPLE`` labelled texts over all languages, an equal number of each (by the
-smallest hash of the id).  Prediction reads every whole text.  A null text or one without letters is
+smallest hash of id and text, equal rows once).  Prediction reads every whole text.  A null text or one without letters is
 ``und`` with score 0; so is every text if no language can be learnt.  With one language
 that one is predicted.  Repeated rows are predicted row by row.
 """
@@ -106,16 +106,30 @@ class Model:
         return loss.argmin(axis=1), ranked[:, -1], ranked[:, -1] - ranked[:, -2] < MARGIN
 
 
+def sampled(rows: DataFrame, sample: int = SAMPLE) -> tuple[list[str], DataFrame]:
+    """The languages, and (lang, text) of at most ``sample`` rows of ``rows`` (doc_id, lang, text), as many of each.
+
+    A language's rows with the smallest hashes of id and text are taken, equal rows once.  A bound
+    on the hash, about four times what is asked for, comes first, so that a task gets few rows of
+    a language however many there are.
+    """
+    hashed = rows.withColumn("h", F.xxhash64("doc_id", "text"))
+    counts = {r["lang"]: r["n"] for r in hashed.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}
+    if not counts:
+        return [], rows.select("lang", "text")
+    each = max(1, sample // len(counts))
+    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 4 * (each + 16) / n))])
+    near = hashed.where(F.col("h").cast("double") / 2.0**64 + 0.5 <= F.element_at(share, F.col("lang"))).dropDuplicates(["lang", "h"])
+    first = Window.partitionBy("lang").orderBy("h")
+    return sorted(counts), near.withColumn("n", F.row_number().over(first)).where(F.col("n") <= each).orderBy("h", "lang").select("lang", "text")
+
+
 def fit(docs: DataFrame, allowed: Column, sample: int = SAMPLE) -> Model:
     rows = docs.where(allowed).where("lang is not null").select(F.col("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    known = sorted(r[0] for r in rows.select("lang").distinct().collect())
+    known, chosen = sampled(rows, sample)
     if not known:
         return Model([], np.empty((0, BUCKETS)), np.empty(0, np.int64))
-    each = max(1, sample // len(known))
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = rows.select("doc_id", "lang").withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= each).select(F.col("doc_id").alias("__id"), F.col("lang").alias("__lang"))
-    # At most ``sample`` ids: a bounded broadcast.
-    table = rows.join(F.broadcast(chosen), (F.col("doc_id") == F.col("__id")) & (F.col("lang") == F.col("__lang"))).orderBy(F.xxhash64("doc_id"), "doc_id").select("lang", "text").toArrow()
+    table = chosen.toArrow()
     place = {lang: i for i, lang in enumerate(known)}
     x = [features(data, offsets) for _, data, offsets in pieces(table.select(["text"]).to_batches())]
     y = np.array([place[lang] for lang in table.column("lang").to_pylist()], np.int64)

@@ -90,3 +90,14 @@ def test_odd_rows(spark, odd, none):
     assert decontam.decontaminate(odd, bench).count() == odd.count() - 1
     assert decontam.contamination(none, bench).count() == 0
     assert decontam.contamination(odd, bench.limit(0)).where("contaminated").count() == 0
+
+
+def test_rows_are_judged_one_by_one(spark):
+    """A contaminated row takes no other row with it, whether their id is null or repeated."""
+    bad = "one two three four five six seven eight nine ten eleven"
+    bench = spark.createDataFrame([("b", bad)], "item_id string, text string")
+    rows = [(None, bad), (None, "clean words"), (None, None), (5, bad), (5, "clean"), (5, "")]
+    for size in (8_000_000, 20):
+        kept = decontam.decontaminate(frame(spark, rows), bench, block_chars=size)
+        assert kept.columns == frame(spark, rows).columns
+        assert sorted((r.doc_id or 0, r.text or "-") for r in kept.collect()) == [(0, "-"), (0, "clean words"), (5, "-"), (5, "clean")]

@@ -150,3 +150,11 @@ def test_a_context_of_six_symbols_tells(spark):
     rows = [(3 * i + 1, w) for i in range(30) for w in ("akkkkkb", "ckkkkkd")] + [(0, "akkkkkb"), (3, "akkkkkd")]
     apart = lambda **options: (lambda s: s[0] - s[3])({r["doc_id"]: r["score"] for r in suffix_lm.score_texts(frame(spark, rows), train(), **options).collect() if r["doc_id"] % 3 == 0})
     assert abs(apart(depth=5)) < 0.1 and apart() > 1
+
+
+def test_sample_of_repeated_ids_and_of_a_hot_language(spark):
+    rows = [(1, f"text {i}", "en", "s") for i in range(1000)] + [(2, "same", "de", "s")] * 1000 + [(3, "allein", "fr", "s")]
+    rows = frame(spark, rows).select("doc_id", "lang", "text")
+    known, chosen = lang_id.sampled(rows, 300)
+    got = chosen.groupBy("lang").count().collect()
+    assert known == ["de", "en", "fr"] and {r["lang"]: r["count"] for r in got} == {"en": 100, "de": 1, "fr": 1}

@@ -2,7 +2,7 @@ import math
 import random
 
 import pytest
-from llm_frames import frame
+from llm_frames import frame, words
 from pyspark.sql import functions as F
 
 from matchspark.llm import mixing, topk
@@ -13,13 +13,18 @@ def vectors(spark, rows):
 
 
 def brute(rows, k):
-    ok = [(i, [math.floor(1024 * x) for x in v]) for i, v, *_ in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    """Every row against every other row, whatever their ids."""
+    ok = [(i, [math.floor(1024 * x) if abs(x) < 2**53 else int(x) * 1024 for x in v]) for i, v, *_ in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for q, a in ok:
+    for at, (q, a) in enumerate(ok):
         if q % 10 == 0:
-            scores = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in ok if i != q and len(a) == len(b))[:k]
-            out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores)]
-    return sorted(out)
+            scores = sorted((-sum(x * y for x, y in zip(a, b)), i) for other, (i, b) in enumerate(ok) if other != at and len(a) == len(b))[:k]
+            out += [(q, n + 1, i, -s if abs(s) < 2**63 else None) for n, (s, i) in enumerate(scores)]
+    return ordered(out)
+
+
+def ordered(rows):
+    return sorted(map(tuple, rows), key=lambda r: tuple((x is not None, x) for x in r))
 
 
 @pytest.mark.parametrize("shard", [8192, 60])
@@ -34,15 +39,28 @@ def test_equals_brute_force(spark, monkeypatch, shard):
     rows = [(i, [None if x is None else float(x) for x in v] if v is not None else None, s, t) for i, v, s, t in rows]
     df = vectors(spark, rows)
     rounded = [(r["vec_id"], r["embedding"]) for r in df.collect()]
-    got = sorted(tuple(r) for r in topk.top_k(df, F.col("vec_id") % 10 == 0).collect())
+    got = ordered(topk.top_k(df, F.col("vec_id") % 10 == 0).collect())
+    assert got == brute(rounded, 10)
+
+
+@pytest.mark.parametrize("shard", [8192, 20])
+def test_components_of_any_size_and_repeated_ids(spark, monkeypatch, shard):
+    monkeypatch.setattr(topk, "SHARD", shard)
+    monkeypatch.setattr(topk, "QUERIES", 8 if shard == 20 else 1024)
+    rng = random.Random(9)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(60)]
+    rows += [(70 + i, [rng.choice([1e30, -1e30, 131072.0, 1e9, 0.0, 1.0]) for _ in range(4)]) for i in range(20)]
+    rows += [(10, [1e30, 1e30, 0.0, 1.0]), (10, [0.5] * 4), (10, [0.5] * 4), (10, [0.5] * 4), (33, [2.0] * 4)] + [(33, [3.0] * 4)] * 15
+    df = vectors(spark, [(i, v, "s", "i") for i, v in rows])
+    rounded = [(r["vec_id"], r["embedding"]) for r in df.collect()]
+    got = ordered(topk.top_k(df, F.col("vec_id") % 10 == 0).collect())
     assert got == brute(rounded, 10)
+    assert any(r[3] is None for r in got) and sum(r[0] == 10 for r in got) == 50
 
 
 def test_no_vectors(spark):
     assert topk.top_k(vectors(spark, []), F.col("vec_id") % 10 == 0).count() == 0
     assert topk.top_k(vectors(spark, [(3, [1.0], "", "")]), F.col("vec_id") % 10 == 0).count() == 0
-    with pytest.raises(Exception, match="too large"):
-        topk.top_k(vectors(spark, [(0, [1e30], "", ""), (1, [1.0], "", "")]), F.col("vec_id") % 10 == 0).collect()
 
 
 def filled(sizes):
@@ -116,3 +134,14 @@ def test_odd_rows(spark, odd, none):
     assert sum(r["size"] == 0 for r in got) == 4
     assert mixing.plan(none).count() == 0 and mixing.mixed(none).count() == 0
     assert "copy" in mixing.mixed(odd).columns
+
+
+def test_equal_rows_are_mixed_as_planned(spark):
+    """What the mix holds of equal rows is what the plan takes of them."""
+    rng = random.Random(3)
+    rows = [(7, words(rng, 10), "en", "a")] * 100 + [(i, words(rng, 12), "en", "bc"[i % 2]) for i in range(60)] + [(None, "x y z", "en", "a")] * 5
+    df = frame(spark, rows)
+    planned = mixing.plan(df).groupBy("doc_id").agg(F.sum("copies").alias("n")).where("n > 0").collect()
+    out = mixing.mixed(df)
+    assert {r.doc_id: r.n for r in planned} == {r.doc_id: r["count"] for r in out.groupBy("doc_id").count().collect()}
+    assert sorted(r.position for r in out.collect()) == sorted(p for r in mixing.plan(df).collect() for p in r.positions)
