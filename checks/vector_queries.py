@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from checks.fixture import Fixture, timestamp_ntz
 from checks.query import query
 from checks.write_queries import ulid_sql
-from matchspark.operators import ingest, matching, vectors
+from matchspark.operators import cells, ingest, matching, vectors
 
 DIMENSION = 64
 
@@ -112,6 +112,46 @@ def inner_product_topk_approx(fx: Fixture) -> DataFrame:
     )
 
 
+def held_against_exact(fx: Fixture, near: DataFrame) -> DataFrame:
+    """Per candidate: its exact top ten, how many of them ``near`` has, and whether its scores are the same."""
+    exact = vectors.inner_product_topk(fx.embeddings, 10, dimension=DIMENSION)
+    pairs = near.select("left_id", "right_id", F.col("score").alias("near_score"))
+    return (
+        exact.join(pairs, ["left_id", "right_id"], "left")
+        .groupBy("left_id")
+        .agg(
+            F.count("*").alias("wanted"),
+            F.count("near_score").alias("hits"),
+            F.bool_and(F.coalesce(F.col("near_score") == F.col("score"), F.lit(True))).alias("same"),
+        )
+    )
+
+
+@query(
+    "cells_topk_quality",
+    """
+    select object_id as left_id, cast(10 as bigint) as wanted, true as scores_exact, true as all_recall_reached,
+           true as a_fifth_compared
+    from v_embeddings where object_type = 'candidate' and status = 'done'""",
+)
+def cells_topk_quality(fx: Fixture) -> DataFrame:
+    """The search over learnt cells beside the exact one: recall of 0.9 over all candidates, at most a fifth of all pairs scored."""
+    near = cells.inner_product_topk_cells(fx.embeddings, 10, dimension=DIMENSION)
+    found = held_against_exact(fx, near)
+    rights = vectors.done_vectors(fx.embeddings, "position", "right_id", DIMENSION)
+    recall = found.agg((F.sum("hits") >= 0.9 * F.sum("wanted")).alias("reached")).scalar()
+    fifth = rights.agg((F.count("*") >= 5 * 30).alias("fifth")).scalar()
+    return found.select(
+        "left_id", "wanted", F.col("same").alias("scores_exact"), recall.alias("all_recall_reached"), fifth.alias("a_fifth_compared")
+    )
+
+
+@query("inner_product_topk_cells")
+def inner_product_topk_cells(fx: Fixture) -> DataFrame:
+    """The setting that ``cells_topk_quality`` holds against the exact search."""
+    return cells.inner_product_topk_cells(fx.embeddings, 10, dimension=DIMENSION)
+
+
 @query(
     "embed_pending",
     """

@@ -8,6 +8,9 @@ materialised, and a group holding any share of the rows is spread over its tiles
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,9 +40,12 @@ def tiled_top_k(
     tile_rows: int,
     group: list[str] | None = None,
     known: DataFrame | None = None,
+    product: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None,
 ) -> DataFrame:
     """(left_id, right_id, score): per left row the k best of each tile it meets.
 
+    ``product`` gives the scores of left rows by right rows; by default their inner products.
+
     The pairs of ``known`` (left_id, right_id) are passed over before ranking.  Each travels to
     the one tile pair where it would be found, once per group of its left row.
 
@@ -101,10 +107,10 @@ def tiled_top_k(
             T.StructField("score", T.DoubleType()),
         ]
     )
-    return meet.applyInPandas(_multiplier(k), schema)
+    return meet.applyInPandas(_multiplier(k, product=product), schema)
 
 
-def _multiplier(k: int, digits: int = SCORE_DIGITS, products: int = 4_000_000):
+def _multiplier(k: int, digits: int = SCORE_DIGITS, products: int = 4_000_000, product=None):
     """The function run per tile pair; self-contained, so workers need only numpy and pandas."""
 
     def multiply(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -118,7 +124,9 @@ def _multiplier(k: int, digits: int = SCORE_DIGITS, products: int = 4_000_000):
             return pd.DataFrame({"left_id": ids, "right_id": ids, "score": ids.astype(float)})
         right = right.sort_values("right_id", kind="stable")
         right_ids = right["right_id"].to_numpy()
-        b = np.stack(right["vector"].to_numpy()).astype("float64").T
+        b = np.stack(right["vector"].to_numpy())
+        if product is None:
+            b = b.astype("float64").T
         left_ids = left["left_id"].to_numpy()
         a = np.stack(left["vector"].to_numpy()).astype("float64")
         n, keep = len(right_ids), min(k, len(right_ids))
@@ -131,7 +139,8 @@ def _multiplier(k: int, digits: int = SCORE_DIGITS, products: int = 4_000_000):
         passed = -(2**62)
         out_left, out_right, out_score = [], [], []
         for start in range(0, len(left_ids), strip):
-            scaled = np.rint((a[start : start + strip] @ b) * 10**digits).astype("int64")
+            some = a[start : start + strip]
+            scaled = np.rint((some @ b if product is None else product(some, b)) * 10**digits).astype("int64")
             # One whole number per pair orders by score, then by id.
             order = scaled * n - place
             inside = (row >= start) & (row < start + strip)
