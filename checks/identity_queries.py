@@ -9,16 +9,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from checks.feed_queries import _DUAL_VIEWS, dual_page
-from checks.fixture import NOW, Fixture, ident, timestamp_ntz
+from checks.fixture import NOW, REACTION_ORDER, Fixture, ident, timestamp_ntz
 from checks.query import query
 from matchspark.functions import names, requests, roles
 from matchspark.functions.usernames import ADJECTIVES, NOUNS, assign_user_names, draw_user_name
 from matchspark.operators import identity
+from matchspark.operators.ingest import REACTION_KEY, first_per_key
 from matchspark.operators.integrity import union_all
-from matchspark.plans.materialize import new_folder
+from matchspark.plans.materialize import materialize, new_folder
 from matchspark.schemas import TABLES
 from matchspark.sources import export
 from matchspark.sources.seed import SeedStep, load_seed
+from matchspark.streaming.keyed import STATE_SETTINGS, start_keyed
 from matchspark.streaming.matches import stream_matches
 from matchspark.streaming.reactions import create_table, store_reactions, stored_reactions
 
@@ -613,16 +615,35 @@ def stream_reactions(fx: Fixture) -> DataFrame:
     return stored_reactions(fx.spark, stored_by_stream(fx)).drop("batch")
 
 
+@query("stream_reactions_keyed", "select * from v_reactions")
+def stream_reactions_keyed(fx: Fixture) -> DataFrame:
+    """What was stored before 1995, and what a keyed stream accepts of the log from then on, year by year."""
+    spark, log = fx.spark, fx.reaction_log
+    source, table, checkpoint = (new_folder(spark, name) for name in ("stream-in", "reactions", "stream-state"))
+    columns = ["recommendation_id", "reactor_type", "reactor_id", "reaction_type", "created_at"]
+    before = materialize(log.filter(F.year("created_at") < 1995), "log")
+    stored = materialize(first_per_key(before, REACTION_KEY, REACTION_ORDER).select(*columns), "stored")
+    rest = log.filter(F.year("created_at") >= 1995)
+    settings = {**STATE_SETTINGS, "spark.sql.shuffle.partitions": str(spark.sparkContext.defaultParallelism)}
+    kept = {name: spark.conf.get(name, None) for name in settings}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        for year in [r[0] for r in rest.select(F.year("created_at")).distinct().orderBy(1).collect()]:
+            rest.filter(F.year("created_at") == year).write.parquet(f"{source}/year={year}")
+            stream = spark.readStream.schema(log.schema).parquet(f"{source}/*")
+            start_keyed(stream, stored, table, checkpoint, REACTION_ORDER, availableNow=True).awaitTermination()
+    finally:
+        for name, value in kept.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+    return stored.unionByName(spark.read.schema(log.schema).parquet(table).select(*columns))
+
+
 @query(
     "stream_matches",
-    """select r.candidate_id, r.position_id, greatest(c.created_at, e.created_at) as created_at
-       from v_recommendations r
-       join v_positions p on p.id = r.position_id
-       join v_reactions c on c.recommendation_id = r.id and c.reactor_type = 'candidate'
-            and c.reactor_id = r.candidate_id and c.reaction_type = 'positive'
-       join v_reactions e on e.recommendation_id = r.id and e.reactor_type = 'recruiter'
-            and e.reactor_id = p.recruiter_id and e.reaction_type = 'positive'
-       where abs(epoch(e.created_at) - epoch(c.created_at)) <= 400 * 86400""",
+    """select candidate_id, position_id, greatest(c_at, r_at) as created_at
+       from v_pairs
+       where abs(epoch(r_at) - epoch(c_at)) <= 400 * 86400""",
 )
 def stream_matches_query(fx: Fixture) -> DataFrame:
     table = stored_by_stream(fx)

@@ -85,14 +85,21 @@ VIEWS: dict[str, str] = {
                ts + interval 30 day as expires_at,
                case when event_id % 97 <> 0 then event_id % 10 = 0 end as revoked
         from events where event_type = 'signup'""",
+    # Step by step, so that every join has a whole reaction key on one side.
+    "v_owned": """
+        select r.id, r.candidate_id, r.position_id, p.recruiter_id
+        from v_recommendations r join v_positions p on p.id = r.position_id""",
+    "v_liked": """
+        select o.*, c.created_at as c_at from v_owned o join v_reactions c
+        on c.recommendation_id = o.id and c.reactor_id = o.candidate_id
+        where c.reactor_type = 'candidate' and c.reaction_type = 'positive'""",
+    "v_pairs": """
+        select l.candidate_id, l.position_id, l.c_at, e.created_at as r_at
+        from v_liked l join v_reactions e
+        on e.recommendation_id = l.id and e.reactor_id = l.recruiter_id
+        where e.reactor_type = 'recruiter' and e.reaction_type = 'positive'""",
     "v_matches": """
-        select r.candidate_id, r.position_id, greatest(c.created_at, e.created_at) as created_at
-        from v_recommendations r
-        join v_positions p on p.id = r.position_id
-        join v_reactions c on c.recommendation_id = r.id and c.reactor_type = 'candidate'
-             and c.reactor_id = r.candidate_id and c.reaction_type = 'positive'
-        join v_reactions e on e.recommendation_id = r.id and e.reactor_type = 'recruiter'
-             and e.reactor_id = p.recruiter_id and e.reaction_type = 'positive'""",
+        select candidate_id, position_id, greatest(c_at, r_at) as created_at from v_pairs""",
     "v_sign_ins": """
         select event_id as seq,
                case when user_id % 3 = 0 then 'apple' else 'google' end as provider,
@@ -115,6 +122,7 @@ def with_views(sql: str, extra: dict[str, str] | None = None) -> str:
     visit(sql)
     if not ordered:
         return sql
-    once = {"v_reactions", "v_recommendations"}  # large and often read twice
+    # Large and often read twice, or steps of a join.
+    once = {"v_reactions", "v_recommendations", "v_owned", "v_liked", "v_pairs"}
     parts = [f"{n} as {'materialized ' if n in once else ''}({views[n]})" for n in ordered]
     return "with " + ",\n".join(parts) + "\n" + sql

@@ -6,6 +6,8 @@ import os
 
 from pyspark.sql import SparkSession
 
+from matchspark.streaming.keyed import STATE_SETTINGS
+
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -13,6 +15,7 @@ SETTINGS = {
     # Split a hot key even where the join's partitioning is used again further up.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    **STATE_SETTINGS,
 }
 
 

@@ -2,7 +2,8 @@
 
 The table is a folder with one sub-folder per micro-batch.  A batch that is run
 again after a failure overwrites its own folder, so each reaction is stored once.
-One stream writes a table.
+One stream writes a table.  ``compact`` merges the folders of a stopped
+stream; ``streaming.keyed`` keeps the keys as state instead of reading the table.
 """
 
 from __future__ import annotations
@@ -55,7 +56,31 @@ def _append(new: DataFrame, path: str, number: int) -> None:
 
 
 def _start(stream: DataFrame, checkpoint: str, write) -> DataStreamWriter:
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    def once(batch: DataFrame, number: int) -> None:
+        # The batch is used several times; its source is read once.
+        batch = batch.persist()
+        try:
+            write(batch, number)
+        finally:
+            batch.unpersist()
+
+    return stream.writeStream.foreachBatch(once).option("checkpointLocation", checkpoint)
+
+
+def compact(spark: SparkSession, path: str, target: str) -> None:
+    """The table of a stopped stream in the new folder ``target``: all batches but the last as one.
+
+    The last batch keeps its own folder, as the stream may run it again and overwrite it.  Merged
+    rows are range-partitioned by recommendation, so that a batch's id range reads few files.
+    """
+    table = stored_reactions(spark, path)
+    last = table.agg(F.max(BATCH)).first()[0]
+    columns = REACTION_SCHEMA.fieldNames()
+    earlier = table
+    if last is not None and last >= 0:
+        _append(table.filter(F.col(BATCH) == last).select(*columns), target, last)
+        earlier = table.filter(F.col(BATCH) < last)
+    _append(earlier.select(*columns).repartitionByRange("recommendation_id"), target, -1)
 
 
 def create_table(spark: SparkSession, path: str) -> None:
