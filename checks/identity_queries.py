@@ -12,7 +12,7 @@ from checks.feed_queries import _DUAL_VIEWS, dual_page
 from checks.fixture import NOW, REACTION_ORDER, Fixture, ident, timestamp_ntz
 from checks.query import query
 from matchspark.functions import names, requests, roles
-from matchspark.functions.usernames import ADJECTIVES, NOUNS, assign_user_names, draw_user_name
+from matchspark.functions.usernames import ADJECTIVES, NOUNS, ROUNDS, WIDTH, assign_user_names, user_name_at
 from matchspark.operators import identity
 from matchspark.operators.ingest import REACTION_KEY, first_per_key
 from matchspark.operators.integrity import union_all
@@ -321,47 +321,42 @@ def clean_abouts(fx: Fixture) -> DataFrame:
     return names.clean_abouts(texts, "raw").drop("raw")
 
 
-def _drawn_sql(draw: int) -> str:
-    digest = f"sha256('n|{draw}|' || id)"
-
-    def pick(words: list[str], start: int) -> str:
-        listed = ", ".join(f"'{w}'" for w in words)
-        return f"([{listed}])[cast('0x' || substr({digest}, {start}, 8) as bigint) % 10 + 1]"
-
-    return f"{pick(ADJECTIVES, 1)} || '_' || {pick(NOUNS, 9)} || substr({digest}, 17, 4)"
-
-
-def _draw_views(draws: int) -> dict[str, str]:
-    views = {
-        "v_wait0": "select id from v_users",
-        "v_used0": f"select {_drawn_sql(0)} as user_name from v_users where id like '%5'",
-    }
-    for i in range(draws):
-        views[f"v_drawn{i}"] = f"""
-            select id, user_name, row_number() over (partition by user_name order by id) as rn
-            from (select id, {_drawn_sql(i)} as user_name from v_wait{i})"""
-        views[f"v_won{i}"] = f"""
-            select d.id, d.user_name from v_drawn{i} d
-            where rn = 1 and not exists (
-                select 1 from v_used{i} u where u.user_name = d.user_name)"""
-        views[f"v_wait{i + 1}"] = f"""
-            select w.id from v_wait{i} w
-            where not exists (select 1 from v_won{i} o where o.id = w.id)"""
-        views[f"v_used{i + 1}"] = f"""
-            select user_name from v_used{i} union all select user_name from v_won{i}"""
+def _name_views(positions: str, out: str, seed: str = "n", width: int = WIDTH) -> dict[str, str]:
+    """Views ending in ``out`` (position, user_name) for a view with ``position``: one for each round."""
+    side = 10 * 4**width
+    views = {f"{out}_0": f"select position, position // {side} as a, position % {side} as b from {positions}"}
+    for i in range(ROUNDS):
+        shift = f"cast('0x' || substr(sha256('{seed}|{i}|' || b), 1, 12) as bigint) % {side}"
+        views[f"{out}_{i + 1}"] = f"select position, b as a, (a + {shift}) % {side} as b from {out}_{i}"
+    words = lambda ws: "[" + ", ".join(f"'{w}'" for w in ws) + "]"
+    pair = f"(number // {16**width})"
+    views[out] = f"""
+        select position, {words(ADJECTIVES)}[{pair} // 10 % 10 + 1] || '_' || {words(NOUNS)}[{pair} % 10 + 1]
+               || printf('%0{width}x', number % {16**width}) as user_name
+        from (select position, a * {side} + b as number from {out}_{ROUNDS})"""
     return views
 
 
 @query(
     "assign_usernames",
-    " union all ".join(f"select id, user_name from v_won{i}" for i in range(4)),
-    _draw_views(4),
+    """select i.id, m.user_name
+       from (select id, row_number() over (order by id) as rank from v_users) i
+       join (select position, row_number() over (order by position) as rank from v_free) f using (rank)
+       join v_name m using (position)""",
+    {
+        "v_taken_position": "select distinct 3 * cast(substr(id, 5) as bigint) as position from v_users where id like '%5'",
+        "v_free": """
+            select unnest(range(0, (select count(*) from v_users) + (select count(*) from v_taken_position))) as position
+            except select position from v_taken_position""",
+        **_name_views("v_free", "v_name"),
+    },
 )
 def assign_usernames(fx: Fixture) -> DataFrame:
-    """A tenth of the first draws is taken already, so that rows draw again."""
+    """A tenth of the users' number of names is taken already, some within the positions that come next."""
     ids = fx.users.select("id")
-    taken = ids.filter("id like '%5'").select(draw_user_name("id", "n").alias("user_name"))
-    return assign_user_names(ids, "id", taken, seed="n", draws=4)
+    places = ids.filter("id like '%5'").select((3 * F.substring("id", 5, 20).cast("bigint")).alias("position"))
+    taken = places.select(user_name_at(F.col("position"), "n").alias("user_name"))
+    return assign_user_names(ids, "id", taken, seed="n")
 
 
 _SWITCH_VIEWS = {

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from matchspark.functions.ids import derived_id
-from matchspark.functions.usernames import assign_user_names, draw_user_name
+from matchspark.functions.usernames import assign_user_names, user_name_at
 from matchspark.operators import feeds, ingest, paging
 from matchspark.plans import materialize
 
@@ -45,7 +45,7 @@ def test_ids_tell_bars_and_nulls_apart(spark):
 
 def test_a_name_listed_twice_as_taken(spark):
     df = spark.createDataFrame([("k1",), ("k2",)], "id string")
-    drawn = df.select(draw_user_name("id", "", 0).alias("user_name"))
+    drawn = spark.range(2).select(user_name_at(F.col("id")).alias("user_name"))
     got = assign_user_names(df, "id", drawn.unionAll(drawn)).collect()
     assert sorted(r.id for r in got) == ["k1", "k2"]
 

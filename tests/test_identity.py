@@ -52,20 +52,38 @@ def test_session_edges(spark):
     assert got == {"a": "active", "b": "invalid", "c": "revoked", "d": "error", "x": "invalid"}
 
 
-def test_user_names_are_unique_when_names_run_out(spark, monkeypatch):
-    draw = usernames.draw_user_name
+def test_positions_and_names_are_one_to_one(spark):
+    """All numbers of a small width, and some of the usual one, there and back."""
+    every = usernames.names_of_width(1)
+    small = spark.range(every).select("id", usernames.number_at(F.col("id"), "s", 1).alias("n"))
+    assert small.agg(F.count_distinct("n"), F.min("n"), F.max("n")).first() == (every, 0, every - 1)
+    assert small.filter(F.col("id") != usernames.position_of(F.col("n"), "s", 1)).count() == 0
+    some = spark.range(0, usernames.names_of_width(4), 9973).select("id", usernames.user_name_at(F.col("id"), "s").alias("name"))
+    assert some.filter(F.col("id") != usernames.position_of(usernames.number_of(F.col("name")), "s")).count() == 0
 
-    def few(key, seed, number=0):
-        """Only sixteen names."""
-        return F.concat(F.lit("fast_lion"), F.substring(F.sha2(draw(key, seed, number), 256), 1, 1))
 
-    monkeypatch.setattr(usernames, "draw_user_name", few)
-    ids = spark.range(60).select(F.format_string("usr_%04d", "id").alias("id"))
-    taken = spark.createDataFrame([("fast_lion0",), ("fast_lion1",), (None,)], "user_name string")
-    named = usernames.assign_user_names(ids, "id", taken, "s", 3).collect()
-    assert len(named) == 60 and len({r.user_name for r in named}) == 60
-    assert not {"fast_lion0", "fast_lion1"} & {r.user_name for r in named}
-    assert sum(len(r.user_name) == 10 for r in named) > 8
+def test_user_names_are_unique_when_a_width_runs_out(spark):
+    ids = spark.range(1700).select(F.format_string("usr_%04d", "id").alias("id"))
+    named = usernames.assign_user_names(ids, "id", seed="s", width=1).collect()
+    assert len(named) == len({r.user_name for r in named}) == 1700
+    assert {len(r.user_name.split("_")[1].lstrip("abcdefghijklmnopqrstuvwxyz")) <= 2 for r in named} == {True}
+
+
+def test_taken_names_are_passed_over(spark):
+    ids = spark.range(700).select(F.format_string("usr_%04d", "id").alias("id"))
+    taken = spark.range(0, 1600, 2).select(usernames.user_name_at(F.col("id"), "s", 1).alias("user_name"))
+    other = spark.createDataFrame([("fast_lion",), (None,), ("Fast_lion00",), ("someone else",)], "user_name string")
+    named = {r.id: r.user_name for r in usernames.assign_user_names(ids, "id", taken.unionAll(taken).unionAll(other), "s", width=1).collect()}
+    free = [r[0] for r in spark.range(1, 1600, 2).orderBy("id").select(usernames.user_name_at(F.col("id"), "s", 1)).collect()]
+    assert [named[k] for k in sorted(named)] == free[:700]
+    later = usernames.assign_user_names(ids.limit(50), "id", taken, "s", start=1400, width=1).collect()
+    assert {r.user_name for r in later} == set(free[700:750])
+
+
+def test_names_of_keys_that_differ_in_case_or_are_null(spark):
+    ids = spark.createDataFrame([("a",), ("A",), (None,), ("",)], "id string")
+    assert len({r.user_name for r in usernames.assign_user_names(ids, "id").collect()}) == 4
+    assert usernames.assign_user_names(ids.limit(0), "id").collect() == []
 
 
 def test_user_name_shape(spark):
@@ -79,7 +97,7 @@ def test_user_name_shape(spark):
 def test_sign_ins_become_users(spark, sf_dir):
     """Unknown identities get one row each with an id and a free name."""
     fx = Fixture(spark, sf_dir)
-    name = usernames.draw_user_name("id", "")
+    name = usernames.user_name_at(F.xxhash64("id").bitwiseAND(0xFFFF))
     now = F.lit("2024-01-01").cast("timestamp_ntz")
     users = fx.users.withColumn("user_name", name).dropDuplicates(["user_name"]).withColumn("updated_at", now)
     outcomes = identity.signin_outcome(fx.sign_ins, users, fx.candidates, fx.recruiters)
