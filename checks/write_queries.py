@@ -16,10 +16,10 @@ from checks.fixture import (
 from checks.query import query
 from checks.views_sql import k
 from matchspark.functions.ids import assign_ids
-from matchspark.operators import adjudicate, ingest, integrity
+from matchspark.operators import adjudicate, ingest, integrity, matching
 from matchspark.operators.matching import derive_matches
 from matchspark.operators.vectors import enqueue_embeddings
-from matchspark.plans.materialize import new_folder
+from matchspark.plans.materialize import materialize, new_folder
 from matchspark.sources import requests
 from matchspark.sources.tables import load_tables
 
@@ -722,6 +722,21 @@ def matches(fx: Fixture) -> DataFrame:
     return derive_matches(fx.reactions, fx.recommendations, fx.positions)
 
 
+@query("match_changes", "select * from v_matches")
+def match_changes(fx: Fixture) -> DataFrame:
+    """The matches that the reactions of each of three spans of years add, all spans together."""
+    reactions = materialize(fx.reactions, "reactions")
+    table, year = new_folder(fx.spark, "reactions"), F.year("created_at")
+    matching.write_by_recommendation(reactions.limit(0), table, 16)
+    found = []
+    for first, last in [(0, 1994), (1995, 1996), (1997, 9999)]:
+        changed = reactions.filter(year.between(first, last))
+        stored = matching.stored_for(changed, table, 16)
+        found.append(materialize(matching.match_changes(changed, stored, fx.recommendations, fx.positions), "matches"))
+        matching.write_by_recommendation(changed, table, 16)
+    return integrity.union_all(found)
+
+
 @query(
     "reaction_ingest",
     """
