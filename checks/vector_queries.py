@@ -112,6 +112,22 @@ def inner_product_topk_approx(fx: Fixture) -> DataFrame:
     )
 
 
+@query(
+    "unusable_vectors",
+    """
+    select object_id, object_type, case when embedding is null then 'no_vector' else 'wrong_length' end as reason
+    from (select object_id, object_type, status,
+                 case when vec_id % 4 = 0 then null when vec_id % 4 = 1 then embedding[1:63] else embedding end as embedding
+          from (select *, cast(substr(object_id, 5) as bigint) as vec_id from v_embeddings))
+    where status = 'done' and (embedding is null or len(embedding) <> 64)""",
+)
+def unusable_vectors(fx: Fixture) -> DataFrame:
+    """A quarter of the vectors gone and a quarter cut short."""
+    place = F.substring("object_id", 5, 20).cast("bigint") % 4
+    cut = F.when(place == 1, F.slice("embedding", 1, 63)).when(place != 0, F.col("embedding"))
+    return vectors.unusable_vectors(fx.embeddings.withColumn("embedding", cut), DIMENSION)
+
+
 def held_against_exact(fx: Fixture, near: DataFrame) -> DataFrame:
     """Per candidate: its exact top ten, how many of them ``near`` has, and whether its scores are the same."""
     exact = vectors.inner_product_topk(fx.embeddings, 10, dimension=DIMENSION)

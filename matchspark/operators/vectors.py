@@ -104,7 +104,7 @@ def embed_pending(
 
 
 def done_vectors(embeddings: DataFrame, object_type: str, row_id: str, dimension: int) -> DataFrame:
-    """(row_id, vector) of the finished rows of one type; wrong lengths are left out."""
+    """(row_id, vector) of the finished rows of one type; ``unusable_vectors`` has those left out."""
     return embeddings.filter(
         (F.col("status") == "done")
         & (F.col("object_type") == object_type)
@@ -112,6 +112,12 @@ def done_vectors(embeddings: DataFrame, object_type: str, row_id: str, dimension
     ).select(F.col("object_id").alias(row_id), F.col("embedding").alias("vector"))
 
 
+def unusable_vectors(embeddings: DataFrame, dimension: int) -> DataFrame:
+    """(object_id, object_type, reason): finished rows that the searches leave out, for want of a vector or by its length."""
+    reason = F.when(F.col("embedding").isNull(), "no_vector").when(F.size("embedding") != dimension, "wrong_length")
+    return embeddings.filter(F.col("status") == "done").select(*OBJECT_KEY, reason.alias("reason")).filter("reason is not null")
+
+
 def inner_product_topk(
     embeddings: DataFrame,
     k: int,
