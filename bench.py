@@ -40,6 +40,7 @@ HEADLINE = [
     "inner_product_topk",
     "recommend",
     "inner_product_topk_approx",
+    "inner_product_topk_cells",
     "embed_pending",
     "signin_outcome",
     "clean_names",
