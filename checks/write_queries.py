@@ -16,7 +16,7 @@ from checks.fixture import (
 from checks.query import query
 from checks.views_sql import k
 from matchspark.functions.ids import assign_ids
-from matchspark.operators import adjudicate, ingest, integrity, matching
+from matchspark.operators import adjudicate, ingest, integrity, matching, sketches
 from matchspark.operators.matching import derive_matches
 from matchspark.operators.vectors import enqueue_embeddings
 from matchspark.plans.materialize import materialize, new_folder
@@ -55,9 +55,7 @@ def load_tables_query(fx: Fixture) -> DataFrame:
 _SPLIT_DATE = "1997-06-01"
 
 
-@query(
-    "ingest_reactions",
-    f"""
+_REACTION_OUTCOMES = f"""
     select b.recommendation_id, b.reactor_type, b.reactor_id, b.reaction_type, b.created_at,
            b.seq,
            case when b.rn = 1 and t.recommendation_id is null then 'accepted'
@@ -70,8 +68,10 @@ _SPLIT_DATE = "1997-06-01"
     left join (select distinct recommendation_id, reactor_type, reactor_id from v_reaction_log
                where created_at < timestamp '{_SPLIT_DATE}') t
       on t.recommendation_id = b.recommendation_id and t.reactor_type = b.reactor_type
-     and t.reactor_id = b.reactor_id""",
-)
+     and t.reactor_id = b.reactor_id"""
+
+
+@query("ingest_reactions", _REACTION_OUTCOMES)
 def ingest_reactions(fx: Fixture) -> DataFrame:
     log = fx.reaction_log
     cut = timestamp_ntz(_SPLIT_DATE)
@@ -84,6 +84,26 @@ def ingest_reactions(fx: Fixture) -> DataFrame:
     ).select(*ingest.REACTION_KEY, "reaction_type", "created_at", "seq", "outcome")
 
 
+@query("ingest_reactions_pruned", _REACTION_OUTCOMES)
+def ingest_reactions_pruned(fx: Fixture) -> DataFrame:
+    """The stored reactions as one run for each year, of which the batch opens what may hold its keys."""
+    log = fx.reaction_log
+    cut = timestamp_ntz(_SPLIT_DATE)
+    columns = [*ingest.REACTION_KEY, "reaction_type", "created_at"]
+    earlier = log.filter(F.col("created_at") < cut)
+    first = ingest.first_per_key(earlier, ingest.REACTION_KEY, REACTION_ORDER).select(*columns)
+    first = materialize(first, "stored")
+    path = new_folder(fx.spark, "reactions")
+    year = F.greatest(F.least(F.year("created_at"), F.lit(1997)), F.lit(1995))
+    for run in (1995, 1996, 1997):
+        sketches.append(first.filter(year == run), ingest.REACTION_KEY, path, f"y{run}", parts=8)
+    batch = materialize(log.filter(F.col("created_at") >= cut), "batch")
+    out = sketches.insert_pruned(
+        batch, path, ingest.REACTION_KEY, REACTION_ORDER, first.schema, ["seq", "reactor_type"], parts=8
+    )
+    return out.select(*columns, "seq", "outcome")
+
+
 @query(
     "ingest_recommendations",
     """
