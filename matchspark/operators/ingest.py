@@ -136,8 +136,10 @@ def ingest_users(users: DataFrame, batch: DataFrame, seq: str = "seq") -> DataFr
     key is reported where both hold).  A row refused for one key must not block
     others on its second key, so rows are decided in rounds: what shares a key with
     a stored row is refused, a row that is the first open one under both its keys is
-    accepted, the rest stays open.  Every round decides at least the first open row
-    of each conflict chain; without chains one round does.
+    accepted.  A row with one earlier open row under its keys is accepted exactly if that one
+    is not, so chains of such rows are decided at once (``_forced``): a chain of n rows takes
+    one round of about log2 n steps.  Only rows that wait for two others need another
+    round.  Without conflicts one round does.
     """
     columns = [seq, *PROVIDER_KEY, "user_name"]
     stored = users.select(F.lit(None).cast(batch.schema[seq].dataType).alias(seq), *columns[1:])
@@ -195,21 +197,62 @@ def _decide(open_rows: DataFrame, taken: DataFrame, seq: str) -> DataFrame:
         names, "user_name", "left_anti"
     )
     left = materialize(free.select(*open_rows.columns), "users")
-    # First rows are found by counting on the map side, and joined by seq.
-    by_provider = left.groupBy(*PROVIDER_KEY).agg(F.min(seq).alias(seq)).select(seq)
-    by_name = (
-        left.filter(F.col("user_name").isNotNull())
-        .groupBy("user_name")
-        .agg(F.min(seq).alias(seq))
-        .select(seq)
+    by_provider = _first_two(left, PROVIDER_KEY, seq)
+    named = _first_two(left.filter(F.col("user_name").isNotNull()), ["user_name"], seq)
+    nameless = left.filter(F.col("user_name").isNull()).select(seq, F.lit(None).cast(left.schema[seq].dataType).alias("up"))
+    by_name = named.unionByName(nameless).withColumnRenamed("up", "_name_up")
+    # All others wait for several rows.
+    front = materialize(by_provider.join(by_name, seq), "users")
+    alone = front.filter("up is null and _name_up is null").select(seq)
+    single = front.filter("(up is null) <> (_name_up is null) or up = _name_up").select(
+        seq, F.coalesce("up", "_name_up").alias("up")
     )
-    nameless = left.filter(F.col("user_name").isNull()).select(seq)
-    winners = by_provider.join(by_name.unionByName(nameless), seq, "left_semi")
+    winners = alone if single.isEmpty() else alone.unionByName(_forced(alone, single, seq))
     return left.join(winners.withColumn("won", F.lit(True)), seq, "left").withColumn(
         "won", F.coalesce("won", F.lit(False))
     )
 
 
+def _first_two(rows: DataFrame, key: list[str], seq: str) -> DataFrame:
+    """(seq, up): the first row of each key, with ``up`` NULL, and the second, which waits for it.
+
+    A map task passes on two rows of a key at most, however hot it is.
+    """
+    place = Window.partitionBy(*key).orderBy(seq)
+    two = rows.select(seq, *key).withColumn("_rn", F.row_number().over(place)).filter("_rn <= 2")
+    ends = two.groupBy(*key).agg(F.array_sort(F.collect_list(seq)).alias("_two"))
+    return ends.select(F.posexplode("_two").alias("_i", seq), F.col("_two")[0].alias("_first")).select(
+        seq, F.when(F.col("_i") == 1, F.col("_first")).alias("up")
+    )
+
+
+def _forced(first: DataFrame, single: DataFrame, seq: str) -> DataFrame:
+    """The rows of ``single`` (seq, up) that are accepted because ``first`` are; each is accepted if ``up`` is not.
+
+    Pointers are doubled: a row that points to another such row takes over that one's pointer
+    and the parity of the way, until it points to a row outside ``single``.  Ways that end
+    elsewhere than in ``first`` stay undecided.
+    """
+    moving, ended = single.withColumn("odd", F.lit(True)), []
+    while True:
+        # A way onto a row whose own way has ended ends with it.
+        known = reduce(DataFrame.unionByName, [moving, *ended])
+        ups = known.select(F.col(seq).alias("up"), F.col("up").alias("_up"), F.col("odd").alias("_odd"))
+        step = moving.join(ups, "up", "left").select(
+            seq,
+            F.coalesce("_up", "up").alias("up"),
+            F.when(F.col("_up").isNull(), F.col("odd")).otherwise(F.col("odd") != F.col("_odd")).alias("odd"),
+            F.col("_up").isNull().alias("_ended"),
+        )
+        step = materialize(step, "users")
+        ended.append(step.filter("_ended").drop("_ended"))
+        moving = step.filter("not _ended").drop("_ended")
+        if moving.isEmpty():
+            break
+    ways = reduce(DataFrame.unionByName, ended).filter("not odd")
+    return ways.join(first.select(F.col(seq).alias("up")), "up", "left_semi").select(seq)
+
+
 def apply_updates(
     target: DataFrame,
     changes: DataFrame,

@@ -24,7 +24,7 @@ def greedy(stored, batch):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
+@pytest.mark.parametrize("seed", [1, 2, 3, 4])
 def test_users_as_if_row_by_row(spark, seed):
     draw = random.Random(seed)
 
@@ -45,6 +45,24 @@ def test_users_as_if_row_by_row(spark, seed):
     assert got == greedy(stored, batch)
 
 
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    """Row i shares its name with the row before or its provider key with the row after."""
+    n, rng = 10_000, random.Random(4)
+    columns = "seq long, provider string, provider_user_id string, user_name string"
+    chain = [(i, "google", f"p{i // 2}", f"n{(i + 1) // 2}") for i in range(n)]
+    # A hot key, a row that waits for two rows, and a branch off the chain.
+    chain += [(n + i, "google", "p5", f"x{rng.randrange(40)}") for i in range(300)]
+    chain += [(2 * n, "apple", "a", "n3000"), (2 * n + 1, "apple", "a", "n17"), (2 * n + 2, "apple", "a", None)]
+    writes = []
+    monkeypatch.setattr(ingest, "materialize", lambda df, name, real=ingest.materialize: writes.append(name) or real(df, name))
+    rounds = []
+    monkeypatch.setattr(ingest, "_decide", lambda *a, real=ingest._decide: rounds.append(1) or real(*a))
+    users = spark.createDataFrame([], columns).drop("seq")
+    got = {r.seq: r.outcome for r in ingest.ingest_users(users, spark.createDataFrame(chain, columns)).collect()}
+    assert got == greedy([], chain)
+    assert len(rounds) <= 4 and len(writes) <= 40
+
+
 def test_row_refused_for_its_name_does_not_block_its_provider_key(spark):
     users = spark.createDataFrame(
         [("google", "p0", "taken")], "provider string, provider_user_id string, user_name string"
