@@ -127,6 +127,8 @@ def ingest_refresh_tokens(sessions: DataFrame, at: str, seed: str = "") -> DataF
 
 
 PROVIDER_KEY = ["provider", "provider_user_id"]
+#: Rounds that accept first rows only; few chains are left then, and they are decided whole.
+PLAIN_ROUNDS = 3
 
 
 def ingest_users(users: DataFrame, batch: DataFrame, seq: str = "seq") -> DataFrame:
@@ -137,16 +139,16 @@ def ingest_users(users: DataFrame, batch: DataFrame, seq: str = "seq") -> DataFr
     others on its second key, so rows are decided in rounds: what shares a key with
     a stored row is refused, a row that is the first open one under both its keys is
     accepted.  A row with one earlier open row under its keys is accepted exactly if that one
-    is not, so chains of such rows are decided at once (``_forced``): a chain of n rows takes
-    one round of about log2 n steps.  Only rows that wait for two others need another
-    round.  Without conflicts one round does.
+    is not, so what is left after ``PLAIN_ROUNDS`` rounds is decided by whole chains of such
+    rows (``_forced``): a chain of n rows takes one round of about log2 n steps.  Only rows
+    that wait for two others need another round.  Without conflicts one round does.
     """
     columns = [seq, *PROVIDER_KEY, "user_name"]
     stored = users.select(F.lit(None).cast(batch.schema[seq].dataType).alias(seq), *columns[1:])
     open_rows, taken = batch.select(*columns), stored
     holders = [stored]
     while True:
-        state = materialize(_decide(open_rows, taken, seq), "users")
+        state = materialize(_decide(open_rows, taken, seq, len(holders) > PLAIN_ROUNDS), "users")
         taken = state.filter("won").select(*columns)
         holders.append(taken)
         open_rows = state.filter("not won").select(*columns)
@@ -190,24 +192,33 @@ def ingest_users_bulk(users: DataFrame, batch: DataFrame, seq: str = "seq") -> D
     )
 
 
-def _decide(open_rows: DataFrame, taken: DataFrame, seq: str) -> DataFrame:
-    """The rows that conflict with no ``taken`` row, with ``won`` where accepted now."""
+def _decide(open_rows: DataFrame, taken: DataFrame, seq: str, chains: bool) -> DataFrame:
+    """The rows that conflict with no ``taken`` row, with ``won`` where accepted now.
+
+    Without ``chains`` only rows that wait for no other are accepted.
+    """
     names = taken.filter(F.col("user_name").isNotNull()).select("user_name")
     free = open_rows.join(taken.select(*PROVIDER_KEY), PROVIDER_KEY, "left_anti").join(
         names, "user_name", "left_anti"
     )
     left = materialize(free.select(*open_rows.columns), "users")
-    by_provider = _first_two(left, PROVIDER_KEY, seq)
-    named = _first_two(left.filter(F.col("user_name").isNotNull()), ["user_name"], seq)
-    nameless = left.filter(F.col("user_name").isNull()).select(seq, F.lit(None).cast(left.schema[seq].dataType).alias("up"))
-    by_name = named.unionByName(nameless).withColumnRenamed("up", "_name_up")
-    # All others wait for several rows.
-    front = materialize(by_provider.join(by_name, seq), "users")
-    alone = front.filter("up is null and _name_up is null").select(seq)
-    single = front.filter("(up is null) <> (_name_up is null) or up = _name_up").select(
-        seq, F.coalesce("up", "_name_up").alias("up")
-    )
-    winners = alone if single.isEmpty() else alone.unionByName(_forced(alone, single, seq))
+    named = left.filter(F.col("user_name").isNotNull())
+    nameless = left.filter(F.col("user_name").isNull()).select(seq)
+    if chains and not left.isEmpty():
+        by_name = _first_two(named, ["user_name"], seq).withColumnRenamed("up", "_name_up")
+        by_name = by_name.unionByName(nameless, allowMissingColumns=True)
+        # All others wait for several rows.
+        front = materialize(_first_two(left, PROVIDER_KEY, seq).join(by_name, seq), "users")
+        alone = front.filter("up is null and _name_up is null").select(seq)
+        single = front.filter("(up is null) <> (_name_up is null) or up = _name_up").select(
+            seq, F.coalesce("up", "_name_up").alias("up")
+        )
+        winners = alone.unionByName(_forced(alone, single, seq))
+    else:
+        # First rows are found by counting on the map side, and joined by seq.
+        by_provider = left.groupBy(*PROVIDER_KEY).agg(F.min(seq).alias(seq)).select(seq)
+        by_name = named.groupBy("user_name").agg(F.min(seq).alias(seq)).select(seq)
+        winners = by_provider.join(by_name.unionByName(nameless), seq, "left_semi")
     return left.join(winners.withColumn("won", F.lit(True)), seq, "left").withColumn(
         "won", F.coalesce("won", F.lit(False))
     )
