@@ -444,34 +444,40 @@ def validate_reaction(fx: Fixture) -> DataFrame:
 # are recruiters, the second one repeats all parts.
 _SEED_VIEWS = {
     "v_seed_parts": """
-        select p_name, p_type, case when p_size % 5 <> 0 then p_brand end as company,
-               p_partkey % (select count(*) from supplier) as o
-        from part""",
-    "v_seed_counts": """
-        select (select count(*) from customer) as users,
-               (select count(*) from customer where c_custkey % 2 = 0 and c_custkey % 7 <> 0)
-                   as candidates,
-               (select count(*) from supplier
-                where (s_suppkey % 4 = 0 or s_suppkey % 2 = 1) and s_suppkey % 7 <> 0)
-                   as recruiters,
-               (select count(distinct (p_name, p_type, company)) from v_seed_parts
-                where (o % 4 = 0 or o % 2 = 1) and o % 7 <> 0 and company is not null)
-               + (select count(*) from v_seed_parts
-                  where o % 4 = 0 and o % 7 <> 0 and company is null)
-               + (select count(*) from v_seed_parts
-                  where (o % 4 = 0 or o % 2 = 1) and o % 7 <> 0 and company is null)
-                   as positions""",
+        select p_partkey, p_name as title, p_type as description,
+               case when p_size % 5 <> 0 then p_brand end as company, o, o % 4 = 0 as early,
+               'u' || o || '@example.com' as email
+        from (select *, p_partkey % (select count(*) from supplier) as o from part)
+        where (o % 4 = 0 or o % 2 = 1) and o % 7 <> 0""",
+    # A key goes to the first row of the first step that has it; no key, no conflict.
+    "v_seed_positions": """
+        select email, title, description, company
+        from (select *, row_number() over (partition by title, description, company
+                                           order by early desc, p_partkey) as rn
+              from v_seed_parts where company is not null) where rn = 1
+        union all select email, title, description, company from v_seed_parts
+        where company is null and early
+        union all select email, title, description, company from v_seed_parts
+        where company is null""",
+    "v_seed_candidates": """
+        select 'u' || c_custkey || '@example.com' as email, c_mktsegment as about from customer
+        where c_custkey % 2 = 0 and c_custkey % 7 <> 0""",
 }
 
 
 @query(
     "seed_insert_select",
     """
-    select 'users' as table_name, users as n_rows from v_seed_counts
-    union all select 'candidates', candidates from v_seed_counts
-    union all select 'recruiters', recruiters from v_seed_counts
-    union all select 'positions', positions from v_seed_counts
-    union all select 'embeddings', candidates + positions from v_seed_counts""",
+    select 'users' as table_name,
+           case when c_custkey % 7 <> 0 then 'u' || c_custkey || '@example.com' end as email,
+           'p-' || c_custkey as first_text, c_name as second_text, c_name as third_text
+    from customer
+    union all select 'candidates', email, about, null, null from v_seed_candidates
+    union all select 'recruiters', 'u' || s_suppkey || '@example.com', null, null, null
+    from supplier where (s_suppkey % 4 = 0 or s_suppkey % 2 = 1) and s_suppkey % 7 <> 0
+    union all select 'positions', email, title, description, company from v_seed_positions
+    union all select 'embeddings', email, 'candidate', 'pending', about from v_seed_candidates
+    union all select 'embeddings', email, 'position', 'pending', title from v_seed_positions""",
     _SEED_VIEWS,
 )
 def seed_insert_select(fx: Fixture) -> DataFrame:
@@ -505,19 +511,38 @@ def seed_insert_select(fx: Fixture) -> DataFrame:
         SeedStep("users", users.filter(key % 2 == 0).drop("c_custkey")),
         SeedStep("candidates", people),
         SeedStep("recruiters", owners.filter("s_suppkey % 4 = 0").select("email")),
-        SeedStep("positions", jobs),
+        SeedStep("positions", jobs, ["row"]),
         SeedStep("users", users.drop("c_custkey")),
         SeedStep("recruiters", owners.filter("s_suppkey % 2 = 1").select("email")),
-        SeedStep("positions", jobs),
+        SeedStep("positions", jobs, ["row"]),
     ]
     empty = _empty_tables(fx)
     loaded = load_seed(empty, steps, timestamp_ntz("2024-01-01"))
+    emails = loaded["users"].select(F.col("id").alias("user_id"), "email")
+    people = loaded["candidates"].join(emails, "user_id")
+    owners = loaded["recruiters"].join(emails, "user_id")
+    owned = loaded["positions"].join(
+        owners.select(F.col("id").alias("recruiter_id"), "email"), "recruiter_id"
+    )
+    queued = people.select("id", "email", F.col("about").alias("label")).unionByName(
+        owned.select("id", "email", F.col("title").alias("label"))
+    )
+    queued = loaded["embeddings"].join(queued.withColumnRenamed("id", "object_id"), "object_id")
+
+    def rows(name: str, df: DataFrame, *texts: str) -> DataFrame:
+        places = ["first_text", "second_text", "third_text"]
+        filled = [F.col(c) for c in texts] + [F.lit(None).cast("string")] * (3 - len(texts))
+        return df.select(
+            F.lit(name).alias("table_name"), "email", *[c.alias(n) for c, n in zip(filled, places)]
+        )
+
     return union_all(
         [
-            loaded[t].agg(F.count("*").alias("n_rows")).select(
-                F.lit(t).alias("table_name"), "n_rows"
-            )
-            for t in ["users", "candidates", "recruiters", "positions", "embeddings"]
+            rows("users", loaded["users"], "provider_user_id", "full_name", "user_name"),
+            rows("candidates", people, "about"),
+            rows("recruiters", owners),
+            rows("positions", owned, "title", "description", "company"),
+            rows("embeddings", queued, "object_type", "status", "label"),
         ]
     )
 

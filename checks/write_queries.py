@@ -419,8 +419,6 @@ def apply_updates(fx: Fixture) -> DataFrame:
 
 _GONE = {
     "v_x_users": "select id from v_users where full_name like '%3'",
-    "v_x_refresh_tokens": "select jti as id from v_refresh_tokens "
-    "where user_id in (select id from v_x_users)",
     "v_x_candidates": "select id from v_candidates where user_id in (select id from v_x_users)",
     "v_x_recruiters": "select id from v_recruiters where user_id in (select id from v_x_users)",
     "v_x_positions": "select id from v_positions "
@@ -428,29 +426,31 @@ _GONE = {
     "v_x_recommendations": "select id from v_recommendations "
     "where position_id in (select id from v_x_positions) "
     "or candidate_id in (select id from v_x_candidates)",
-    "v_x_matches": "select candidate_id as id from v_matches "
-    "where position_id in (select id from v_x_positions) "
-    "or candidate_id in (select id from v_x_candidates)",
-    "v_x_reactions": "select recommendation_id as id from v_reactions "
-    "where recommendation_id in (select id from v_x_recommendations)",
+}
+_BY_ID = "id in (select id from v_x_{0})"
+_BY_PAIR = "position_id in (select id from v_x_positions) or candidate_id in (select id from v_x_candidates)"
+#: Key columns of each table, and what makes a row go.
+_DELETED_ROWS = {
+    "users": (["id"], _BY_ID),
+    "refresh_tokens": (["jti"], "user_id in (select id from v_x_users)"),
+    "candidates": (["id"], _BY_ID),
+    "recruiters": (["id"], _BY_ID),
+    "positions": (["id"], _BY_ID),
+    "recommendations": (["id"], _BY_ID),
+    "matches": (["candidate_id", "position_id"], _BY_PAIR),
+    "reactions": (
+        ingest.REACTION_KEY,
+        "recommendation_id in (select id from v_x_recommendations)",
+    ),
 }
 
 
 @query(
     "cascade_delete",
     " union all ".join(
-        f"select '{t}' as table_name, (select count(*) from v_{t}) - count(*) as kept, "
-        f"count(*) as removed from v_x_{t}"
-        for t in [
-            "users",
-            "refresh_tokens",
-            "candidates",
-            "recruiters",
-            "positions",
-            "recommendations",
-            "matches",
-            "reactions",
-        ]
+        f"select '{t}' as table_name, concat_ws('|', {', '.join(key)}) as row_key, "
+        f"coalesce({gone.format(t)}, false) as removed from v_{t}"
+        for t, (key, gone) in _DELETED_ROWS.items()
     ),
     _GONE,
 )
@@ -459,10 +459,11 @@ def cascade_delete(fx: Fixture) -> DataFrame:
     flagged = integrity.cascade_delete(fx.tables(), {"users": gone})
     return integrity.union_all(
         [
-            df.agg(
-                F.count_if(~F.col("removed")).alias("kept"),
-                F.count_if("removed").alias("removed"),
-            ).select(F.lit(name).alias("table_name"), "kept", "removed")
+            df.select(
+                F.lit(name).alias("table_name"),
+                F.concat_ws("|", *_DELETED_ROWS[name][0]).alias("row_key"),
+                "removed",
+            )
             for name, df in flagged.items()
         ]
     )
