@@ -16,7 +16,7 @@ from checks.fixture import (
 from checks.query import query
 from checks.views_sql import k
 from matchspark.functions.ids import assign_ids
-from matchspark.operators import adjudicate, ingest, integrity, matching, sketches
+from matchspark.operators import adjudicate, ingest, integrity, matching, sketches, snapshots
 from matchspark.operators.matching import derive_matches
 from matchspark.operators.vectors import enqueue_embeddings
 from matchspark.plans.materialize import materialize, new_folder
@@ -415,6 +415,37 @@ def apply_updates(fx: Fixture) -> DataFrame:
     )
 
 
+@query(
+    "change_folders",
+    f"""
+    select 'usr_' || {k('c_custkey')} as id,
+           case when c_custkey >= n * 0.9 and c_custkey % 4 <> 0 then 'renamed ' || c_custkey
+                else c_name end as full_name,
+           case when c_custkey >= n * 0.9 then timestamp '2024-02-10'
+                else timestamp '2024-01-01' end as updated_at
+    from customer, (select max(c_custkey) as n from customer)
+    where not (c_custkey < n * 0.1 and c_acctbal < 0)""",
+)
+def change_folders(fx: Fixture) -> DataFrame:
+    """Users in folders by key: the last tenth renamed, some of the first tenth deleted."""
+    customer = fx.raw("customer")
+    last = customer.agg(F.max("c_custkey")).first()[0]
+    user, number = ident("usr", "c_custkey").alias("id"), F.col("c_custkey")
+    rows = customer.select(
+        user, F.col("c_name").alias("full_name"), timestamp_ntz("2024-01-01").alias("updated_at")
+    )
+    path = new_folder(fx.spark, "users")
+    snapshots.create(rows, ["id"], path, 8)
+    renamed = F.when(number % 4 != 0, F.concat(F.lit("renamed "), number.cast("string")))
+    changes = customer.filter(number >= last * 0.9).select(user, renamed.alias("full_name"))
+    snapshots.update(
+        fx.spark, path, ["id"], rows.schema, changes, ["full_name"], timestamp_ntz("2024-02-10")
+    )
+    gone = customer.filter((number < last * 0.1) & (F.col("c_acctbal") < 0)).select(user)
+    snapshots.delete(fx.spark, path, ["id"], rows.schema, gone)
+    return snapshots.snapshot(fx.spark, path, rows.schema)
+
+
 # -- deletion and audits -----------------------------------------------------------
 
 _GONE = {
