@@ -9,7 +9,8 @@ from checks.fixture import Fixture, ident, padded
 from checks.query import query
 from checks.views_sql import k
 from matchspark.functions import requests as req
-from matchspark.operators import feeds, lookups, paging
+from matchspark.operators import feeds, lookups, page_index, paging
+from matchspark.plans.materialize import new_folder
 
 # Ids asked for: of every customer / part / order line, so that some are unknown.
 _CANDIDATE_IDS = f"select 'can_' || {k('c_custkey')} as id from customer"
@@ -400,6 +401,26 @@ def paginate_all(fx: Fixture) -> DataFrame:
     return paging.paginate_all(rows, "candidate_id", "recommendation_id")
 
 
+@query(
+    "page_index",
+    """select candidate_id, recommendation_id, position_id, page,
+              coalesce(max(case when rn % 50 = 0 then recommendation_id end) over (
+                  partition by candidate_id order by page
+                  range between 1 preceding and 1 preceding), '') as cursor
+       from (select candidate_id, id as recommendation_id, position_id, rn, (rn + 49) // 50 as page
+             from (select *, row_number() over (partition by candidate_id order by id) as rn
+                   from v_recommendations))""",
+)
+def page_index_query(fx: Fixture) -> DataFrame:
+    """Store all recommendations with their fences, then read every page of every candidate."""
+    folder = new_folder(fx.spark, "pages")
+    rows = fx.recommendations.select("candidate_id", F.col("id").alias("recommendation_id"), "position_id")
+    page_index.build(rows, "candidate_id", "recommendation_id", folder)
+    held = page_index.fences(fx.spark, folder).groupBy("candidate_id").agg(F.sum("rows").alias("rows"))
+    asked = held.select("candidate_id", F.explode(F.sequence(F.lit(1), F.ceil(F.col("rows") / 50))).alias("page"))
+    return page_index.read_pages(fx.spark, folder, asked, "candidate_id", "recommendation_id")
+
+
 @query(
     "page_counts",
     """select reactor_id, least(count(*), 50) as count, count(*) > 50 as has_next,
