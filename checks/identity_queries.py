@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,9 +21,11 @@ from matchspark.operators.integrity import union_all
 from matchspark.plans.materialize import materialize, new_folder
 from matchspark.schemas import TABLES
 from matchspark.sources import export
+from matchspark.sources.document_source import last_documents, write_owner_documents
 from matchspark.sources.seed import SeedStep, load_seed
 from matchspark.streaming.keyed import STATE_SETTINGS, start_keyed
 from matchspark.streaming.matches import stream_matches
+from matchspark.streaming.pairs import all_matches, pair_events, start_pairs
 from matchspark.streaming.reactions import create_table, store_reactions, stored_reactions
 
 _ROLE_VIEWS = {
@@ -583,9 +587,7 @@ _DOCUMENT_VIEWS = {
 }
 
 
-@query(
-    "feed_export",
-    """
+_EXPORT_SQL = """
     select d.user_id,
            '{' || case when p.items is null and c.items is null then ''
                        else '"_embedded":{' || concat_ws(',', '"candidates":' || c.items,
@@ -599,9 +601,10 @@ _DOCUMENT_VIEWS = {
            || '"}},"page":{"limit":50,"count":' || d.count || ',"has_next":' || d.has_next
            || '},"status":"success"}' as document
     from v_dual_pages d left join v_position_items p on p.user_id = d.user_id
-    left join v_candidate_items c on c.user_id = d.user_id""",
-    _DOCUMENT_VIEWS,
-)
+    left join v_candidate_items c on c.user_id = d.user_id"""
+
+
+@query("feed_export", _EXPORT_SQL, _DOCUMENT_VIEWS)
 def feed_export(fx: Fixture) -> DataFrame:
     """Write the documents as text lines and read them back with their owner."""
     documents = export.feed_documents(dual_page(fx))
@@ -610,6 +613,14 @@ def feed_export(fx: Fixture) -> DataFrame:
     return fx.spark.read.schema("user_id string, document string").json(folder)
 
 
+@query("document_source", _EXPORT_SQL, _DOCUMENT_VIEWS)
+def document_source(fx: Fixture) -> DataFrame:
+    """The same documents through the sink that publishes a run as a whole."""
+    folder = new_folder(fx.spark, "documents")
+    write_owner_documents(export.feed_documents(dual_page(fx)), "user_id", folder, file_owners=1000)
+    return last_documents(fx.spark, folder).withColumnRenamed("owner", "user_id")
+
+
 # -- streams ---------------------------------------------------------------------------
 
 
@@ -635,6 +646,20 @@ def stream_reactions(fx: Fixture) -> DataFrame:
     return stored_reactions(fx.spark, stored_by_stream(fx)).drop("batch")
 
 
+@contextmanager
+def state_settings(spark: SparkSession) -> Iterator[None]:
+    """Settings of streams with state; such a stream keeps the partition count of its first start."""
+    settings = {**STATE_SETTINGS, "spark.sql.shuffle.partitions": str(spark.sparkContext.defaultParallelism)}
+    kept = {name: spark.conf.get(name, None) for name in settings}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in kept.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 @query("stream_reactions_keyed", "select * from v_reactions")
 def stream_reactions_keyed(fx: Fixture) -> DataFrame:
     """What was stored before 1995, and what a keyed stream accepts of the log from then on, year by year."""
@@ -644,18 +669,11 @@ def stream_reactions_keyed(fx: Fixture) -> DataFrame:
     before = materialize(log.filter(F.year("created_at") < 1995), "log")
     stored = materialize(first_per_key(before, REACTION_KEY, REACTION_ORDER).select(*columns), "stored")
     rest = log.filter(F.year("created_at") >= 1995)
-    settings = {**STATE_SETTINGS, "spark.sql.shuffle.partitions": str(spark.sparkContext.defaultParallelism)}
-    kept = {name: spark.conf.get(name, None) for name in settings}
-    try:
-        for name, value in settings.items():
-            spark.conf.set(name, value)
+    with state_settings(spark):
         for year in [r[0] for r in rest.select(F.year("created_at")).distinct().orderBy(1).collect()]:
             rest.filter(F.year("created_at") == year).write.parquet(f"{source}/year={year}")
             stream = spark.readStream.schema(log.schema).parquet(f"{source}/*")
             start_keyed(stream, stored, table, checkpoint, REACTION_ORDER, availableNow=True).awaitTermination()
-    finally:
-        for name, value in kept.items():
-            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
     return stored.unionByName(spark.read.schema(log.schema).parquet(table).select(*columns))
 
 
@@ -687,3 +705,24 @@ def stream_matches_query(fx: Fixture) -> DataFrame:
     finally:
         fx.spark.conf.set("spark.sql.shuffle.partitions", before)
     return fx.spark.read.schema(found.schema).parquet(out)
+
+
+@query("stream_pairs", "select * from v_matches")
+def stream_pairs(fx: Fixture) -> DataFrame:
+    """Pairs within thirty days as they come, in two spans of years, and sides that missed each other; all matches."""
+    spark = fx.spark
+    source, out, checkpoint = (new_folder(spark, name) for name in ("stream-in", "pairs", "stream-state"))
+    reactions = materialize(fx.reactions, "reactions")
+    year = F.year("created_at")
+    # A reaction of no recommendation, years later, ends the waiting of all others.
+    last = reactions.limit(1).withColumns(
+        {"recommendation_id": F.lit("none"), "reaction_type": F.lit("positive"), "created_at": F.col("created_at") + F.expr("interval 99 years")}
+    )
+    parts = [reactions.filter(year < 1996), reactions.filter(year >= 1996).unionByName(last)]
+    with state_settings(spark):
+        for number, rows in enumerate(parts):
+            rows.write.parquet(f"{source}/part={number}")
+            stream = spark.readStream.schema(reactions.schema).parquet(f"{source}/*")
+            events = pair_events(stream, fx.recommendations, fx.positions, "1 day", 30)
+            start_pairs(events, out, checkpoint, availableNow=True).awaitTermination()
+    return all_matches(spark, out)

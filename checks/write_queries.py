@@ -21,6 +21,7 @@ from matchspark.operators.matching import derive_matches
 from matchspark.operators.vectors import enqueue_embeddings
 from matchspark.plans.materialize import materialize, new_folder
 from matchspark.sources import requests
+from matchspark.sources.document_source import register_sources
 from matchspark.sources.tables import load_tables
 
 _TABLE_COUNTS = " union all ".join(
@@ -789,9 +790,7 @@ def match_changes(fx: Fixture) -> DataFrame:
     return integrity.union_all(found)
 
 
-@query(
-    "reaction_ingest",
-    """
+_INGEST_SQL = """
     select seq, candidate_id as good_candidate_id, recommendation_id as good_recommendation_id,
            case when error is null then kind end as reaction_type, error
     from (select seq,
@@ -802,11 +801,12 @@ def match_changes(fx: Fixture) -> DataFrame:
                  kind,
                  case kind when 'trailing' then 'extra_data' when 'bad_json' then 'failed_decode'
                       when 'unknown_field' then 'failed_decode' end as error
-          from v_reaction_requests)""",
-    _REQUEST_VIEWS,
-)
-def reaction_ingest(fx: Fixture) -> DataFrame:
-    """Write the requests as text lines, then read and decode them."""
+          from v_reaction_requests)"""
+_INGEST_FIELDS = ["seq", "candidate_id", "recommendation_id", "reaction_type"]
+
+
+def _request_folder(fx: Fixture) -> str:
+    """The requests as text lines."""
     made = _reaction_requests(fx)
     fields = F.concat(
         F.lit('"seq": "'),
@@ -821,9 +821,10 @@ def reaction_ingest(fx: Fixture) -> DataFrame:
     line = F.regexp_replace(F.trim("body"), r"\A\{", F.concat(F.lit("{"), fields))
     folder = new_folder(fx.spark, "requests")
     made.select(line.alias("value")).write.text(folder)
-    decoded = requests.read_requests(
-        fx.spark, folder, ["seq", "candidate_id", "recommendation_id", "reaction_type"]
-    )
+    return folder
+
+
+def _ingested(decoded: DataFrame) -> DataFrame:
     # A refused line keeps its text, which holds the sequence here.
     seq = F.coalesce("seq", F.regexp_extract("line", '"seq": "([^"]*)"', 1))
     return decoded.select(
@@ -833,3 +834,17 @@ def reaction_ingest(fx: Fixture) -> DataFrame:
         "reaction_type",
         "error",
     )
+
+
+@query("reaction_ingest", _INGEST_SQL, _REQUEST_VIEWS)
+def reaction_ingest(fx: Fixture) -> DataFrame:
+    """Write the requests as text lines, then read and decode them."""
+    return _ingested(requests.read_requests(fx.spark, _request_folder(fx), _INGEST_FIELDS))
+
+
+@query("request_source", _INGEST_SQL, _REQUEST_VIEWS)
+def request_source(fx: Fixture) -> DataFrame:
+    """The same lines through the data source, in splits of a million bytes."""
+    register_sources(fx.spark)
+    lines = fx.spark.read.format("request_lines").option("fields", ",".join(_INGEST_FIELDS))
+    return _ingested(lines.option("split_bytes", 1_000_000).load(_request_folder(fx)))
