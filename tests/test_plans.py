@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from matchspark.operators import adjudicate, feeds, identity, ingest
+from matchspark.operators import adjudicate, feeds, identity, ingest, paging
 from matchspark.plans.materialize import materialize, shared_folder
 from matchspark.sources.tables import write_bucketed
 
@@ -183,3 +183,29 @@ def test_tables_are_written_to_the_folder_the_session_names(spark):
     assert shared_folder(spark) == folder.rstrip("/")
     df = materialize(spark.range(3), "plans")
     assert all(folder.rstrip("/") in f for f in df.inputFiles())
+
+
+def test_requests_and_lookups_are_not_broadcast(spark):
+    """Spark takes rows repeated per salt for small, as it judges them by the numbers they are made from."""
+
+    def made(n, **columns):
+        return spark.range(n).select(*[F.concat(F.lit(p), F.col("id").cast("string")).alias(c) for c, p in columns.items()])
+
+    requests = made(100, candidate_id="c", cursor="r").withColumn("recruiter_id", F.col("candidate_id"))
+    rows = made(100, candidate_id="c", recommendation_id="r")
+    assert "Broadcast" not in plan_of(paging.keyset_filter(rows, requests.drop("recruiter_id"), "candidate_id", "recommendation_id"))
+    text = {"title": "t", "description": "d", "company": "o"}
+    asked = made(100, user_id="u", candidate_id="c", recruiter_id="b", pos_cursor="", can_cursor="").withColumns(
+        {"limit": F.lit(50), "hide_reacted": F.lit(False), "skip_positions": F.lit(False), "skip_candidates": F.lit(False)}
+    )
+    page = feeds.dual_feed_page(
+        asked,
+        made(100, id="r", position_id="p", candidate_id="c"),
+        made(100, id="p", recruiter_id="b", **text),
+        made(100, id="c", user_id="u", about="a"),
+        made(100, id="u", full_name="f"),
+        made(100, recommendation_id="r", reactor_type="candidate", reactor_id="c").repartition(2),
+    )
+    joins = [line for line in plan_of(page).splitlines() if "BroadcastHashJoin" in line]
+    # Spark may still broadcast the reactions that are left out.
+    assert all("LeftAnti" in line for line in joins)
