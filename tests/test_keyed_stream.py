@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from matchspark.operators import ingest
 from matchspark.streaming import reactions as table
-from matchspark.streaming.keyed import reaction_outcomes, start_keyed
+from matchspark.streaming.keyed import FirstWins, reaction_outcomes, start_keyed
 
 COLUMNS = "recommendation_id string, reactor_type string, reactor_id string, reaction_type string, created_at timestamp_ntz, seq long, batch int"
 ORDER = ["created_at", "seq"]
@@ -96,3 +96,32 @@ def test_compaction_of_merged_rows_alone(spark, tmp_path):
     table._append(log(spark), path, -1)
     table.compact(spark, path, small)
     assert table.stored_reactions(spark, small).count() == 400
+
+
+class State:
+    """A list or a value in place of the store's."""
+
+    def __init__(self):
+        self.rows = []
+
+    def get(self):
+        return iter(self.rows)
+
+    def appendValue(self, row):  # noqa: N802
+        self.rows.append(row)
+
+
+def test_one_call_judges_many_keys_of_a_bucket():
+    import pandas as pd
+
+    state = State()
+    wins = FirstWins(["seq"])
+    wins.init(type("Handle", (), {"getListState": lambda self, name, schema: state})())
+    wins.handleInitialState((0,), pd.DataFrame({"key_text": ["k0"]}), None)
+    rows = [(f"k{i % 300}", i) for i in range(1200)]
+    parts = [pd.DataFrame(rows[::-1][a : a + 500], columns=["key_text", "seq"]).assign(key_bucket=0) for a in range(0, 1200, 500)]
+    out = pd.concat(wins.handleInputRows((0,), iter(parts), None))
+    assert sorted(out["seq"]) == list(range(1200))
+    assert sorted(out.loc[out["outcome"] == "accepted", "seq"]) == list(range(1, 300))
+    again = pd.concat(wins.handleInputRows((0,), iter(parts), None))
+    assert set(again["outcome"]) == {"already_exists"} and len(again) == 1200
