@@ -4,6 +4,9 @@ A recommendation's first side waits in the stream's state.  If the other side co
 the match is written.  When the watermark passes its time, the side itself is written as ``waiting``
 and its state is dropped, so state holds recent sides only.  A side that comes later than that waits
 by itself and is written in its turn; ``all_matches`` meets the two.
+
+State is kept per bucket of recommendations, so that Python is called for many of them at once and
+meets their sides as a table.
 """
 
 from __future__ import annotations
@@ -22,49 +25,69 @@ CANDIDATE, RECRUITER = "candidate", "recruiter"
 OUT = "recommendation_id string, candidate_id string, position_id string, side string, at long, kind string"
 
 
+#: Buckets of recommendations; a stream keeps the number of its first start.
+BUCKETS = 4096
+BUCKET = "bucket"
+_SIDE = ["recommendation_id", "candidate_id", "position_id", "side", "at"]
+
+
 class Pairs(StatefulProcessor):
-    """(side, at) of a recommendation until the other side comes or ``wait_ms`` are over; at in microseconds."""
+    """The sides of a bucket that wait for the other side, ``wait_ms`` at most; at in microseconds."""
 
     def __init__(self, wait_ms: int):
         self.wait_ms = wait_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        names = ["candidate_id", "position_id", "side"]
-        fields = [*[T.StructField(n, T.StringType()) for n in names], T.StructField("at", T.LongType())]
-        self.first = handle.getValueState("first", T.StructType(fields))
+        fields = [T.StructField(n, T.ArrayType(T.LongType() if n == "at" else T.StringType())) for n in _SIDE]
+        self.waiting = handle.getValueState("waiting", T.StructType(fields))
+
+    def _held(self) -> pd.DataFrame:
+        held = self.waiting.get()
+        return pd.DataFrame(dict(zip(_SIDE, held if held is not None else [[]] * len(_SIDE)))).astype({"at": "int64"})
+
+    def _hold(self, sides: pd.DataFrame) -> None:
+        if sides.empty:
+            self.waiting.clear()
+        else:
+            self.waiting.update(tuple(sides[n].tolist() for n in _SIDE))
+
+    def _ends(self, sides: pd.DataFrame) -> pd.Series:
+        return sides["at"] // 1000 + self.wait_ms
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        held = self._held()
         # A side reacts once; more rows of it are repeats, so two rows stand for all.
-        sides = {}
+        sides, one = held, ["recommendation_id", "side"]
         for df in rows:
-            once = df.drop_duplicates("side")[["candidate_id", "position_id", "side", "at"]]
-            for row in once.itertuples(index=False, name=None):
-                sides.setdefault(row[2], row)
-        held = self.first.get()
-        if held is not None:
-            sides[held[2]] = held
-        if len(sides) == 2:
-            one, other = sides.values()
-            if held is not None:
-                # Its timer finds nothing then, or a repeat, which may as well end its waiting early.
-                self.first.clear()
-            yield self._row(key, one[0], one[1], None, max(int(one[3]), int(other[3])), MATCH)
-        elif held is None:
-            (only,) = sides.values()
-            self.first.update((only[0], only[1], only[2], int(only[3])))
-            self.handle.registerTimer(int(only[3]) // 1000 + self.wait_ms)
+            sides = pd.concat([sides, df[_SIDE]], ignore_index=True).drop_duplicates(one, ignore_index=True)
+        met = sides.duplicated("recommendation_id", keep=False)
+        if met.any():
+            pairs = sides[met].groupby("recommendation_id", sort=False)
+            yield self._rows(pairs[["candidate_id", "position_id"]].nth(-1).assign(
+                recommendation_id=sides["recommendation_id"], side=None, at=pairs["at"].transform("max")
+            ), MATCH)
+        left = sides[~met]
+        self._hold(left)
+        # A timer no later than the end of any side that waits; the bucket has one already if it held sides.
+        if not left.empty and (held.empty or self._ends(left).min() < self._ends(held).min()):
+            self.handle.registerTimer(int(self._ends(left).min()))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        held = self.first.get()
-        if held is not None:
-            self.first.clear()
-            yield self._row(key, *held, WAITING)
+        held = self._held()
+        ends = self._ends(held)
+        over = (ends <= expiredTimerInfo.getExpiryTimeInMs()) | (ends < timerValues.getCurrentWatermarkInMs())
+        left = held[~over]
+        if over.any():
+            self._hold(left)
+        if not left.empty:
+            self.handle.registerTimer(int(ends[~over].min()))
+        if over.any():
+            yield self._rows(held[over], WAITING)
 
     @staticmethod
-    def _row(key, candidate, position, side, at, kind) -> pd.DataFrame:
-        names = [c.split()[0] for c in OUT.split(", ")]
-        return pd.DataFrame([(key[0], candidate, position, side, at, kind)], columns=names)
+    def _rows(sides: pd.DataFrame, kind: str) -> pd.DataFrame:
+        return sides.assign(kind=kind)[[*_SIDE, "kind"]]
 
     def close(self) -> None:
         pass
@@ -97,7 +120,8 @@ def pair_events(
         .filter(F.col("reactor_id") == by_owner)
         .select("recommendation_id", "candidate_id", "position_id", F.col("reactor_type").alias("side"), "at")
     )
-    return sides.groupBy("recommendation_id").transformWithStateInPandas(
+    bucket = F.pmod(F.xxhash64("recommendation_id"), F.lit(BUCKETS))
+    return sides.withColumn(BUCKET, bucket).groupBy(BUCKET).transformWithStateInPandas(
         Pairs(int(wait_days * 86_400_000)), OUT, "Append", "EventTime"
     )
 

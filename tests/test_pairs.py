@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from matchspark.operators.matching import derive_matches
-from matchspark.streaming.pairs import MATCH, WAITING, all_matches, pair_events, start_pairs
+from matchspark.streaming.pairs import MATCH, WAITING, Pairs, all_matches, pair_events, start_pairs
 
 COLUMNS = "recommendation_id string, reactor_type string, reactor_id string, reaction_type string, created_at string"
 
@@ -48,3 +48,30 @@ def test_stream_and_waiting_sides_equal_the_batch_job(spark, tmp_path):
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
     # Some pairs were met only as two waiting sides.
     assert want.count() > kinds[MATCH]
+
+
+def test_one_call_meets_many_recommendations_of_a_bucket():
+    import pandas as pd
+
+    held, timers = [None], []
+
+    class Value:
+        get = staticmethod(lambda: held[0])
+        update = staticmethod(lambda row: held.__setitem__(0, row))
+        clear = staticmethod(lambda: held.__setitem__(0, None))
+
+    handle = type("Handle", (), {"getValueState": lambda self, name, schema: Value, "registerTimer": lambda self, at: timers.append(at)})()
+    pairs = Pairs(10)
+    pairs.init(handle)
+    columns = ["recommendation_id", "candidate_id", "position_id", "side", "at"]
+    first = pd.DataFrame([(f"r{i}", f"c{i}", "p", "candidate", 1000 * i) for i in range(100)], columns=columns)
+    assert list(pairs.handleInputRows((0,), iter([first, first]), None)) == [] and timers == [10]
+    other = pd.DataFrame([(f"r{i}", f"c{i}", "p", "recruiter", 500_000) for i in range(0, 100, 2)], columns=columns)
+    (met,) = pairs.handleInputRows((0,), iter([other]), None)
+    assert sorted(met["recommendation_id"]) == sorted(other["recommendation_id"])
+    assert set(met["at"]) == {500_000} and set(met["kind"]) == {MATCH}
+    assert all(met["recommendation_id"].str[1:] == met["candidate_id"].str[1:])
+    now = type("Now", (), {"getExpiryTimeInMs": lambda self: 10, "getCurrentWatermarkInMs": lambda self: 50})()
+    (late,) = pairs.handleExpiredTimer((0,), now, now)
+    assert sorted(late["recommendation_id"]) == sorted(f"r{i}" for i in range(1, 40, 2)) and set(late["kind"]) == {WAITING}
+    assert timers == [10, 51]
