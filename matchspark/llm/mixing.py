@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from matchspark.llm.workdir import stored
+
 WEIGHTS = (5, 2, 1)
 SLOPES = (-0.5, 0.0, 0.5)
 REPEATS = 3
@@ -108,19 +110,46 @@ def plan(
     )
 
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
-    """All copies of the mix in training order: the documents' columns, with position and copy (from 0).
-
-    Equal rows stand for each other: each copy of one of them comes out once, and their copies
-    are numbered per row.  Clashing input columns named ``position`` or ``copy`` are replaced.
-    """
+def _copies(docs: DataFrame, **options) -> DataFrame:
+    """All copies of the mix: the documents' columns, position, copy and ``__row``, the hash of a whole row."""
     names = [c for c in docs.columns if c not in ("position", "copy")]
     # Only narrow rows are planned; the rows are joined again and range-sorted by position once.
-    keyed = docs.select(*names).withColumn("__row", F.xxhash64(*[F.col(c) for c in names])).withColumn("__same", F.xxhash64(F.lit(1), *[F.col(c) for c in names]))
+    keyed = _keyed(docs).withColumn("__same", F.xxhash64(F.lit(1), *[F.col(c) for c in names]))
     spread = plan(keyed, keep=("__row",), **options).select("__row", "positions")
     rows = keyed.join(spread.groupBy("__row").agg(F.count(F.lit(1)).alias("__rows"), F.max("positions").alias("positions")), "__row")
-    alone = rows.where("__rows = 1").select(*names, F.posexplode("positions").alias("copy", "position"))
+    alone = rows.where("__rows = 1").select(*names, "__row", F.posexplode("positions").alias("copy", "position"))
     # Of equal rows one carries the text for the copies of all; tasks pass on one row of each group.
     several = rows.where("__rows > 1").drop("positions").dropDuplicates(["__same"])
     copies = spread.select("__row", F.posexplode("positions").alias("copy", "position"))
-    return alone.unionByName(several.join(copies, "__row").select(*names, "copy", "position")).orderBy("position", "copy", "doc_id")
+    return alone.unionByName(several.join(copies, "__row").select(*names, "__row", "copy", "position"))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    names = [c for c in docs.columns if c not in ("position", "copy")]
+    return docs.select(*names).withColumn("__row", F.xxhash64(*[F.col(c) for c in names]))
+
+
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """All copies of the mix in training order: the documents' columns, with position and copy (from 0).
+
+    Equal rows stand for each other: each copy of one of them comes out once, and their copies
+    are numbered per row.  Clashing input columns named ``position`` or ``copy`` are replaced.
+    """
+    return _copies(docs, **options).drop("__row").orderBy("position", "copy", "doc_id")
+
+
+def shares(docs: DataFrame, **options) -> DataFrame:
+    """Per document what the mix holds of it: doc_id, size, source_size, target, copies, taken, position (of its first copy).
+
+    The copies are brought into training order and written as (row, copy, position), the order in
+    which ``mixed`` gives the texts; each document's copies are then found in it.
+    """
+    order = stored(_copies(docs, **options).orderBy("position", "copy", "doc_id").select(F.col("__row").alias("o_row"), F.col("position").alias("at")), "order")
+    columns = ["doc_id", "size", "source_size", "target"]
+    planned = plan(_keyed(docs), keep=("__row",), **options)
+    wanted = planned.select(*columns, "__row", F.try_element_at("positions", F.lit(1)).alias("first"), F.explode_outer("positions").alias("wanted"))
+    met = wanted.join(order, (F.col("__row") == F.col("o_row")) & (F.col("wanted") == F.col("at")), "left")
+    # Equal rows have first copies of their own; rows without copies stay single.
+    chosen = met.where("first is not null").groupBy(*columns, "__row", "first").agg(F.count("at").cast("int").alias("copies"), F.min("at").alias("position"))
+    left_out = planned.where(F.size("positions") == 0).select(*columns, "__row", F.lit(None).cast("double").alias("first"), F.lit(0).alias("copies"), F.lit(None).cast("double").alias("position"))
+    return chosen.unionByName(left_out).select(*columns, "copies", (F.col("copies") * F.col("size")).alias("taken"), "position")

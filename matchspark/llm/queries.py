@@ -100,8 +100,7 @@ def op9_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    planned = mixing.plan(table(spark, sf_dir, "documents"))
-    return planned.select("doc_id", "size", "source_size", "target", "taken", F.try_element_at("positions", F.lit(1)).alias("position"))
+    return mixing.shares(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "position")
 
 
 def op11_order_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -145,3 +145,17 @@ def test_equal_rows_are_mixed_as_planned(spark):
     out = mixing.mixed(df)
     assert {r.doc_id: r.n for r in planned} == {r.doc_id: r["count"] for r in out.groupBy("doc_id").count().collect()}
     assert sorted(r.position for r in out.collect()) == sorted(p for r in mixing.plan(df).collect() for p in r.positions)
+
+
+def test_shares_are_counted_in_the_mix(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(7, words(rng, 10), "en", "a")] * 40 + [(i, words(rng, 12), "en", "bc"[i % 2]) for i in range(60)] + [(None, "x y z", "en", "a")] * 5 + [(99, None, "en", None)]
+    df = frame(spark, rows)
+    key = lambda r: (str(r.doc_id), r.size, r.source_size, r.target, r.copies, r.taken)
+    planned = mixing.plan(df).collect()
+    got = mixing.shares(df).collect()
+    assert sorted((*key(r), str(r.position)) for r in got) == sorted((*key(r), str(r.positions[0] if r.positions else None)) for r in planned)
+    # A copy that the mix lacks is not counted.
+    made = mixing._copies
+    monkeypatch.setattr(mixing, "_copies", lambda docs, **options: made(docs, **options).where("doc_id <> 7"))
+    assert {r.taken for r in mixing.shares(df).collect() if r.doc_id == 7} == {0}
