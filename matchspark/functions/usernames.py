@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from matchspark.plans.materialize import materialize
 from matchspark.plans.ranking import rank_within
 
 # The words names are made of.
@@ -86,11 +87,14 @@ def assign_user_names(
     """
     n = df.count()
     spark = df.sparkSession
+    names = spark.range(0).select(F.lit("").alias("user_name")) if taken is None else taken.select("user_name")
+    # Written between the steps, as Spark would otherwise repeat the rounds wherever their result is named.
+    names = materialize(names, "taken")
     while True:
-        number = number_of(F.col("user_name"), width)
-        names = spark.range(0).select(F.lit("").alias("user_name")) if taken is None else taken.select("user_name")
-        used = names.select(number.alias("number")).filter("number is not null").distinct()
-        used = used.select(position_of(F.col("number"), seed, width).alias("position")).filter(F.col("position") >= start)
+        numbers = materialize(names.select(number_of(F.col("user_name"), width).alias("number")), "numbers")
+        used = numbers.filter("number is not null").distinct()
+        used = materialize(used.select(position_of(F.col("number"), seed, width).alias("position")), "used")
+        used = used.filter(F.col("position") >= start)
         end = start + n + used.count()
         if end <= names_of_width(width):
             break
@@ -98,5 +102,6 @@ def assign_user_names(
     free = spark.range(start, end).withColumnRenamed("id", "position").join(used, "position", "left_anti")
     free = rank_within(free.withColumn("all", F.lit(0)), "all", "position").select("position", "rank")
     ranked = rank_within(df.select(F.lit(0).alias("all"), F.col(key).alias("_key")), "all", "_key").select("_key", "rank")
-    named = ranked.join(free, "rank").select("_key", user_name_at(F.col("position"), seed, width).alias("user_name"))
+    numbered = ranked.join(free, "rank").select("_key", number_at(F.col("position"), seed, width).alias("number"))
+    named = numbered.select("_key", name_of(F.col("number"), width).alias("user_name"))
     return df.join(named, df[key].eqNullSafe(named["_key"])).drop("_key")
