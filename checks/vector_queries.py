@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from checks.fixture import Fixture, timestamp_ntz
+from checks.fixture import Fixture, OnceFixture, timestamp_ntz
 from checks.query import query
 from checks.write_queries import ulid_sql
 from matchspark.operators import cells, ingest, matching, vectors
@@ -66,6 +66,7 @@ def recommend(fx: Fixture) -> DataFrame:
 )
 def recommend_new(fx: Fixture) -> DataFrame:
     """Pairs recommended before are passed over before the ten nearest are taken."""
+    fx = OnceFixture(fx, tables=True)
     return matching.recommend_new(
         fx.embeddings, fx.recommendations, 10, timestamp_ntz("2024-02-10"), seed="s", dimension=DIMENSION
     )

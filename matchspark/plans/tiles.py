@@ -60,8 +60,12 @@ def tiled_top_k(
     id_type = right.schema["right_id"].dataType
     if known is not None:
         pairs = known.select("left_id", F.col("right_id").cast(id_type).alias("known"))
+        # A pair of rows that are not searched would only travel.
+        pairs = pairs.join(right.select(F.col("right_id").alias("known")), "known", "left_semi")
         if group:
             pairs = pairs.join(left.select("left_id", *group), "left_id")
+        else:
+            pairs = pairs.join(left.select("left_id"), "left_id", "left_semi")
         pairs = pairs.filter("known is not null").withColumn("vector", F.lit(None).cast(left.schema["vector"].dataType))
     if group:
         tiles = _tile_counts(left, group, tile_rows, "_l").join(
