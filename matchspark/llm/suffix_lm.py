@@ -47,6 +47,8 @@ SPACE, END, BEFORE = 32, 9, 10
 SYMBOLS = 256
 BLOCK_BYTES = 16 << 20
 SEGMENT = 1024
+#: Codes that are merged or dealt into buckets at a time, and bytes of text that are read at a time.
+RUN, READ = 1 << 20, 1 << 20
 
 
 def symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -90,12 +92,24 @@ def _grams(seq: np.ndarray, offsets: np.ndarray, depth: int) -> np.ndarray:
 
 
 def _merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct codes, sorted, with the sums of their counts."""
-    codes = np.concatenate([c for c, _ in held])
-    order = np.argsort(codes, kind="stable")
-    codes, n = codes[order], np.concatenate([n for _, n in held])[order]
-    first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
-    return codes[first], np.add.reduceat(n, first)
+    """Distinct codes, sorted, with the sums of their counts, from runs of sorted codes.
+
+    Runs are merged a range of about ``RUN`` codes at a time, so that little is held beside them.
+    """
+    ranges = -(-sum(len(c) for c, _ in held) // RUN)
+    sample = np.sort(np.concatenate([c[min(512, len(c) // 2) :: 1024] for c, _ in held]))
+    borders = np.unique(sample[np.arange(1, ranges) * len(sample) // ranges]) if ranges > 1 else sample[:0]
+    cuts = [np.concatenate([[0], np.searchsorted(c, borders), [len(c)]]) for c, _ in held]
+    out = [(np.empty(0, held[0][0].dtype), np.empty(0, np.int64))]
+    for k in range(len(borders) + 1):
+        codes = np.concatenate([c[at[k] : at[k + 1]] for at, (c, _) in zip(cuts, held)])
+        if not len(codes):
+            continue
+        order = np.argsort(codes, kind="stable")
+        codes, n = codes[order], np.concatenate([n[at[k] : at[k + 1]] for at, (_, n) in zip(cuts, held)])[order]
+        first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
+        out.append((codes[first], np.add.reduceat(n, first)))
+    return np.concatenate([c for c, _ in out]), np.concatenate([n for _, n in out])
 
 
 def gram_counts(texts: DataFrame, depth: int = DEPTH) -> DataFrame:
@@ -292,14 +306,14 @@ def _blocked(docs: DataFrame, key: str, text: str, training: Column, block_bytes
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), F.coalesce(training, F.lit(False)).alias("training"))
     size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(size / block_bytes))
-    return rows.withColumn("block", F.pmod(F.xxhash64("key", "text"), F.lit(blocks)).cast("int")).repartition(blocks, "block"), blocks
+    return rows.withColumn("block", F.pmod(F.xxhash64("key", "text"), F.lit(blocks)).cast("int")), blocks
 
 
-def block_terms(blocked: DataFrame, buckets: int, depth: int = DEPTH) -> DataFrame:
+def block_terms(blocked: DataFrame, blocks: int, depth: int = DEPTH) -> DataFrame:
     """(block, word, n, bucket, codes, times): what each block asks for, with counts in its training texts.
 
-    A row is a distinct word, hashed, or the packed distinct grams of a bucket; bucket -1 has those
-    of ``LOW`` + 1 symbols.
+    A row is a distinct word, hashed, or the packed distinct grams of a bucket; there are as many
+    buckets as ``blocks``, and bucket -1 has the grams of ``LOW`` + 1 symbols.
     """
     schema = pa.schema([("block", pa.int32()), ("word", pa.int64()), ("n", pa.int64()), ("bucket", pa.int32()), ("codes", pa.binary()), ("times", pa.binary())])
 
@@ -312,10 +326,10 @@ def block_terms(blocked: DataFrame, buckets: int, depth: int = DEPTH) -> DataFra
             mine.append(np.unique(codes[training], return_counts=True))
             other = np.unique(codes[~training])
             mine.append((other, np.zeros(len(other), np.int64)))
-            if len(mine) >= 16:
+            if sum(len(c) for c, _ in mine[1:]) > max(RUN, len(mine[0][0])):
                 held[block] = [_merged(mine)]
 
-        for part, data, offsets in pieces(batches, limit=2 << 20):
+        for part, data, offsets in pieces(batches, limit=READ):
             words, bounds = word_hashes(data, offsets, SOLID)
             seq, at = symbols(data, offsets)
             codes = _grams(seq, at, depth)
@@ -332,16 +346,21 @@ def block_terms(blocked: DataFrame, buckets: int, depth: int = DEPTH) -> DataFra
             columns = [np.full(len(words), block, np.int32), words.view(np.int64), n, *[nothing] * 3]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) if c is nothing else pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
             codes, n = _merged(grams_of.pop(block))
-            short, of_code = np.unique(codes & _low(LOW + 1), return_inverse=True)
-            rows = [(-1, short, np.bincount(of_code, n).astype(np.int64))]
-            bucket = (mix((codes >> np.uint64(8)) & _low(LOW + 1)) % np.uint64(buckets)).astype(np.int64)
+            short, bucket = [], np.empty(len(codes), np.int32)
+            for at in range(0, len(codes), RUN):
+                some = codes[at : at + RUN]
+                endings, of_code = np.unique(some & _low(LOW + 1), return_inverse=True)
+                short.append((endings, np.bincount(of_code, n[at : at + RUN]).astype(np.int64)))
+                bucket[at : at + RUN] = mix((some >> np.uint64(8)) & _low(LOW + 1)) % np.uint64(blocks)
+            rows = [(-1, *_merged(short))]
             order = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            cuts = np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=blocks))])
             rows += [(k, codes[order[a:b]], n[order[a:b]]) for k, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if a < b]
             columns = [[block] * len(rows), [None] * len(rows), [None] * len(rows), [r[0] for r in rows], [packed(_steps(r[1])) for r in rows], [packed(r[2]) for r in rows]]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
-    return blocked.mapInArrow(scan, "block int, word long, n long, bucket int, codes binary, times binary")
+    # A block is a task of its own: dealt out by hash, several would meet in one.
+    return blocked.repartitionById(blocks, "block").mapInArrow(scan, "block int, word long, n long, bucket int, codes binary, times binary")
 
 
 def gram_answers(asked: DataFrame, buckets: int, depth: int = DEPTH, min_count: float = MIN_COUNT, min_gain: float = MIN_GAIN) -> DataFrame:
@@ -379,7 +398,7 @@ def gram_answers(asked: DataFrame, buckets: int, depth: int = DEPTH, min_count:
                 [pa.array([block], pa.int32()), pa.array([packed(_steps(mine))], pa.binary()), pa.array([packed(logs[places.find(mine)])], pa.binary())], names=["block", "codes", "logs"]
             )
 
-    rows = asked.where("bucket >= 0").select("block", "bucket", "codes", "times").repartition(buckets, "bucket")
+    rows = asked.where("bucket >= 0").select("block", "bucket", "codes", "times").repartitionById(buckets, "bucket")
     return rows.mapInArrow(answer, "block int, codes binary, logs binary")
 
 
@@ -428,7 +447,7 @@ def score_texts(
         log_all = math.log10(n_all + v_all + 1)
         # Sums of logarithms are taken over counts, so that equal words give equal terms.
         out = [[], [], [], []]
-        for part, data, offsets in pieces(documents.to_batches(), limit=2 << 20):
+        for part, data, offsets in pieces(documents.to_batches(), limit=READ):
             seq, at = symbols(data, offsets)
             out[3].append(np.add.reduceat(logs[places.find(_grams(seq, at, depth))].astype(np.float64), at[:-1]))
             mine, bounds = word_hashes(data, offsets, SOLID)
@@ -450,7 +469,7 @@ def score_texts(
         join = lambda x, t: pa.array(np.concatenate(x) if x else [], t)
         return pa.table({"key": keys, "n_tokens": join(out[0], pa.int64()), "n_known": join(out[1], pa.int64()), "base_score": join(out[2], pa.float64()), "score": join(out[3], pa.float64())})
 
-    scored = blocked.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
+    scored = blocked.repartition(buckets, "block").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
         score, f"key {kind}, n_tokens long, n_known long, base_score double, score double"
     )
     return scored.select(

@@ -1,5 +1,6 @@
 import math
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -158,3 +159,33 @@ def test_sample_of_repeated_ids_and_of_a_hot_language(spark):
     known, chosen = lang_id.sampled(rows, 300)
     got = chosen.groupBy("lang").count().collect()
     assert known == ["de", "en", "fr"] and {r["lang"]: r["count"] for r in got} == {"en": 100, "de": 1, "fr": 1}
+
+
+def test_a_block_is_a_task_of_its_own(spark):
+    rng = random.Random(6)
+    docs = frame(spark, [(i, words(rng, 40)) for i in range(120)])
+    blocked, blocks = suffix_lm._blocked(docs, "doc_id", "text", train(), 2000)
+    asked = suffix_lm.block_terms(blocked, blocks).select("block", F.spark_partition_id().alias("task")).distinct().collect()
+    assert blocks > 10 and len({r.block for r in asked}) == len(asked) == len({r.task for r in asked})
+
+
+def test_runs_are_merged_range_by_range(monkeypatch):
+    rng = np.random.default_rng(1)
+    held = [np.unique(rng.integers(0, 60_000, 50_000).astype(np.uint64) ** 3, return_counts=True) for _ in range(8)]
+    held += [(np.empty(0, np.uint64), np.empty(0, np.int64)), (np.arange(5, dtype=np.uint64), np.zeros(5, np.int64))]
+    want = Counter()
+    for codes, n in held:
+        for c, k in zip(codes.tolist(), n.tolist()):
+            want[c] += k
+    monkeypatch.setattr(suffix_lm, "RUN", 1 << 14, raising=False)
+    tracemalloc.start()
+    codes, n = suffix_lm._merged(held)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert codes.tolist() == sorted(want) and n.tolist() == [want[c] for c in sorted(want)]
+    assert peak < sum(c.nbytes + n.nbytes for c, n in held)
+
+
+def test_texts_without_words_alone(spark):
+    got = suffix_lm.score_texts(frame(spark, [(1, ""), (2, None), (3, " ")]), train()).collect()
+    assert {r["doc_id"]: (r["n_tokens"], r["n_known"]) for r in got} == {1: (1, 1), 2: (1, 1), 3: (1, 1)}
