@@ -19,8 +19,10 @@ tokens fall into, so the orders take ``2**SLOT_BITS`` bytes whatever the input.
 4. In every cell the members meet one of them first (a star, not all pairs), in ``STARS`` rounds;
    candidates are verified on full sets and their links joined to components.
 5. Cells that still hold several components are cut into blocks of a bounded number of tokens.
-   Pairs of blocks are compared by marks; texts are fetched only for members of candidate pairs,
-   and a block pair puts out only links that join components.
+   Pairs of blocks are compared by marks, and a block pair puts out only links that join components.
+
+Texts are fetched only for members of candidate pairs: a bit map of the members' hashes, of
+``2**FETCH_BITS`` bits whatever the input, leaves most other texts where they are.
 
 No link is lost: filters are necessary conditions, and every pair of a cell is compared, unless
 its ends are in one component already.
@@ -37,6 +39,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -57,6 +60,8 @@ MARK_TOKENS, DOUBLED = 1024, 6
 #: Tokens of a block of a cell (a set counts ``SET_COST`` more), and members of a verification slice.
 BLOCK_TOKENS, SET_COST = 1 << 20, 1000
 SLICE = 256
+#: Bits of the map of texts to fetch, a multiple of the 4,096 bytes of one of its rows.
+FETCH_BITS = 25
 
 _SEEDS = mix(np.arange(1, ORDERS + 2, dtype=np.uint64))
 
@@ -193,6 +198,25 @@ def _cells(reps: DataFrame) -> DataFrame:
     return reps.select("rep", "band", F.explode("tokens").alias("token")).select("rep", F.explode(F.array(cell(0, True), cell(1, False))).alias("c")).select("c.key", "rep", "c.home")
 
 
+def _texts(docs: DataFrame, reps: DataFrame, members: DataFrame) -> DataFrame:
+    """(doc_id, text) of the members (rep); the bit map reaches the driver, in rows of 4,096 bytes."""
+    hashed = reps.join(members.distinct(), "rep", "left_semi").select(F.col("rep").alias("doc_id"), "text_hash")
+    slot = F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(1 << FETCH_BITS)) + 1
+    maps = hashed.select(slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")).toArrow()
+    bits = np.zeros((1 << FETCH_BITS) // 32768, "V4096")
+    for at, held in zip(maps.column("at").to_pylist(), maps.column("bits").to_pylist()):
+        bits[at - 1] = np.void(held)
+    table = docs.sparkSession.sparkContext.broadcast(bits.view(np.uint8))
+
+    @F.pandas_udf("boolean")
+    def wanted(slots: pd.Series) -> pd.Series:
+        at = slots.to_numpy() - 1
+        return pd.Series(table.value[at >> 3] >> (at & 7) & 1 == 1)
+
+    near = _hashed(docs).where("doc_id is not null").where(wanted(slot))
+    return near.join(hashed, ["doc_id", "text_hash"], "left_semi").dropDuplicates(["doc_id", "text_hash"]).drop("text_hash")
+
+
 def _candidates(pairs: DataFrame, reps: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     """The pairs (a, b) that lengths and marks allow."""
 
@@ -283,7 +307,7 @@ class _Block:
 _AT = ("key", "i", "j")
 
 
-def _across(cells: DataFrame, reps: DataFrame, texts: DataFrame, shingle: int, threshold: tuple[int, int]) -> DataFrame:
+def _across(cells: DataFrame, reps: DataFrame, docs: DataFrame, shingle: int, threshold: tuple[int, int]) -> DataFrame:
     """(a, b): links that join the components of members (key, rep, home, component) of one cell."""
     part, whole = threshold
     rows = cells.join(reps.select("rep", "n", "mark"), "rep")
@@ -324,7 +348,8 @@ def _across(cells: DataFrame, reps: DataFrame, texts: DataFrame, shingle: int, t
             yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], names=["a", "b"])
 
     shape = "key long, i int, j int, block int, rep long, home boolean, component long, n long, mark binary"
-    left = placed.repartition(*_AT).sortWithinPartitions(*_AT).mapInArrow(screen, shape)
+    left = stored(placed.repartition(*_AT).sortWithinPartitions(*_AT).mapInArrow(screen, shape), "screened")
+    texts = _texts(docs, reps, left.select("rep"))
     fetched = left.join(texts.withColumnRenamed("doc_id", "rep"), "rep")
     ordered = fetched.repartition(*_AT).sortWithinPartitions(*_AT)
     return ordered.mapInArrow(verify, "a long, b long")
@@ -347,7 +372,7 @@ def similar_documents(docs: DataFrame, shingle: int = SHINGLE, threshold: tuple[
     stands = named.groupBy("print").agg(F.min(F.struct("doc_id", "text_hash")).alias("s")).select(F.col("s.doc_id").alias("rep"), F.col("s.text_hash").alias("rep_hash"))
     reps = stored(
         signed.join(stands, (F.col("doc_id") == F.col("rep")) & (F.col("text_hash") == F.col("rep_hash")))
-        .dropDuplicates(["rep"])
+        .dropDuplicates(["doc_id", "text_hash"])
         .select("rep", "text_hash", "n", "print", "mark", "band", "tokens"),
         "representatives",
     )
@@ -355,11 +380,14 @@ def similar_documents(docs: DataFrame, shingle: int = SHINGLE, threshold: tuple[
     # A cell is of use if a set at home meets another one.
     shared = cells.groupBy("key").agg(F.count(F.lit(1)).alias("sets"), F.min(F.when(F.col("home"), F.col("rep"))).alias("head")).where("sets > 1 and head is not null").drop("sets")
     open_ = stored(cells.join(shared, "key"), "cells")
-    members = open_.select(F.col("rep").alias("doc_id")).distinct().join(reps.select(F.col("rep").alias("doc_id"), "text_hash"), "doc_id")
-    texts = stored(_hashed(docs).join(members, ["doc_id", "text_hash"], "left_semi").drop("text_hash").dropDuplicates(["doc_id"]), "texts")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        near = stored(_candidates(pairs, reps, threshold), "candidates")
+        texts = _texts(docs, reps, near.select(F.explode(F.array("a", "b")).alias("rep")))
+        return _verified(near, texts, shingle, threshold)
 
     pairs = open_.where("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct()
-    links = stored(_verified(stored(_candidates(pairs, reps, threshold), "candidates"), texts, shingle, threshold), "links")
+    links = stored(verified(pairs), "links")
     for star in range(1, STARS + 1):
         labels = _labelled(links, reps)
         # The head has met every member of its cell.
@@ -371,8 +399,8 @@ def similar_documents(docs: DataFrame, shingle: int = SHINGLE, threshold: tuple[
             break
         apart = open_.join(labels.select(F.col("rep").alias("head"), F.col("component").alias("c")), "head").where("component <> c")
         pairs = apart.select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct()
-        links = stored(links.unionByName(_verified(stored(_candidates(pairs, reps, threshold), "candidates"), texts, shingle, threshold)), "links")
-    links = stored(links.unionByName(_across(open_.select("key", "rep", "home", "component"), reps, texts, shingle, threshold)), "links")
+        links = stored(links.unionByName(verified(pairs)), "links")
+    links = stored(links.unionByName(_across(open_.select("key", "rep", "home", "component"), reps, docs, shingle, threshold)), "links")
     labels = _labelled(links, reps)
 
     classes_of = named.select(F.col("doc_id").alias("id"), "print").join(reps.select("print", "rep"), "print").join(labels, "rep")

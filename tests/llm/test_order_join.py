@@ -146,3 +146,17 @@ def test_every_filter_is_a_necessary_condition():
         one, two = np.array([0]), np.array([1])
         assert order_join.allowed(marks, one, np.array([len(a)]), marks, two, np.array([len(b)]), (90, 100))[0]
     assert linked > 500
+
+
+def test_only_texts_of_candidate_pairs_are_fetched(spark, monkeypatch):
+    rng = random.Random(9)
+    base = words(rng, 60, 5000)
+    rows = [(1, base), (2, edited(rng, base, 1)), (2, "another text of this id")] + [(i, words(rng, 50, 5000)) for i in range(3, 40)]
+    fetched, written, kept = [], [], order_join.stored
+    verified = order_join._verified
+    monkeypatch.setattr(order_join, "_verified", lambda pairs, texts, *more: fetched.extend(r.doc_id for r in texts.collect()) or verified(pairs, texts, *more))
+    monkeypatch.setattr(order_join, "stored", lambda df, name: written.extend(df.columns) or kept(df, name))
+    monkeypatch.setattr(order_join, "FETCH_BITS", 15, raising=False)
+    got = {r.doc_id: r.component_id for r in order_join.similar_documents(frame(spark, rows[:2] + rows[3:])).collect()}
+    assert got == {i: 1 if i == 2 else i for i in range(1, 40)}
+    assert set(fetched) == {1, 2} and "text" not in written
