@@ -10,7 +10,8 @@ A template recurs if enough different documents hold it, more for short template
 long ones (``RULES``: constant tokens, documents).  Its first line (smallest document, then
 line) stays; all others are dropped.  Lines of fewer constant tokens than any rule asks for
 always stay.  Counts are summed per task before the shuffle, so a line that a third
-of all documents share costs a row per task.
+of all documents share costs a row per task.  Lines are scanned once; their templates are written
+and read for the counts and for the lines to drop.
 
 Null text stays null and empty text empty.  Rows that agree in id and text are one place:
 all of them keep or lose the same lines.  A template counts once per row, however often it
@@ -28,6 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
+from matchspark.llm.workdir import stored
+
 LEADING = 2
 PARTS = 4
 #: (least constant tokens, least documents): a line of words enough is removed when seen in this many.
@@ -91,7 +94,7 @@ def line_templates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 def recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(row, lines): the numbers of lines to drop from each row that has any."""
-    lines = line_templates(docs, key, text)
+    lines = stored(line_templates(docs, key, text), "lines")
     place = F.struct(F.coalesce("key", F.lit(-(1 << 63))).alias("key"), "row", "line")
     recurring = (
         lines.groupBy("template")

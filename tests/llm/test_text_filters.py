@@ -229,3 +229,11 @@ def test_license_odd_rows(spark, odd, none):
 def test_every_template_is_found_in_itself(name):
     index = licenses.Templates(licenses.TEMPLATES, {})
     assert name in {b[0] for b in index.blocks("some line\n" + licenses.TEMPLATES[name])}
+
+
+def test_lines_are_scanned_once(spark):
+    line = "these words recur in many documents and are long enough to be dropped wherever they stand again so here"
+    rows = frame(spark, [(i, f"{line}\nown{i} text\n{line} once more") for i in range(6)])
+    out = line_dedup.drop_recurring_lines(rows)
+    assert "MapInArrow" not in out._jdf.queryExecution().toString()
+    assert sorted(r["removed_lines"] for r in out.collect()) == [0, 2, 2, 2, 2, 2]
