@@ -44,7 +44,8 @@ def tiled_top_k(
 ) -> DataFrame:
     """(left_id, right_id, score): per left row the k best of each tile it meets.
 
-    ``product`` gives the scores of left rows by right rows; by default their inner products.
+    ``product`` gives the scores of left rows by right rows, -inf for pairs that are passed over; by
+    default their inner products.
 
     The pairs of ``known`` (left_id, right_id) are passed over before ranking.  Each travels to
     the one tile pair where it would be found, once per group of its left row.
@@ -111,7 +112,8 @@ def tiled_top_k(
             T.StructField("score", T.DoubleType()),
         ]
     )
-    return meet.applyInPandas(_multiplier(k, product=product), schema)
+    # Scores by a product of one's own take several arrays of their size.
+    return meet.applyInPandas(_multiplier(k, product=product, products=1_000_000 if product else 4_000_000), schema)
 
 
 def _multiplier(k: int, digits: int = SCORE_DIGITS, products: int = 4_000_000, product=None):
@@ -144,9 +146,11 @@ def _multiplier(k: int, digits: int = SCORE_DIGITS, products: int = 4_000_000, p
         out_left, out_right, out_score = [], [], []
         for start in range(0, len(left_ids), strip):
             some = a[start : start + strip]
-            scaled = np.rint((some @ b if product is None else product(some, b)) * 10**digits).astype("int64")
+            score = some @ b if product is None else product(some, b)
+            apart = np.isneginf(score)
+            scaled = np.rint(np.where(apart, 0, score) * 10**digits).astype("int64")
             # One whole number per pair orders by score, then by id.
-            order = scaled * n - place
+            order = np.where(apart, passed, scaled * n - place)
             inside = (row >= start) & (row < start + strip)
             order[row[inside] - start, column[inside]] = passed
             top = np.argpartition(-order, keep - 1, axis=1)[:, :keep]
