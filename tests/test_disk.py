@@ -6,6 +6,8 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from checks.feed_queries import dual_page
+from checks.fixture import Fixture, written_pair
 from matchspark.plans import materialize as plans
 from matchspark.streaming.matches import stream_matches
 
@@ -24,9 +26,9 @@ def by_key(spark):
 
 def test_a_written_table_leaves_no_shuffle_files(spark):
     before = shuffled(spark)
-    assert plans.materialize(by_key(spark), "freed").count() == 100
+    kept_rows = plans.materialize(by_key(spark), "freed")
     with plans.freed(spark):
-        assert by_key(spark).count() == 100
+        assert by_key(spark).count() == 100 and kept_rows.count() == 100
     # Executors delete them a moment later.
     until = time.time() + 20
     while shuffled(spark) - before and time.time() < until:
@@ -64,3 +66,16 @@ def test_a_side_of_matches_keeps_its_own_rows_only(spark, tmp_path):
     # The newest row is a recruiter's and sets the time of both sides.
     assert query.lastProgress["eventTime"]["watermark"].startswith("2023-12-10")
     assert spark.read.schema(found.schema).parquet(str(tmp_path / "out")).count() in (49, 50)
+
+
+def test_pages_of_both_feeds_are_cut_before_they_are_joined(spark, sf_dir):
+    pages = dual_page(Fixture(spark, sf_dir))
+    read = " ".join(pages.inputFiles())
+    assert "position-page" in read and "candidate-page" in read
+    assert not [name for name in ("lineitem", "orders.parquet", "recommendations", "reactions", "line-orders") if name in read]
+    folder = plans.shared_folder(spark).removeprefix("file:") + "/matchspark"
+    with written_pair(Fixture(spark, sf_dir)) as pair:
+        paths = [os.path.dirname(df.inputFiles()[0].removeprefix("file:")) for df in pair]
+        assert all(os.path.exists(path) and folder in path for path in paths)
+    assert not [path for path in paths if os.path.exists(path)]
+    assert pages.count() > 0
