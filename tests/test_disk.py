@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from checks.feed_queries import dual_page
 from checks.fixture import Fixture, written_pair
+from checks.identity_queries import feed_export
 from matchspark.plans import materialize as plans
 from matchspark.streaming.matches import stream_matches
 
@@ -79,3 +80,8 @@ def test_pages_of_both_feeds_are_cut_before_they_are_joined(spark, sf_dir):
         assert all(os.path.exists(path) and folder in path for path in paths)
     assert not [path for path in paths if os.path.exists(path)]
     assert pages.count() > 0
+
+
+def test_exported_lines_are_compressed(spark, sf_dir):
+    found = feed_export(Fixture(spark, sf_dir))
+    assert all(f.endswith(".json.gz") for f in found.inputFiles()) and found.filter("document is null").count() == 0
