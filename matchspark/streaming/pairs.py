@@ -20,6 +20,8 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
+from matchspark.plans.materialize import freed
+
 MATCH, WAITING = "match", "waiting"
 CANDIDATE, RECRUITER = "candidate", "recruiter"
 OUT = "recommendation_id string, candidate_id string, position_id string, side string, at long, kind string"
@@ -101,9 +103,8 @@ def pair_events(
     The watermark stays ``late`` behind the newest row.  It only says when a side's time is over:
     rows behind it are paired or wait like others, none is dropped.  A row without time has no side.
     """
-    owned = recommendations.select(F.col("id").alias("recommendation_id"), "candidate_id", "position_id").join(
-        positions.select(F.col("id").alias("position_id"), "recruiter_id"), "position_id"
-    )
+    recommended = recommendations.select(F.col("id").alias("recommendation_id"), "candidate_id", "position_id")
+    owners = positions.select(F.col("id").alias("position_id"), "recruiter_id")
     # The number in place of the time keeps Spark from dropping rows behind the watermark.
     timed = (
         reactions.filter((F.col("reaction_type") == "positive") & F.col("created_at").isNotNull())
@@ -116,7 +117,8 @@ def pair_events(
         F.col("reactor_type") == RECRUITER, F.col("recruiter_id")
     )
     sides = (
-        timed.join(owned, "recommendation_id")
+        timed.join(recommended, "recommendation_id")
+        .join(owners, "position_id")
         .filter(F.col("reactor_id") == by_owner)
         .select("recommendation_id", "candidate_id", "position_id", F.col("reactor_type").alias("side"), "at")
     )
@@ -128,8 +130,9 @@ def pair_events(
 
 def start_pairs(events: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Append ``pair_events`` to ``path``, a folder for each kind, each row once."""
-    write = events.writeStream.format("parquet").partitionBy("kind").option("path", path)
-    return write.option("checkpointLocation", checkpoint).trigger(**trigger).start()
+    write = events.writeStream.format("parquet").partitionBy("kind").option("path", path).option("compression", "zstd")
+    with freed(events.sparkSession):
+        return write.option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
 def all_matches(spark: SparkSession, path: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from checks.feed_queries import dual_page
 from checks.fixture import Fixture, written_pair
-from checks.identity_queries import feed_export
+from checks.identity_queries import feed_export, stream_pairs
 from matchspark.plans import materialize as plans
 from matchspark.streaming.matches import stream_matches
 
@@ -85,3 +85,25 @@ def test_pages_of_both_feeds_are_cut_before_they_are_joined(spark, sf_dir):
 def test_exported_lines_are_compressed(spark, sf_dir):
     found = feed_export(Fixture(spark, sf_dir))
     assert all(f.endswith(".json.gz") for f in found.inputFiles()) and found.filter("document is null").count() == 0
+
+
+def left_over(spark):
+    """Folders with rows below the shared one, by the name of their step."""
+    folder = plans.shared_folder(spark).removeprefix("file://") + "/matchspark"
+    found = (d for d, _, files in os.walk(folder) if any(f.endswith(".parquet") for f in files))
+    return {os.path.relpath(d, folder) for d in found}
+
+
+def soon_gone(spark, before):
+    until = time.time() + 20
+    while shuffled(spark) - before and time.time() < until:
+        time.sleep(0.2)
+    return not shuffled(spark) - before
+
+
+def test_paired_stream_keeps_its_output_only(spark, sf_dir):
+    shuffles, folders = shuffled(spark), left_over(spark)
+    found = stream_pairs(Fixture(spark, sf_dir))
+    assert {name.split("-")[0] for name in left_over(spark) - folders} == {"pairs"}
+    assert soon_gone(spark, shuffles)
+    assert found.count() > 0
