@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from checks.feed_queries import dual_page
 from checks.fixture import Fixture, written_pair
-from checks.identity_queries import feed_export, stream_pairs
+from checks.identity_queries import feed_export, stream_pairs, stream_reactions_keyed
 from matchspark.plans import materialize as plans
+from matchspark.streaming.keyed import packed, unpacked
 from matchspark.streaming.matches import stream_matches
 
 REACTIONS = "recommendation_id string, reactor_type string, reactor_id string, reaction_type string, created_at string"
@@ -107,3 +108,19 @@ def test_paired_stream_keeps_its_output_only(spark, sf_dir):
     assert {name.split("-")[0] for name in left_over(spark) - folders} == {"pairs"}
     assert soon_gone(spark, shuffles)
     assert found.count() > 0
+
+
+def test_keyed_stream_keeps_its_output_only(spark, sf_dir):
+    shuffles, folders = shuffled(spark), left_over(spark)
+    found = stream_reactions_keyed(Fixture(spark, sf_dir))
+    names = {name.split("-")[0] for name in left_over(spark) - folders}
+    assert "reactions" in names and names <= {"reactions", "stored"}
+    assert soon_gone(spark, shuffles)
+    assert found.count() > 0
+
+
+def test_taken_keys_are_packed():
+    keys = [f'{{"recommendation_id":"rcm_{i:020d}","reactor_id":"é\\n {i % 7}"}}' for i in range(1000)]
+    assert sorted(unpacked(packed(keys[::-1]))) == sorted(keys)
+    assert len(packed(keys)) * 4 < len("".join(keys))
+    assert unpacked(packed(["{}"])) == ["{}"]
